@@ -128,17 +128,20 @@ def _folder_value(path: str) -> F.Column:
     return F.regexp_extract(path, r"/n_name=([^/]+)/", 1).alias("n_name")
 
 
+def _rows_by_nation(lines: DataFrame, listing: DataFrame) -> DataFrame:
+    """Lines per nation in the listed files; counted per file before the join."""
+    per_file = lines.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    listed = per_file.join(listing, "file_path", "left_semi")
+    return listed.groupBy(_folder_value("file_path")).agg(F.sum("n").alias("n_rows"))
+
+
 @query
 def file_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _customers_by_nation(spark, sf_dir)
     where = f"{folder}/n_name=N?TION_1*"
     listing = files.discover_files(spark, where, "part-*.t[x]t")
     lines = files.read_lines(spark, where, pattern="part-*.t[x]t")
-    return (
-        lines.join(listing, "file_path", "left_semi")
-        .groupBy(_folder_value("file_path"))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
+    return _rows_by_nation(lines, listing)
 
 
 @query
@@ -153,12 +156,7 @@ def unprocessed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = files.discover_files(spark, f"{folder}/*", "*.txt")
     loaded = files.discover_files(spark, f"{folder}/n_name=NATION_1*", "*.txt")
     pending = audit.unprocessed_files(listing, materialise(loaded, "ledger"))
-    lines = files.read_lines(spark, f"{folder}/*")
-    return (
-        lines.join(pending, "file_path", "left_semi")
-        .groupBy(_folder_value("file_path"))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
+    return _rows_by_nation(files.read_lines(spark, f"{folder}/*"), pending)
 
 
 @query
@@ -178,7 +176,7 @@ def empty_input_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = fx.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     folder = _land(spark, source)
     headers_only = new_folder(spark, "landing")
-    source.limit(1).select(F.lit("# header 1\n# header 2")).coalesce(1).write.text(headers_only)
+    spark.range(1).select(F.lit("# header 1\n# header 2")).write.text(headers_only)
     database, header = fx.new_database(spark), "c_custkey,c_name"
     rows = [
         fx.config_row(database, "no_files", folder, File_Pattern="*.dat", Header=header),
@@ -194,6 +192,29 @@ def empty_input_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def ingest_derived_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with derived columns into a typed table partitioned by return flag."""
+    kept = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_shipdate", "l_returnflag"]
+    source = fx.table(spark, sf_dir, "lineitem").select(*kept)
+    database = fx.new_database(spark)
+    spark.sql(
+        f"CREATE TABLE {database}.lineitem (l_orderkey bigint, l_linenumber int, l_extendedprice double, "
+        "l_discount double, l_shipdate timestamp_ntz, net double, ship_month string, load_note string, "
+        "l_returnflag string) USING parquet PARTITIONED BY (l_returnflag)"
+    )
+    row = fx.config_row(
+        database, "lineitem", _land(spark, source), Header=",".join(kept), Partition_Column="l_returnflag",
+        Transformations="""[
+          {"column_name": "net",
+           "transformation_logic": "cast(l_extendedprice AS double) * (1 - cast(l_discount AS double))"},
+          {"column_name": "ship_month", "transformation_logic": "substr(l_shipdate, 1, 7)"}]""",
+    )
+    _require_success(_run(spark, [row]))
+    loaded = spark.table(f"{database}.lineitem")
+    return loaded.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
+
+
 # Columns
 
 
@@ -274,11 +295,17 @@ def _write_twice(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     source = fx.table(spark, sf_dir, "customer")
     target = f"{fx.new_database(spark)}.customer"
     counts = [sinks.write_table(source, target, mode) for _ in range(2)]
-    rows = [(step + 1, c.before, c.after, c.written) for step, c in enumerate(counts)]
-    n_in_table = spark.table(target).agg(F.count(F.lit(1)).alias("n_in_table"))
-    return spark.createDataFrame(rows, "step long, n_before long, n_after long, n_written long").crossJoin(
-        F.broadcast(n_in_table)
-    )
+    first, second = [
+        spark.table(target).agg(
+            F.lit(step).cast("long").alias("step"),
+            F.lit(c.before).alias("n_before"),
+            F.lit(c.after).alias("n_after"),
+            F.lit(c.written).alias("n_written"),
+            F.count(F.lit(1)).alias("n_in_table"),
+        )
+        for step, c in enumerate(counts, 1)
+    ]
+    return first.unionByName(second)
 
 
 @query
@@ -520,7 +547,7 @@ def task_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def leaf_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, children = _graph(spark, sf_dir)
-    return taskgraph.leaf_tasks(children)
+    return taskgraph.leaf_tasks(taskgraph.dependency_table(children))
 
 
 @query

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ingestctl.operators.sinks import WriteCounts
+from ingestctl.scratch import small_frame
 from ingestctl.sources.tables import table_exists
 from ingestctl.spec import IngestSpec
 
@@ -61,7 +62,7 @@ def audit_row(
     ``file_names`` are those of one load step, whose number the caller bounds.
     """
     row = (
-        now or datetime.now(),
+        now or datetime.now(timezone.utc),
         spec.entity_name,
         spec.target_table.replace("`", ""),
         file_names,
@@ -76,23 +77,23 @@ def audit_row(
         run.get("workflow_id"),
         run.get("run_id"),
     )
-    return spark.createDataFrame([row], AUDIT_SCHEMA)
+    return small_frame(spark, [row], AUDIT_SCHEMA)
 
 
 def ledger_rows(
     spark: SparkSession, table: str, files: list[Row], run_id: str | None, now: datetime | None = None
 ) -> DataFrame:
     """One row per loaded file of one load step."""
-    stamp = now or datetime.now()
+    stamp = now or datetime.now(timezone.utc)
     rows = [
         (table, f["file_path"], f["file_name"], f["length"], f["version"], run_id, stamp)
         for f in files
     ]
-    return spark.createDataFrame(rows, LEDGER_SCHEMA)
+    return small_frame(spark, rows, LEDGER_SCHEMA)
 
 
 def append_rows(rows: DataFrame, table: str) -> None:
-    rows.coalesce(1).write.mode("append").saveAsTable(table)
+    rows.write.mode("append").saveAsTable(table)
 
 
 def unprocessed_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ def duplicate_entities(config: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def require_unique_entities(selected: DataFrame) -> None:
-    duplicates = [row["entity_name"] for row in duplicate_entities(selected, ["entity_name"]).collect()]
+    duplicates = duplicate_entities(selected, ["entity_name"]).orderBy("entity_name").take(20)
     if duplicates:
-        raise ValueError(f"Duplicate entries found for entity_names: {sorted(duplicates)}")
+        names = [row["entity_name"] for row in duplicates]
+        raise ValueError(f"Duplicate entries found for entity_names, the first being: {names}")

@@ -6,12 +6,14 @@ Status is an append-only table of events; the current status of a run is a fold
 from __future__ import annotations
 
 import time
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ingestctl.scratch import materialise, small_frame
+
 RUN_KEY = ["batch_id", "job_id", "run_id"]
 JOB_KEY = ["batch_id", "proj_id", "dept_id", "job_id"]
 
@@ -64,26 +66,48 @@ def status_view(events: DataFrame) -> DataFrame:
     The first event opens the run: it gives the start time, whatever its status, and the
     descriptive columns. Each later event sets the status; IN_PROGRESS sets the start time,
     COMPLETED and FAILED the end time; a non-empty error message replaces the former one.
-    Every aggregate combines partially before the one shuffle, so a long run costs no task
-    more than any other.
+
+    Numbers and times are folded first: such aggregates stay in a hash map and combine before
+    the shuffle, so a long run costs no task more than any other. The texts of the few events
+    that count are then looked up by run and ``seq``; the folded table has been written, so
+    its true size decides whether it is broadcast, and with ``seq`` in the key a shuffle of a
+    long run's events spreads them evenly.
     """
-    terminal = f"status IN ('{COMPLETED}', '{FAILED}')"
-    folded = events.groupBy(*RUN_KEY).agg(
-        F.expr("max_by(status, seq)").alias("status"),
-        F.expr(f"max_by(ts, seq) FILTER (WHERE status = '{IN_PROGRESS}')").alias("restarted"),
-        F.expr("min_by(ts, seq)").alias("opened"),
-        F.expr("min(seq)").alias("first_seq"),
-        F.expr(f"max(seq) FILTER (WHERE {terminal})").alias("ended_seq"),
-        F.expr(f"max_by(ts, seq) FILTER (WHERE {terminal})").alias("ended"),
+    ended = f"status IN ('{COMPLETED}', '{FAILED}')"
+    folded = materialise(
+        events.groupBy(*RUN_KEY).agg(
+            F.min("seq").alias("first_seq"),
+            F.max("seq").alias("last_seq"),
+            F.expr("max(seq) FILTER (WHERE error_message <> '')").alias("error_seq"),
+            F.expr(f"max(seq) FILTER (WHERE {ended})").alias("ended_seq"),
+            F.expr("min_by(ts, seq)").alias("opened"),
+            F.expr(f"max_by(ts, seq) FILTER (WHERE status = '{IN_PROGRESS}')").alias("restarted"),
+            F.expr(f"max_by(ts, seq) FILTER (WHERE {ended})").alias("ended"),
+        ),
+        "runs",
+    )
+    runs = folded.select(
+        *[F.col(key).alias(f"run_{i}") for i, key in enumerate(RUN_KEY)],
+        F.coalesce("restarted", "opened").alias("start_time"),
+        F.when(F.col("ended_seq") > F.col("first_seq"), F.col("ended")).alias("end_time"),
+        F.explode(F.array_distinct(F.array_compact(F.array("first_seq", "last_seq", "error_seq")))).alias(
+            "wanted_seq"
+        ),
+    )
+    same_event = events["seq"] == runs["wanted_seq"]
+    for i, key in enumerate(RUN_KEY):
+        same_event = same_event & events[key].eqNullSafe(runs[f"run_{i}"])
+    told = events.join(runs, same_event).groupBy(*RUN_KEY, "start_time", "end_time").agg(
+        F.max_by("status", "seq").alias("status"),
         F.expr("max_by(error_message, seq) FILTER (WHERE error_message <> '')").alias("error_message"),
         F.min_by(F.struct(*_FIRST_WRITTEN), "seq").alias("first"),
     )
-    return folded.select(
+    return told.select(
         *RUN_KEY,
         *[F.col("first")[name].alias(name) for name in _FIRST_WRITTEN],
-        F.col("status"),
-        F.coalesce("restarted", "opened").alias("start_time"),
-        F.when(F.col("ended_seq") > F.col("first_seq"), F.col("ended")).alias("end_time"),
+        "status",
+        "start_time",
+        "end_time",
         F.coalesce("error_message", F.lit("")).alias("error_message"),
     )
 
@@ -146,7 +170,7 @@ def record_event(
     """Append one status event; ``seq`` and ``ts`` default to the clock."""
     row = (
         time.time_ns() if seq is None else seq,
-        ts or datetime.now(),
+        ts or datetime.now(timezone.utc),
         batch_id,
         proj_id,
         dept_id,
@@ -158,4 +182,4 @@ def record_event(
         run_id,
         run_url,
     )
-    spark.createDataFrame([row], EVENT_SCHEMA).coalesce(1).write.mode("append").saveAsTable(table)
+    small_frame(spark, [row], EVENT_SCHEMA).write.mode("append").saveAsTable(table)

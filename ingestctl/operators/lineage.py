@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ingestctl.functions.text import labelled, table_name_part
 from ingestctl.operators.ordering import with_previous
-from ingestctl.scratch import materialise, new_folder
+from ingestctl.scratch import materialise, new_folder, small_frame
 
 # A frontier up to this many tables is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -29,12 +30,12 @@ def expanded_tables(
     """
     spark = edges.sparkSession
     known = new_folder(spark, "levels")
-    schema = "node string, depth int"
+    schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("depth", T.IntegerType())])
 
     def level_path(depth: int) -> str:
         return f"{known}/level-{depth}"
 
-    spark.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth")).write.parquet(level_path(0))
+    small_frame(spark, [(root, 0)], schema).write.parquet(level_path(0))
     depth = 0
     while n_rows := spark.read.schema(schema).parquet(level_path(depth)).count():
         frontier = spark.read.schema(schema).parquet(level_path(depth))

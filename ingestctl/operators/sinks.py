@@ -8,13 +8,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ingestctl.operators.shape import derive, impose_schema
+from ingestctl.scratch import small_frame
 from ingestctl.sources.tables import table_exists
 from ingestctl.spec import parse_partition_columns
 
 RAW_PARTITION = "PartitionColumn"
 
+LOAD_SCHEMA = T.StructType(
+    [
+        T.StructField("table_name", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("n_rows", T.LongType()),
+        T.StructField("error_message", T.StringType()),
+    ]
+)
+
 
 @dataclass(frozen=True)
 class WriteCounts:
@@ -28,16 +39,22 @@ class WriteCounts:
 def write_table(
     df: DataFrame, table: str, mode: str = "append", partition_columns: str | list[str] | None = None
 ) -> WriteCounts:
-    """Write in the given mode; rows are counted while they are written, not by another scan."""
+    """Write in the given mode; rows are counted while they are written, not by another scan.
+
+    A partitioned write is rebalanced on its columns first, so that a partition's rows come
+    from few tasks and make few files, while a hot partition is still split over many.
+    """
     spark = df.sparkSession
     mode = mode.lower()
     exists = table_exists(spark, table)
     before = spark.table(table).count() if exists else 0
     if exists and mode == "ignore":
         return WriteCounts(before, before, 0)
+    columns = parse_partition_columns(partition_columns)
+    if columns and spark.conf.get("spark.sql.adaptive.enabled") == "true":
+        df = df.hint("rebalance", *columns)
     observed = Observation()
     writer = df.observe(observed, F.count(F.lit(1)).alias("n_rows")).write.mode(mode)
-    columns = parse_partition_columns(partition_columns)
     if columns:
         writer = writer.partitionBy(*columns)
     writer.saveAsTable(table)
@@ -74,9 +91,7 @@ def truncate_and_load(
 
     with ThreadPoolExecutor(max_workers=concurrency) as pool:
         rows = list(pool.map(load, names))
-    return spark.createDataFrame(
-        rows, "table_name string, status string, n_rows long, error_message string"
-    )
+    return small_frame(spark, rows, LOAD_SCHEMA)
 
 
 def _replace_rows(df: DataFrame, table: str) -> int:

@@ -17,6 +17,7 @@ from ingestctl.functions.text import (
     library_kind,
 )
 from ingestctl.operators.ordering import with_previous
+from ingestctl.scratch import materialise
 
 JOB = "esp_job_id"
 
@@ -134,21 +135,7 @@ def named_dependencies(children: DataFrame) -> DataFrame:
 
 def checked_dependencies(children: DataFrame) -> DataFrame:
     """``named_dependencies`` with ``is_valid``: the name is a task of the job or a control task."""
-    tasks = _task_names(children).select(
-        JOB, F.col("task_name").alias("depends_on"), F.lit(True).alias("is_task")
-    )
-    return (
-        named_dependencies(children)
-        .join(tasks, [JOB, "depends_on"], "left")
-        .select(
-            JOB,
-            "task_name",
-            "depends_on",
-            (F.coalesce("is_task", F.lit(False)) | F.col("depends_on").isin(NAMEABLE_CONTROL_TASKS)).alias(
-                "is_valid"
-            ),
-        )
-    )
+    return _mark_valid(named_dependencies(children), children.select(JOB, "task_name").distinct())
 
 
 def valid_dependencies(children: DataFrame) -> DataFrame:
@@ -160,23 +147,42 @@ def dropped_dependencies(children: DataFrame) -> DataFrame:
     return checked_dependencies(children).where(~F.col("is_valid")).drop("is_valid").distinct()
 
 
-def child_edges(children: DataFrame) -> DataFrame:
+def dependency_table(children: DataFrame) -> DataFrame:
+    """Parsed dependencies of every child row, written once because edges and leaves read them
+    several times."""
+    return materialise(
+        children.select(
+            JOB, "task_name", "invocation_id", "job_id", dependency_names(F.col("depends_on")).alias("names")
+        ),
+        "dependencies",
+    )
+
+
+def child_edges(dependencies: DataFrame) -> DataFrame:
     """Valid dependencies of each task's last definition; a task without any follows the start mark."""
-    last = children.groupBy(JOB, "task_name").agg(
-        F.max_by("depends_on", F.struct("invocation_id", "job_id")).alias("depends_on")
+    tasks = dependencies.groupBy(JOB, "task_name").agg(
+        F.max_by("names", F.struct("invocation_id", "job_id")).alias("names")
     )
-    valid = valid_dependencies(last)
-    roots = last.select(JOB, "task_name").join(valid, [JOB, "task_name"], "left_anti")
+    named = tasks.select(JOB, "task_name", F.explode("names").alias("depends_on"))
+    valid = _mark_valid(named, tasks).where("is_valid").drop("is_valid")
+    roots = tasks.select(JOB, "task_name").join(valid, [JOB, "task_name"], "left_anti")
     return valid.unionByName(roots.withColumn("depends_on", F.lit(MARK_IN_PROGRESS)))
 
 
-def leaf_tasks(children: DataFrame) -> DataFrame:
+def leaf_tasks(dependencies: DataFrame) -> DataFrame:
     """Tasks that no task of the job depends on; all tasks of a job where there is none such."""
-    tasks = _task_names(children)
-    depended = valid_dependencies(children).select(JOB, F.col("depends_on").alias("task_name")).distinct()
-    leaves = tasks.join(depended, [JOB, "task_name"], "left_anti")
-    without_leaf = tasks.select(JOB).distinct().join(leaves.select(JOB).distinct(), JOB, "left_anti")
-    return leaves.unionByName(tasks.join(without_leaf, JOB, "left_semi"))
+    depended = (
+        dependencies.select(JOB, F.explode("names").alias("task_name"))
+        .distinct()
+        .withColumn("is_depended", F.lit(True))
+    )
+    tasks = dependencies.select(JOB, "task_name").distinct()
+    marked = tasks.join(depended, [JOB, "task_name"], "left").select(
+        JOB, "task_name", F.col("is_depended").isNull().alias("is_leaf")
+    )
+    without_leaf = marked.groupBy(JOB).agg(F.bool_or("is_leaf").alias("has_leaf")).where(~F.col("has_leaf"))
+    all_of_job = marked.join(without_leaf, JOB, "left_semi")
+    return marked.where("is_leaf").unionByName(all_of_job).select(JOB, "task_name")
 
 
 def task_edges(children: DataFrame, parents: DataFrame, execution_check: bool = True) -> DataFrame:
@@ -192,19 +198,19 @@ def task_edges(children: DataFrame, parents: DataFrame, execution_check: bool =
         ]
     )
     opening = parents.select(JOB, F.explode(steps).alias("edge")).select(JOB, "edge.*")
-    closing = leaf_tasks(children).select(
+    dependencies = dependency_table(children)
+    closing = leaf_tasks(dependencies).select(
         JOB, F.lit(MARK_COMPLETED).alias("task_name"), F.col("task_name").alias("depends_on")
     )
-    return opening.unionByName(child_edges(children)).unionByName(closing)
+    return opening.unionByName(child_edges(dependencies)).unionByName(closing)
 
 
 def linear_chain(children: DataFrame) -> DataFrame:
     """(job, task, depends_on): explicit dependencies as given, else the preceding task by
     invocation, else the start mark. Children without a path are left out beforehand."""
-    runnable = children.where(F.col("notebook_path").isNotNull()).select(
-        JOB, "invocation_id", "task_name", "depends_on"
-    )
-    chained = with_previous(runnable, [JOB], ["invocation_id", "task_name"], "task_name", "previous")
+    order = ["invocation_id", "task_name", "job_id"]
+    runnable = children.where(F.col("notebook_path").isNotNull()).select(JOB, *order, "depends_on")
+    chained = with_previous(runnable, [JOB], order, "task_name", "previous")
     explicit = dependency_names(F.col("depends_on"))
     implied = F.array(F.coalesce("previous", F.lit(MARK_IN_PROGRESS)))
     return chained.select(
@@ -299,8 +305,16 @@ def attribute_value(attributes: DataFrame, param_type: str, param_name: str) ->
     )
 
 
-def _task_names(children: DataFrame) -> DataFrame:
-    return children.select(JOB, "task_name").distinct()
+def _mark_valid(named: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Add ``is_valid`` to (job, task, depends_on) rows; ``tasks`` has each task name of a job once."""
+    known = tasks.select(JOB, F.col("task_name").alias("depends_on"), F.lit(True).alias("is_task"))
+    is_control = F.col("depends_on").isin(NAMEABLE_CONTROL_TASKS)
+    return named.join(known, [JOB, "depends_on"], "left").select(
+        JOB,
+        "task_name",
+        "depends_on",
+        (F.coalesce("is_task", F.lit(False)) | is_control).alias("is_valid"),
+    )
 
 
 def _uses_runner() -> Column:

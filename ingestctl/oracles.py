@@ -180,6 +180,12 @@ ORACLES: dict[str, str] = {
         SELECT 'no_files' AS entity_name, 'NO_FILES' AS status, 0 AS file_row_count, 0 AS n_audit_rows
         UNION ALL SELECT 'no_rows', 'EMPTY', 0, 0
         UNION ALL SELECT 'with_rows', 'SUCCESS', count(*), 1 FROM customer""",
+    "ingest_derived_partitioned": """
+        SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount,
+               strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate,
+               l_extendedprice * (1 - l_discount) AS net, strftime(l_shipdate, '%Y-%m') AS ship_month,
+               cast(NULL AS varchar) AS load_note, l_returnflag
+        FROM lineitem""",
     "derive_columns": """
         SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net,
                l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross,

@@ -6,11 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ingestctl.operators.audit import append_rows, audit_row, ledger_rows, unprocessed_for
 from ingestctl.operators.config import require_unique_entities, select_config
 from ingestctl.operators.shape import derive, impose_schema
 from ingestctl.operators.sinks import WriteCounts, write_raw, write_table
+from ingestctl.scratch import small_frame
 from ingestctl.sources.files import (
     data_line_width,
     discover_files,
@@ -22,8 +24,14 @@ from ingestctl.sources.files import (
 from ingestctl.sources.tables import table_schema
 from ingestctl.spec import IngestSpec, parse_positions
 
-RESULT_DDL = (
-    "entity_name string, status string, n_files long, file_row_count long, error_message string"
+RESULT_SCHEMA = T.StructType(
+    [
+        T.StructField("entity_name", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("n_files", T.LongType()),
+        T.StructField("file_row_count", T.LongType()),
+        T.StructField("error_message", T.StringType()),
+    ]
 )
 
 
@@ -59,7 +67,7 @@ def ingest_all(
         ingest_entity(spark, row["config_elements"], run, max_files_per_step)
         for row in selected.orderBy("entity_name").collect()
     ]
-    return spark.createDataFrame([result.as_row() for result in results], RESULT_DDL)
+    return small_frame(spark, [result.as_row() for result in results], RESULT_SCHEMA)
 
 
 def ingest_entity(

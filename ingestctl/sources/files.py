@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ingestctl.functions.text import fixed_width_columns
+from ingestctl.scratch import small_frame
 from ingestctl.spec import normalise_delimiter, parse_names, parse_positions
 
 # monotonically_increasing_id() keeps the row's position in its task in the lower 33 bits.
@@ -53,12 +54,7 @@ def read_lines(
     if skip == 0:
         return _text_reader(spark, pattern).text(paths).select("value", "_metadata.file_path")
 
-    split_size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    reader = spark.newSession()
-    reader.conf.set("spark.sql.files.maxPartitionBytes", split_size)
-    reader.conf.set("spark.sql.files.openCostInBytes", split_size)
-    reader.conf.unset("spark.sql.files.maxPartitionNum")
-    numbered = _text_reader(reader, pattern).text(paths).select(
+    numbered = _text_reader(_session_with_one_split_per_task(spark), pattern).text(paths).select(
         "value",
         "_metadata.file_path",
         "_metadata.file_block_start",
@@ -86,7 +82,8 @@ def read_raw_lines(
 def data_line_width(spark: SparkSession, line: str, delimiter: str) -> int:
     """Number of fields of one line, with quoting respected."""
     schema = F.schema_of_csv(F.lit(line), {"sep": normalise_delimiter(delimiter)})
-    return len(T.DataType.fromDDL(spark.range(1).select(schema).first()[0]).fields)
+    one_row = small_frame(spark, [(line,)], T.StructType([T.StructField("line", T.StringType())]))
+    return len(T.DataType.fromDDL(one_row.select(schema).first()[0]).fields)
 
 
 def read_delimited(
@@ -127,6 +124,18 @@ def read_fixed_width(
     return read_raw_lines(spark, paths, skip, pattern).select(*columns)
 
 
+def _session_with_one_split_per_task(spark: SparkSession) -> SparkSession:
+    """A session like the caller's, but for how splits are packed into tasks."""
+    reader = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if not key.startswith("spark.") or spark.conf.isModifiable(key):
+            reader.conf.set(key, value)
+    split_size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    reader.conf.set("spark.sql.files.openCostInBytes", split_size)
+    reader.conf.unset("spark.sql.files.maxPartitionNum")
+    return reader
+
+
 def _text_reader(spark: SparkSession, pattern: str | None):
     return spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern)
 
