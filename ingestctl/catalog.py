@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ingestctl.operators import audit, config, control, lineage, shape, sinks, t
 from ingestctl.plans.ingestion import ingest_all
 from ingestctl.plans.tasks import run_all, run_sql_script
 from ingestctl.scratch import materialise, new_folder
+from ingestctl.session import configure
 from ingestctl.sources import files
 from ingestctl.sources.tables import parquet_reader
 
@@ -21,8 +23,14 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    """Register under the function's name, to run with the settings the operators count on."""
+
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(configure(spark), sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def _land(spark: SparkSession, df: DataFrame, delimiter: str = "|", header_lines: int = 2) -> str:
@@ -661,5 +669,5 @@ def lineage_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_table_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain over every table that has a writer, not only those upstream of one table."""
     history = fx.table_history(spark, sf_dir)
-    tables = history.select("table_name").distinct()
+    tables = materialise(history.select("table_name").distinct(), "tables")
     return lineage.chain_edges(lineage.table_jobs(tables, history, fx.job_runs(spark, sf_dir)))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ingestctl.scratch import new_folder
+from ingestctl.scratch import materialise, new_folder
 
 CONFIG_DDL = (
     "project_id string, dept_id string, job_id string, Entity_Name string, Src_Path string, "
@@ -171,7 +171,7 @@ def job_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(NULL AS string) AS depends_on",
     )
     orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c")
-    ends = orders.groupBy("c").agg(F.min("k").alias("f"), F.max("k").alias("l"))
+    ends = materialise(orders.groupBy("c").agg(F.min("k").alias("f"), F.max("k").alias("l")), "ends")
     defined = orders.join(ends, "c").selectExpr(
         "*", "explode(CASE WHEN k % 17 = 0 THEN array(0L, 1L) ELSE array(0L) END) AS again"
     )

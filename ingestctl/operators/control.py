@@ -112,18 +112,18 @@ def status_view(events: DataFrame) -> DataFrame:
     )
 
 
-def completed_runs(status: DataFrame) -> DataFrame:
-    return status.where(F.lower("status") == "completed").select(*JOB_KEY)
+def completed_jobs(status: DataFrame) -> DataFrame:
+    return status.where(F.lower("status") == "completed").select(*JOB_KEY).distinct()
 
 
 def already_executed(jobs: DataFrame, status: DataFrame) -> DataFrame:
     """Jobs with a completed run in their batch."""
-    return jobs.join(completed_runs(status), JOB_KEY, "left_semi")
+    return jobs.join(completed_jobs(status), JOB_KEY, "left_semi")
 
 
 def runnable_jobs(jobs: DataFrame, status: DataFrame) -> DataFrame:
     """Jobs without a completed run in their batch."""
-    return jobs.join(completed_runs(status), JOB_KEY, "left_anti")
+    return jobs.join(completed_jobs(status), JOB_KEY, "left_anti")
 
 
 def require_not_executed(
@@ -135,7 +135,7 @@ def require_not_executed(
         & (F.col("dept_id") == dept_id)
         & (F.col("job_id") == job_id)
     )
-    if not completed_runs(status).where(mine).isEmpty():
+    if not completed_jobs(status).where(mine).isEmpty():
         raise AlreadyExecuted(
             f"Job execution already exists for batch_id: {batch_id} and job_id: {job_id}."
         )
@@ -147,7 +147,7 @@ def parent_jobs(jobs: DataFrame, parameters: DataFrame) -> DataFrame:
     first = parameters.groupBy(*key).agg(
         F.min_by("parent_job_id", F.struct("invocation_id", "parent_job_id")).alias("parent_job_id")
     )
-    return jobs.join(first, key, "left")
+    return jobs.join(materialise(first, "parents"), key, "left")
 
 
 def record_event(

@@ -112,7 +112,10 @@ def run_jobs(runs: DataFrame, parameter: str = "esp_job_id") -> DataFrame:
 
 
 def table_jobs(tables: DataFrame, history: DataFrame, runs: DataFrame) -> DataFrame:
-    """(table, job): the job that last wrote each table, NULL where it is not known."""
+    """(table, job): the job that last wrote each table, NULL where it is not known.
+
+    ``tables`` is a written table with each name once.
+    """
     relevant = history.join(tables, "table_name", "left_semi")
     written = tables.join(latest_runs(relevant), "table_name", "left")
     return written.join(run_jobs(runs), "run_id", "left").select("table_name", "esp_job_id")

@@ -40,7 +40,7 @@ PARENT_PARAMETERS = ["proj_id", "dept_id", "job_id", "parent_job_id"]
 
 
 def parent_rows(params: DataFrame) -> DataFrame:
-    """The first parent row of each job by invocation, with its payload parsed."""
+    """The first parent row of each job by invocation, with its payload parsed; a written table."""
     columns = ["proj_id", "dept_id", "job_id", "parent_job_id", "parameter_value", "cluster_details"]
     first = (
         params.where(F.col("job_type") == "parent")
@@ -48,7 +48,7 @@ def parent_rows(params: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct(*columns), F.struct("invocation_id", "job_id")).alias("row"))
         .select(JOB, "row.*")
     )
-    return first.withColumn("job_params", json_map(F.col("parameter_value")))
+    return materialise(first, "parents").withColumn("job_params", json_map(F.col("parameter_value")))
 
 
 def child_rows(params: DataFrame, parents: DataFrame) -> DataFrame:
@@ -135,7 +135,8 @@ def named_dependencies(children: DataFrame) -> DataFrame:
 
 def checked_dependencies(children: DataFrame) -> DataFrame:
     """``named_dependencies`` with ``is_valid``: the name is a task of the job or a control task."""
-    return _mark_valid(named_dependencies(children), children.select(JOB, "task_name").distinct())
+    tasks = materialise(children.select(JOB, "task_name").distinct(), "tasks")
+    return _mark_valid(named_dependencies(children), tasks)
 
 
 def valid_dependencies(children: DataFrame) -> DataFrame:
@@ -160,8 +161,11 @@ def dependency_table(children: DataFrame) -> DataFrame:
 
 def child_edges(dependencies: DataFrame) -> DataFrame:
     """Valid dependencies of each task's last definition; a task without any follows the start mark."""
-    tasks = dependencies.groupBy(JOB, "task_name").agg(
-        F.max_by("names", F.struct("invocation_id", "job_id")).alias("names")
+    tasks = materialise(
+        dependencies.groupBy(JOB, "task_name").agg(
+            F.max_by("names", F.struct("invocation_id", "job_id")).alias("names")
+        ),
+        "tasks",
     )
     named = tasks.select(JOB, "task_name", F.explode("names").alias("depends_on"))
     valid = _mark_valid(named, tasks).where("is_valid").drop("is_valid")
@@ -180,7 +184,9 @@ def leaf_tasks(dependencies: DataFrame) -> DataFrame:
     marked = tasks.join(depended, [JOB, "task_name"], "left").select(
         JOB, "task_name", F.col("is_depended").isNull().alias("is_leaf")
     )
-    without_leaf = marked.groupBy(JOB).agg(F.bool_or("is_leaf").alias("has_leaf")).where(~F.col("has_leaf"))
+    without_leaf = materialise(
+        marked.groupBy(JOB).agg(F.bool_or("is_leaf").alias("has_leaf")).where(~F.col("has_leaf")), "leafless"
+    )
     all_of_job = marked.join(without_leaf, JOB, "left_semi")
     return marked.where("is_leaf").unionByName(all_of_job).select(JOB, "task_name")
 
@@ -306,7 +312,8 @@ def attribute_value(attributes: DataFrame, param_type: str, param_name: str) ->
 
 
 def _mark_valid(named: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Add ``is_valid`` to (job, task, depends_on) rows; ``tasks`` has each task name of a job once."""
+    """Add ``is_valid`` to (job, task, depends_on) rows; ``tasks`` is a written table that has each
+    task name of a job once."""
     known = tasks.select(JOB, F.col("task_name").alias("depends_on"), F.lit(True).alias("is_task"))
     is_control = F.col("depends_on").isin(NAMEABLE_CONTROL_TASKS)
     return named.join(known, [JOB, "depends_on"], "left").select(

@@ -14,12 +14,13 @@ from ingestctl.operators.shape import derive, impose_schema
 from ingestctl.operators.sinks import WriteCounts, write_raw, write_table
 from ingestctl.scratch import small_frame
 from ingestctl.sources.files import (
+    as_raw,
     data_line_width,
     discover_files,
+    parse_delimited,
+    parse_fixed_width,
     read_delimited,
-    read_fixed_width,
     read_lines,
-    read_raw_lines,
 )
 from ingestctl.sources.tables import table_schema
 from ingestctl.spec import IngestSpec, parse_positions
@@ -130,15 +131,17 @@ def _load_step(
         return None
     names = _column_names(spark, spec, first[0]["value"])
     if spec.fixed_width:
-        df = read_fixed_width(spark, paths, names, spec.positions or "", spec.skip_lines)
+        df = parse_fixed_width(lines, names, spec.positions or "")
+    elif spec.skip_lines:
+        df = parse_delimited(lines, names, spec.delimiter)
     else:
-        df = read_delimited(spark, paths, names, spec.delimiter, spec.skip_lines)
+        df = read_delimited(spark, paths, names, spec.delimiter)
     df = derive(df, spec.transformations)
     target = table_schema(spark, spec.target_table)
     if target is not None:
         df = impose_schema(df, target, extras="error")
     if spec.raw_flag:
-        write_raw(read_raw_lines(spark, paths, spec.skip_lines), spec.raw_table, spec.transformations)
+        write_raw(as_raw(lines), spec.raw_table, spec.transformations)
     return write_table(df, spec.target_table, mode, spec.partition_column)
 
 

@@ -2,6 +2,9 @@
 
 Lineage is cut by writing a table there and reading it back, so a lost executor costs
 nothing that was already written, and the file sizes give the optimizer real statistics.
+The unique side of a join is written first where the other side may have a hot key: a small
+one is then broadcast, and a large one meets the join as a plain shuffle, which is what
+adaptive execution can split (it leaves a join with an aggregate right below it alone).
 """
 
 from __future__ import annotations

@@ -1,0 +1,59 @@
+import pytest
+from pyspark.errors import AnalysisException
+
+from ingestctl.operators import sinks
+from tests.conftest import rows
+
+
+def test_modes(spark, database):
+    df, table = spark.range(5), f"{database}.t"
+    assert sinks.write_table(df, table, "append") == sinks.WriteCounts(0, 5, 5)
+    assert sinks.write_table(df, table, "append") == sinks.WriteCounts(5, 10, 5)
+    assert sinks.write_table(df, table, "ignore") == sinks.WriteCounts(10, 10, 0)
+    assert sinks.write_table(df, table, "Overwrite") == sinks.WriteCounts(10, 5, 5)
+    with pytest.raises(AnalysisException):
+        sinks.write_table(df, table, "error")
+    assert spark.table(table).count() == 5
+
+
+def test_empty_frame_is_counted(spark, database):
+    table = f"{database}.t"
+    assert sinks.write_table(spark.range(5).where("id < 0"), table) == sinks.WriteCounts(0, 0, 0)
+    assert sinks.write_table(spark.createDataFrame([], "id long"), table) == sinks.WriteCounts(0, 0, 0)
+
+
+def test_partitions(spark, database):
+    df = spark.range(1000).selectExpr("id", "id % 3 AS a", "id % 2 AS b")
+    sinks.write_table(df, f"{database}.one", "append", "a")
+    sinks.write_table(df, f"{database}.two", "append", ["a", "b"])
+    assert spark.sql(f"SHOW PARTITIONS {database}.one").count() == 3
+    assert spark.sql(f"SHOW PARTITIONS {database}.two").count() == 6
+    assert len(spark.table(f"{database}.two").inputFiles()) == 6
+    with pytest.raises(ValueError):
+        sinks.write_table(df, f"{database}.three", "append", 7)
+
+
+def test_raw_needs_its_partition_column(spark, database):
+    raw = spark.createDataFrame([("x",)], "raw_data string")
+    with pytest.raises(ValueError, match="PartitionColumn"):
+        sinks.write_raw(raw, f"{database}.raw", "")
+    spec = '[{"column_name": "PartitionColumn", "transformation_logic": "upper(raw_data)"}]'
+    sinks.write_raw(raw, f"{database}.raw", spec)
+    assert rows(spark.table(f"{database}.raw")) == [("x", "X")]
+
+
+def test_truncate_and_load_keeps_the_types_and_goes_on_after_a_failure(spark, database):
+    spark.sql(f"CREATE TABLE {database}.a (id int, note string) USING parquet")
+    spark.sql(f"INSERT INTO {database}.a VALUES (7, 'old')")
+
+    def reader(name):
+        if name == "broken":
+            raise RuntimeError("no such source")
+        return spark.range(4)
+
+    loaded = sinks.truncate_and_load(spark, ["a", "broken", "b"], reader, database, concurrency=2)
+    assert rows(loaded.select("table_name", "status", "n_rows")) == [
+        ("a", "SUCCESS", 4), ("b", "SUCCESS", 4), ("broken", "FAILURE", None),
+    ]
+    assert rows(spark.table(f"{database}.a")) == [(i, None) for i in range(4)]
+    assert spark.table(f"{database}.a").dtypes == [("id", "int"), ("note", "string")]
