@@ -140,17 +140,17 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job parameter table: a parent per customer, a child per order.
 
-    Some customers have no parent row and some have two. Every 17th order has a second, later
+    Every 11th customer's row is a draft, so its job has no parent; some customers have two rows. Every 17th order has a second, later
     definition. Dependencies come as JSON names, JSON objects, list text that is not JSON,
     unknown names and nothing; some payloads are not JSON.
     """
-    parent = table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0").selectExpr(
+    parent = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS c",
         "explode(CASE WHEN c_custkey % 5 = 0 THEN array(0L, 1L) ELSE array(0L) END) AS invocation_id",
     )
     parents = parent.selectExpr(
         "concat('J', c) AS esp_job_id",
-        "'parent' AS job_type",
+        "CASE WHEN c % 11 = 0 THEN 'draft' ELSE 'parent' END AS job_type",
         "concat('p', c % 3) AS proj_id",
         "concat('d', c % 2) AS dept_id",
         "concat(CASE invocation_id WHEN 0 THEN 'job' ELSE 'late' END, c) AS job_id",
@@ -257,7 +257,7 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey AS child_no",
         """explode(filter(array(
              CASE WHEN p_partkey > 0 THEN p_partkey div 3 END,
-             CASE WHEN p_partkey % 11 = 0 THEN (p_partkey * 7 + 1) % 500 END),
+             CASE WHEN p_partkey % 5 < 2 THEN (p_partkey * 7 + 1) % 500 END),
              n -> n IS NOT NULL AND n <> p_partkey)) AS parent_no""",
     )
     return (
@@ -271,8 +271,8 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_root(spark: SparkSession, sf_dir: str) -> str:
-    """The table with the largest number that has two parents."""
-    largest = table(spark, sf_dir, "part").where("p_partkey % 11 = 0").agg(F.max("p_partkey").alias("n"))
+    """The table with the largest number."""
+    largest = table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("n"))
     return largest.selectExpr(_TABLE_NAME.format("n") + " AS root").first()["root"]
 
 

@@ -8,8 +8,18 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ingestctl.operators.control import COMPLETED, FAILED, IN_PROGRESS, record_event
+from ingestctl.operators.control import (
+    COMPLETED,
+    FAILED,
+    IN_PROGRESS,
+    parent_jobs,
+    record_event,
+    require_not_executed,
+    require_open_batch,
+    status_view,
+)
 from ingestctl.operators.sinks import WriteCounts, write_table
+from ingestctl.sources.tables import table_exists
 
 
 @contextmanager
@@ -51,5 +61,33 @@ def run_all(
     return failed
 
 
-def events(spark: SparkSession, events_table: str) -> DataFrame:
-    return spark.table(events_table)
+@contextmanager
+def run_in_open_batch(
+    spark: SparkSession,
+    batches: DataFrame,
+    events_table: str,
+    *,
+    proj_id: str,
+    dept_id: str,
+    job_id: str,
+    parameters: DataFrame | None = None,
+    **run: Any,
+):
+    """``run_task`` in the open batch, whose id it yields.
+
+    Raises ``NoOpenBatch`` without one, and ``AlreadyExecuted`` if the job has a completed run
+    in it. The parent job comes from the parameter table where that is given.
+    """
+    batch_id = require_open_batch(batches)
+    if table_exists(spark, events_table):
+        require_not_executed(status_view(spark.table(events_table)), batch_id, proj_id, dept_id, job_id)
+    parent_job_id = None
+    if parameters is not None:
+        schema = "proj_id string, dept_id string, job_id string"
+        wanted = spark.createDataFrame([(proj_id, dept_id, job_id)], schema)
+        parent_job_id = parent_jobs(wanted, parameters).first()["parent_job_id"]
+    with run_task(
+        spark, events_table, batch_id=batch_id, proj_id=proj_id, dept_id=dept_id, job_id=job_id,
+        parent_job_id=parent_job_id, **run,
+    ):
+        yield batch_id

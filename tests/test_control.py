@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from ingestctl.operators import control
-from ingestctl.plans.tasks import run_sql_script, run_task
+from ingestctl.plans.tasks import run_in_open_batch, run_sql_script, run_task
 from tests.conftest import rows
 
 
@@ -112,6 +112,29 @@ def test_task_events(spark, database):
     assert status["bad"]["proj_id"] is None
 
 
+def test_run_in_open_batch(spark, database):
+    table = f"{database}.events"
+    batches = spark.createDataFrame([(3, "open"), (2, "open")], "batch_id long, status string")
+    params = spark.createDataFrame(
+        [("p", "d", "j", "mother", 1)],
+        "proj_id string, dept_id string, job_id string, parent_job_id string, invocation_id int",
+    )
+    job = {"proj_id": "p", "dept_id": "d", "job_id": "j", "run_id": "r1", "parameters": params}
+    with pytest.raises(RuntimeError, match="first try"):
+        with run_in_open_batch(spark, batches, table, **job):
+            raise RuntimeError("first try")
+    with run_in_open_batch(spark, batches, table, **{**job, "run_id": "r2"}) as batch_id:
+        assert batch_id == 3
+    with pytest.raises(control.AlreadyExecuted):
+        with run_in_open_batch(spark, batches, table, **job):
+            raise AssertionError("must not run")
+    with pytest.raises(control.NoOpenBatch):
+        with run_in_open_batch(spark, batches.where("batch_id > 9"), table, **job):
+            raise AssertionError("must not run")
+    status = control.status_view(spark.table(table)).select("run_id", "status", "parent_job_id")
+    assert rows(status) == [("r1", "FAILED", "mother"), ("r2", "COMPLETED", "mother")]
+
+
 def test_sql_script_is_run_and_written(spark, database):
     counts = run_sql_script(spark, 'SELECT "it is \'text\'" AS m, :n AS n', {"n": 3}, f"{database}.out")
     assert counts.written == 1
