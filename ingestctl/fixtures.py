@@ -257,7 +257,7 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey AS child_no",
         """explode(filter(array(
              CASE WHEN p_partkey > 0 THEN p_partkey div 3 END,
-             CASE WHEN p_partkey % 5 < 2 THEN (p_partkey * 7 + 1) % 500 END),
+             CASE WHEN p_partkey % 11 = 0 THEN (p_partkey * 7 + 1) % 500 END),
              n -> n IS NOT NULL AND n <> p_partkey)) AS parent_no""",
     )
     return (
@@ -271,8 +271,9 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_root(spark: SparkSession, sf_dir: str) -> str:
-    """The table with the largest number."""
-    largest = table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("n"))
+    """Where to start: the table with the largest number that has two parents."""
+    two_parents = F.when(F.col("p_partkey") % 11 == 0, F.col("p_partkey"))
+    largest = table(spark, sf_dir, "part").agg(F.max(two_parents).alias("n"))
     return largest.selectExpr(_TABLE_NAME.format("n") + " AS root").first()["root"]
 
 

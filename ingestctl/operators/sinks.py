@@ -37,12 +37,18 @@ class WriteCounts:
 
 
 def write_table(
-    df: DataFrame, table: str, mode: str = "append", partition_columns: str | list[str] | None = None
+    df: DataFrame,
+    table: str,
+    mode: str = "append",
+    partition_columns: str | list[str] | None = None,
+    rebalance: bool = False,
 ) -> WriteCounts:
     """Write in the given mode; rows are counted while they are written, not by another scan.
 
-    A partitioned write is rebalanced on its columns first, so that a partition's rows come
-    from few tasks and make few files, while a hot partition is still split over many.
+    A write does not shuffle. Where a load has many partition values, ``rebalance`` spends one
+    shuffle to bring a value's rows into few files; adaptive execution still splits a hot value
+    over many tasks. The count comes last, after any shuffle, so that a recomputed map task
+    cannot add to it.
     """
     spark = df.sparkSession
     mode = mode.lower()
@@ -51,7 +57,7 @@ def write_table(
     if exists and mode == "ignore":
         return WriteCounts(before, before, 0)
     columns = parse_partition_columns(partition_columns)
-    if columns and spark.conf.get("spark.sql.adaptive.enabled") == "true":
+    if columns and rebalance:
         df = df.hint("rebalance", *columns)
     observed = Observation()
     writer = df.observe(observed, F.count(F.lit(1)).alias("n_rows")).write.mode(mode)

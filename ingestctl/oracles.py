@@ -89,7 +89,7 @@ WITH RECURSIVE numbered AS (
   SELECT DISTINCT a, b FROM (
     SELECT p_partkey AS a, p_partkey // 3 AS b FROM part WHERE p_partkey > 0
     UNION ALL
-    SELECT p_partkey, (p_partkey * 7 + 1) % 500 FROM part WHERE p_partkey % 5 < 2) e
+    SELECT p_partkey, (p_partkey * 7 + 1) % 500 FROM part WHERE p_partkey % 11 = 0) e
   WHERE a <> b),
 edges AS (
   SELECT {_TABLE_NAME.format('a')} AS child, {_TABLE_NAME.format('b')} AS parent,
@@ -97,7 +97,7 @@ edges AS (
   FROM numbered),
 root AS (
   SELECT {_TABLE_NAME.format('n')} AS node
-  FROM (SELECT max(p_partkey) AS n FROM part) m),
+  FROM (SELECT max(p_partkey) FILTER (WHERE p_partkey % 11 = 0) AS n FROM part) m),
 reached AS (
   SELECT node FROM root
   UNION
@@ -362,7 +362,7 @@ ORACLES: dict[str, str] = {
         , levels AS (
           SELECT node AS table_name, 0 AS depth FROM root
           UNION
-          SELECT e.parent, l.depth + 1 FROM levels l JOIN edges e ON e.child = l.table_name WHERE l.depth < 60)
+          SELECT e.parent, l.depth + 1 FROM levels l JOIN edges e ON e.child = l.table_name WHERE l.depth < 30)
         SELECT table_name, cast(min(depth) AS bigint) AS depth FROM levels GROUP BY table_name""",
     "upstream_suffix_rule": _LINEAGE + """
         , expanded AS (

@@ -87,7 +87,7 @@ def ingest_entity(
         pending = unprocessed_for(spark, listing, spec.ledger_table, spec.target_table)
         mode = spec.table_mode
         while files := _next_files(pending, files, max_files_per_step):
-            counts = _load_step(spark, spec, [row["path"] for row in files], mode)
+            counts = _load_step(spark, spec, files, mode)
             if counts is None:
                 result.status = "EMPTY" if result.status == "NO_FILES" else result.status
                 continue
@@ -122,10 +122,12 @@ def _next_files(pending: DataFrame, previous: list[Row], limit: int) -> list[Row
 
 
 def _load_step(
-    spark: SparkSession, spec: IngestSpec, paths: list[str], mode: str
+    spark: SparkSession, spec: IngestSpec, files: list[Row], mode: str
 ) -> WriteCounts | None:
     """Write the rows of the given files; ``None`` if they hold no data line."""
-    lines = read_lines(spark, paths, spec.skip_lines)
+    paths = [row["path"] for row in files]
+    total_bytes = sum(row["length"] for row in files)
+    lines = read_lines(spark, paths, spec.skip_lines, total_bytes=total_bytes)
     first = (lines if spec.fixed_width else lines.where(F.trim("value") != "")).head(1)
     if not first:
         return None

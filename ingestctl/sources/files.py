@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ingestctl.functions.text import fixed_width_columns
 from ingestctl.scratch import small_frame
-from ingestctl.spec import normalise_delimiter, parse_names, parse_positions
+from ingestctl.spec import normalise_delimiter, parse_bytes, parse_names, parse_positions
 
 # monotonically_increasing_id() keeps the row's position in its task in the lower 33 bits.
 _ROW_IN_TASK = (1 << 33) - 1
@@ -43,18 +43,24 @@ def source_files(df: DataFrame) -> DataFrame:
 
 
 def read_lines(
-    spark: SparkSession, paths: str | list[str], skip: int = 0, pattern: str | None = None
+    spark: SparkSession,
+    paths: str | list[str],
+    skip: int = 0,
+    pattern: str | None = None,
+    total_bytes: int | None = None,
 ) -> DataFrame:
     """Lines as (value, file_path), without the first ``skip`` lines of each file.
 
     Files are split as usual. Skipping costs no second read: with the cost of opening a file
     set to a full partition, every split gets a task of its own, so the row position in the
     task is the line position in the split. The skipped lines must lie in a file's first split.
+    With the size of all files known, small inputs are split finer, as Spark does by itself.
     """
     if skip == 0:
         return _text_reader(spark, pattern).text(paths).select("value", "_metadata.file_path")
 
-    numbered = _text_reader(_session_with_one_split_per_task(spark), pattern).text(paths).select(
+    reader = _session_with_one_split_per_task(spark, total_bytes)
+    numbered = _text_reader(reader, pattern).text(paths).select(
         "value",
         "_metadata.file_path",
         "_metadata.file_block_start",
@@ -115,14 +121,19 @@ def read_delimited(
     return reader.option("sep", normalise_delimiter(delimiter)).csv(paths)
 
 
-def _session_with_one_split_per_task(spark: SparkSession) -> SparkSession:
+def _session_with_one_split_per_task(spark: SparkSession, total_bytes: int | None = None) -> SparkSession:
     """A session like the caller's, but for how splits are packed into tasks."""
     reader = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if not key.startswith("spark.") or spark.conf.isModifiable(key):
             reader.conf.set(key, value)
-    split_size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    reader.conf.set("spark.sql.files.openCostInBytes", split_size)
+    split_size = parse_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if total_bytes is not None:
+        smallest = parse_bytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+        per_core = total_bytes // spark.sparkContext.defaultParallelism
+        split_size = min(split_size, max(smallest, per_core))
+    reader.conf.set("spark.sql.files.maxPartitionBytes", str(split_size))
+    reader.conf.set("spark.sql.files.openCostInBytes", str(split_size))
     reader.conf.unset("spark.sql.files.maxPartitionNum")
     return reader
 

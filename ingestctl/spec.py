@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Row
@@ -30,6 +31,14 @@ def normalise_delimiter(value: str) -> str:
     return DELIMITER_ALIASES.get(value, value)
 
 
+def parse_bytes(text: str) -> int:
+    """A size setting such as ``134217728b``, ``128m``, ``1 GB`` or a plain number."""
+    match = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)i?b?\s*", str(text).lower())
+    if not match:
+        raise ValueError(f"not a size: {text!r}")
+    return int(match[1]) * 1024 ** " kmgt".index(match[2] or " ")
+
+
 def parse_names(header: str | list[str] | None) -> list[str]:
     """``'a, b ,c'`` -> ``['a', 'b', 'c']``; a list is only trimmed."""
     if not header:

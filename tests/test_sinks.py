@@ -25,7 +25,7 @@ def test_empty_frame_is_counted(spark, database):
 def test_partitions(spark, database):
     df = spark.range(1000).selectExpr("id", "id % 3 AS a", "id % 2 AS b")
     sinks.write_table(df, f"{database}.one", "append", "a")
-    sinks.write_table(df, f"{database}.two", "append", ["a", "b"])
+    sinks.write_table(df, f"{database}.two", "append", ["a", "b"], rebalance=True)
     assert spark.sql(f"SHOW PARTITIONS {database}.one").count() == 3
     assert spark.sql(f"SHOW PARTITIONS {database}.two").count() == 6
     assert len(spark.table(f"{database}.two").inputFiles()) == 6

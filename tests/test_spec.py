@@ -25,6 +25,15 @@ def test_delimiter_aliases():
     assert spec.normalise_delimiter("|") == "|"
 
 
+def test_sizes():
+    assert spec.parse_bytes("134217728b") == 134217728
+    assert spec.parse_bytes("128m") == spec.parse_bytes("128MB") == 134217728
+    assert spec.parse_bytes(" 1 GiB ") == 2**30
+    assert spec.parse_bytes("42") == 42
+    with pytest.raises(ValueError):
+        spec.parse_bytes("many")
+
+
 def test_positions():
     assert spec.parse_positions("1-5,6-11") == [(1, 5), (6, 11)]
     for bad in ["5-1", "0-3", "a-b", ""]:
