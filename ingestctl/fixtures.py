@@ -153,7 +153,7 @@ def job_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN c % 11 = 0 THEN 'draft' ELSE 'parent' END AS job_type",
         "concat('p', c % 3) AS proj_id",
         "concat('d', c % 2) AS dept_id",
-        "concat(CASE invocation_id WHEN 0 THEN 'job' ELSE 'late' END, c) AS job_id",
+        "concat(CASE WHEN c % 11 = 0 THEN 'draft' WHEN invocation_id = 0 THEN 'job' ELSE 'late' END, c) AS job_id",
         "concat('job', c) AS parent_job_id",
         "invocation_id",
         "cast(NULL AS boolean) AS use_runner",
