@@ -355,9 +355,9 @@ def _audit_columns(audited: DataFrame) -> DataFrame:
     return audited.select(
         "entity_name",
         "status",
-        "previous_row_count_in_table",
-        "new_row_count_in_table",
-        "file_row_count",
+        F.coalesce("previous_row_count_in_table", F.lit(-1)).alias("previous_row_count_in_table"),
+        F.coalesce("new_row_count_in_table", F.lit(-1)).alias("new_row_count_in_table"),
+        F.coalesce("file_row_count", F.lit(-1)).alias("file_row_count"),
         F.col("error_message").isNotNull().alias("has_error"),
         (F.size("file_names") > 0).alias("has_files"),
         "file_pattern",
@@ -497,7 +497,8 @@ def job_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, children = _graph(spark, sf_dir)
     return children.select(
-        "esp_job_id", "invocation_id", "job_id", "task_name", "use_runner", "notebook_path", "parameter_type"
+        "esp_job_id", "invocation_id", "job_id", "task_name", F.col("use_runner").cast("string").alias("use_runner"),
+        "notebook_path", "parameter_type",
     )
 
 

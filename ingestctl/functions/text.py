@@ -24,7 +24,8 @@ def fixed_width_columns(
 
 def json_object(text: Column) -> Column:
     """JSON object text as a map of texts, NULL where it is not a JSON object."""
-    return F.from_json(text, "map<string,string>", _STRICT)
+    parsed = F.from_json(text, "map<string,string>", _STRICT)
+    return F.when(text.rlike(r"\}\s*\z"), parsed)
 
 
 def json_map(text: Column) -> Column:
@@ -34,9 +35,12 @@ def json_map(text: Column) -> Column:
 
 def json_list(text: Column) -> Column:
     """JSON array text as a list of texts, empty where it is not a JSON array."""
-    return F.coalesce(
-        F.from_json(text, "array<string>", _STRICT), F.expr("cast(array() as array<string>)")
-    )
+    return F.coalesce(_json_array(text), F.expr("cast(array() as array<string>)"))
+
+
+def _json_array(text: Column) -> Column:
+    parsed = F.from_json(text, "array<string>", _STRICT)
+    return F.when(text.rlike(r"\]\s*\z"), parsed)
 
 
 def listed_names(text: Column) -> Column:
@@ -52,7 +56,7 @@ def dependency_names(text: Column) -> Column:
     list text; NULL and blank give an empty list.
     """
     from_array = F.transform(
-        F.from_json(text, "array<string>", _STRICT),
+        _json_array(text),
         lambda entry: F.when(
             entry.startswith("{"), F.coalesce(F.get_json_object(entry, "$.task_key"), F.lit(""))
         ).otherwise(entry),

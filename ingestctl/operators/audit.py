@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from threading import Lock
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ingestctl.scratch import small_frame
 from ingestctl.sources.tables import table_exists
 from ingestctl.spec import IngestSpec
 
+_one_append_at_a_time = Lock()
+
 AUDIT_SCHEMA = T.StructType(
     [
         T.StructField("processed_timestamp", T.TimestampType(), False),
@@ -93,7 +96,9 @@ def ledger_rows(
 
 
 def append_rows(rows: DataFrame, table: str) -> None:
-    rows.write.mode("append").saveAsTable(table)
+    """Append, one at a time: entities loaded side by side share their audit tables."""
+    with _one_append_at_a_time:
+        rows.write.mode("append").saveAsTable(table)
 
 
 def unprocessed_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:

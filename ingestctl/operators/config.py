@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ def duplicate_entities(config: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def require_unique_entities(selected: DataFrame) -> None:
-    duplicates = duplicate_entities(selected, ["entity_name"]).orderBy("entity_name").take(20)
+def require_unique_entities(names: list[str]) -> None:
+    """Refuse a load that names an entity twice; ``names`` are the entities of one job."""
+    duplicates = sorted(name for name, n_entries in Counter(names).items() if n_entries > 1)
     if duplicates:
-        names = [row["entity_name"] for row in duplicates]
-        raise ValueError(f"Duplicate entries found for entity_names, the first being: {names}")
+        raise ValueError(f"Duplicate entries found for entity_names: {duplicates}")

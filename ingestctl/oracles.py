@@ -232,7 +232,7 @@ ORACLES: dict[str, str] = {
     "audit_failure": _AUDIT.format("good_header", "customer")
     + """
         UNION ALL
-        SELECT 'bad_header', 'FAILURE', NULL, NULL, NULL, true, true, '*.txt', 'load', 'w1', 'r1'""",
+        SELECT 'bad_header', 'FAILURE', -1, -1, -1, true, true, '*.txt', 'load', 'w1', 'r1'""",
     "open_batch": "SELECT max(o_orderkey) AS batch_id FROM orders WHERE o_orderstatus = 'O'",
     "job_status_fold": _EVENTS + """
         SELECT batch_id, job_id, run_id, proj_id, dept_id, parent_job_id, workflow_id, run_url, status,
@@ -265,7 +265,7 @@ ORACLES: dict[str, str] = {
         FROM parents""",
     "job_children": _CHILDREN + """
         SELECT esp_job_id, invocation_id, job_id, task_name,
-               CASE WHEN runner THEN true WHEN k % 3 <> 0 THEN false END AS use_runner,
+               CASE WHEN runner THEN 'true' WHEN k % 3 <> 0 THEN 'false' END AS use_runner,
                path AS notebook_path, 'task' AS parameter_type
         FROM children""",
     "eav_children": """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -17,6 +18,7 @@ from ingestctl.sources.files import (
     as_raw,
     data_line_width,
     discover_files,
+    literal_path,
     parse_delimited,
     parse_fixed_width,
     read_delimited,
@@ -59,15 +61,21 @@ def ingest_all(
     workflow_id: str | None = None,
     run_id: str | None = None,
     max_files_per_step: int = 10_000,
+    concurrency: int = 1,
 ) -> DataFrame:
-    """Ingest every entity configured for a job; one entity's failure does not stop the others."""
-    selected = select_config(config, project_id, dept_id, job_id)
-    require_unique_entities(selected)
+    """Ingest every entity configured for a job; one entity's failure does not stop the others.
+
+    At most ``concurrency`` entities are loaded side by side.
+    """
+    entities = select_config(config, project_id, dept_id, job_id).collect()
+    require_unique_entities([row["entity_name"] for row in entities])
     run = {"job_id": job_id, "workflow_id": workflow_id, "run_id": run_id}
-    results = [
-        ingest_entity(spark, row["config_elements"], run, max_files_per_step)
-        for row in selected.orderBy("entity_name").collect()
-    ]
+
+    def load(row: Row) -> EntityResult:
+        return ingest_entity(spark, row["config_elements"], run, max_files_per_step)
+
+    with ThreadPoolExecutor(max_workers=concurrency) as pool:
+        results = list(pool.map(load, sorted(entities, key=lambda row: row["entity_name"])))
     return small_frame(spark, [result.as_row() for result in results], RESULT_SCHEMA)
 
 
@@ -86,7 +94,9 @@ def ingest_entity(
         listing = discover_files(spark, spec.source_path, spec.file_pattern)
         pending = unprocessed_for(spark, listing, spec.ledger_table, spec.target_table)
         mode = spec.table_mode
-        while files := _next_files(pending, files, max_files_per_step):
+        more = True
+        while more and (files := _next_files(pending, files, max_files_per_step)):
+            more = len(files) == max_files_per_step
             counts = _load_step(spark, spec, files, mode)
             if counts is None:
                 result.status = "EMPTY" if result.status == "NO_FILES" else result.status
@@ -125,7 +135,7 @@ def _load_step(
     spark: SparkSession, spec: IngestSpec, files: list[Row], mode: str
 ) -> WriteCounts | None:
     """Write the rows of the given files; ``None`` if they hold no data line."""
-    paths = [row["path"] for row in files]
+    paths = [literal_path(row["path"]) for row in files]
     total_bytes = sum(row["length"] for row in files)
     lines = read_lines(spark, paths, spec.skip_lines, total_bytes=total_bytes)
     first = (lines if spec.fixed_width else lines.where(F.trim("value") != "")).head(1)

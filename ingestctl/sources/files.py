@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,11 @@ def discover_files(spark: SparkSession, directory: str | list[str], pattern: str
     )
 
 
+def literal_path(path: str) -> str:
+    """A path to read as it is, glob characters in it escaped."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def source_files(df: DataFrame) -> DataFrame:
     """The distinct files a frame was read from; ``df`` must come straight from a file scan."""
     return df.select(F.col("_metadata.file_path").alias("file_path")).distinct()

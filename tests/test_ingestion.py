@@ -58,6 +58,22 @@ def test_steps_of_bounded_size_load_every_file_once(spark, database, tmp_path, m
     assert all(len(row["file_names"]) <= 2 for row in audit(spark, database))
 
 
+def test_glob_characters_in_file_names(spark, database, tmp_path):
+    for number, name in enumerate(["a[1].txt", "b{x}.txt", "a1.txt", "c d%20e.txt"]):
+        put(tmp_path, name, f"h\n{number}|x\n")
+    assert run(spark, entity(database, tmp_path))["e"]["n_files"] == 4
+    assert sorted(row["a"] for row in spark.table(f"{database}.e").collect()) == ["0", "1", "2", "3"]
+
+
+def test_entities_side_by_side(spark, database, tmp_path):
+    folder = put(tmp_path, "a.txt", "h\n1|x\n")
+    names = [f"e{i}" for i in range(8)]
+    results = run(spark, *[entity(database, folder, name) for name in names], concurrency=4)
+    assert {row["status"] for row in results.values()} == {"SUCCESS"}
+    assert sorted(row["entity_name"] for row in audit(spark, database)) == names
+    assert spark.table(f"{database}.ingestion_audit_files").count() == 8
+
+
 def test_overwrite_replaces_the_rows(spark, database, tmp_path):
     put(tmp_path, "one.txt", "h\n1|x\n2|x\n", 1_700_000_000)
     config = entity(database, tmp_path, Table_Mode="overwrite")

@@ -116,6 +116,7 @@ def test_job_without_parent_has_no_graph(spark):
         ('["a", b]', ["a", "b"]),
         ('["a", "a"]', ["a"]),
         ("[1, 2]", ["1", "2"]),
+        ('["a"] b', ["a] b"]),
         ("[]", []),
         ("[ , ]", []),
         ("", []),
@@ -128,7 +129,7 @@ def test_dependency_names(spark, value, names):
 
 
 @pytest.mark.parametrize(
-    "value", ['{"a": "x", "n": 1}', '{"x": proj_id}', "[1]", "", None, "{}", '{"a": {"b": 2}}', "{'a': 1}"]
+    "value", ['{"a": "x", "n": 1}', '{"a": 1} more', ' {"a": 1} \n', '{"x": proj_id}', "[1]", "", None, "{}", '{"a": {"b": 2}}', "{'a': 1}"]
 )
 def test_json_map_like_json_loads(spark, value):
     try:
