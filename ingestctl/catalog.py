@@ -469,7 +469,7 @@ def run_task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_literal_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored query text with a double-quoted literal and bound parameters, written to a table."""
     target = f"{fx.new_database(spark)}.script_output"
-    text = """SELECT "Hello this is a sql script" AS message, o_orderstatus, count(*) AS n_orders
+    text = """SELECT "orders by status" AS message, o_orderstatus, count(*) AS n_orders
               FROM parquet.`{path}` WHERE o_totalprice >= :floor GROUP BY o_orderstatus"""
     run_sql_script(spark, text.format(path=f"{sf_dir}/orders.parquet"), {"floor": 1000.0}, target)
     return spark.table(target)
@@ -553,6 +553,18 @@ def task_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taskgraph.task_edges(children, parents)
 
 
+@query
+def job_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents, children = _graph(spark, sf_dir)
+    paths = {
+        taskgraph.BATCH_CHECK: "control/batch",
+        taskgraph.EXECUTION_CHECK: "control/executed",
+        taskgraph.MARK_IN_PROGRESS: "control/mark",
+        taskgraph.MARK_COMPLETED: "control/mark",
+    }
+    return taskgraph.job_tasks(children, parents, paths, "utility/runner_main")
+
+
 @query
 def leaf_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, children = _graph(spark, sf_dir)

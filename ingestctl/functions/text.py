@@ -13,9 +13,7 @@ def fixed_width_columns(
     source: str, names: list[str], ranges: list[tuple[int, int]]
 ) -> list[Column]:
     if len(names) != len(ranges):
-        raise ValueError(
-            f"Mismatch between number of position ranges {len(ranges)} and columns {len(names)}"
-        )
+        raise ValueError(f"{len(names)} column names for {len(ranges)} position ranges")
     return [
         F.substring(source, first, last - first + 1).alias(name)
         for name, (first, last) in zip(names, ranges)

@@ -30,4 +30,4 @@ def require_unique_entities(names: list[str]) -> None:
     """Refuse a load that names an entity twice; ``names`` are the entities of one job."""
     duplicates = sorted(name for name, n_entries in Counter(names).items() if n_entries > 1)
     if duplicates:
-        raise ValueError(f"Duplicate entries found for entity_names: {duplicates}")
+        raise ValueError(f"entities configured more than once: {duplicates}")

@@ -56,7 +56,7 @@ def open_batch(batches: DataFrame) -> DataFrame:
 def require_open_batch(batches: DataFrame) -> int:
     batch_id = open_batch(batches).first()["batch_id"]
     if batch_id is None:
-        raise NoOpenBatch("No open batch found. Please open a fresh batch to begin with.")
+        raise NoOpenBatch("there is no open batch; open one first")
     return batch_id
 
 
@@ -136,9 +136,7 @@ def require_not_executed(
         & (F.col("job_id") == job_id)
     )
     if not completed_jobs(status).where(mine).isEmpty():
-        raise AlreadyExecuted(
-            f"Job execution already exists for batch_id: {batch_id} and job_id: {job_id}."
-        )
+        raise AlreadyExecuted(f"job {job_id} has already been completed in batch {batch_id}")
 
 
 def parent_jobs(jobs: DataFrame, parameters: DataFrame) -> DataFrame:

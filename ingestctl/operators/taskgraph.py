@@ -6,7 +6,7 @@ and ``children`` are what ``parent_rows`` and ``child_rows`` make of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ingestctl.functions.text import (
@@ -16,6 +16,7 @@ from ingestctl.functions.text import (
     json_object,
     library_kind,
 )
+from ingestctl.operators.control import COMPLETED, IN_PROGRESS
 from ingestctl.operators.ordering import with_previous
 from ingestctl.scratch import materialise
 
@@ -57,6 +58,16 @@ def child_rows(params: DataFrame, parents: DataFrame) -> DataFrame:
     return children.join(parents.select(JOB), JOB, "left_semi")
 
 
+def job_details(params: DataFrame, job: str) -> tuple[Row | None, DataFrame | None]:
+    """Parent row and ordered children of one job; (None, None) if it has no parent."""
+    mine = params.where(F.col(JOB) == job)
+    parents = parent_rows(mine)
+    parent = parents.first()
+    if parent is None:
+        return None, None
+    return parent, child_rows(mine, parents).orderBy("invocation_id", "task_name")
+
+
 def task_payloads(children: DataFrame) -> DataFrame:
     """Parsed payload columns; a payload that is not JSON is empty and marked invalid."""
     payload = json_object(F.col("parameter_value"))
@@ -126,6 +137,39 @@ def task_paths(children: DataFrame, runner_path: str) -> DataFrame:
     )
 
 
+def job_tasks(
+    children: DataFrame,
+    parents: DataFrame,
+    control_paths: dict[str, str],
+    runner_path: str,
+    execution_check: bool = True,
+) -> DataFrame:
+    """(job, task, run_path, status): the nodes of every job, control tasks included.
+
+    ``control_paths`` gives the path of each control task; ``status`` is what a mark sets.
+    """
+    marks = {MARK_IN_PROGRESS: IN_PROGRESS, MARK_COMPLETED: COMPLETED}
+    controls = [BATCH_CHECK, EXECUTION_CHECK, MARK_IN_PROGRESS, MARK_COMPLETED]
+    nodes = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("task_name"),
+                F.lit(control_paths[name]).alias("run_path"),
+                F.lit(marks.get(name)).cast("string").alias("status"),
+            )
+            for name in controls
+            if execution_check or name != EXECUTION_CHECK
+        ]
+    )
+    last = children.groupBy(JOB, "task_name").agg(
+        F.max_by(F.struct("use_runner", "notebook_path"), F.struct("invocation_id", "job_id")).alias("row")
+    )
+    own = task_paths(last.select(JOB, "task_name", "row.*"), runner_path)
+    return parents.select(JOB, F.explode(nodes).alias("node")).select(JOB, "node.*").unionByName(
+        own.select(JOB, "task_name", "run_path", F.lit(None).cast("string").alias("status"))
+    )
+
+
 def named_dependencies(children: DataFrame) -> DataFrame:
     """(job, task, depends_on) for every name in a dependency text, valid or not."""
     return children.select(

@@ -258,7 +258,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'load_parts', 'COMPLETED', false, true, count(*) FROM part
         UNION ALL SELECT 'check_parts', 'FAILED', true, true, 0""",
     "sql_literal_task": """
-        SELECT 'Hello this is a sql script' AS message, o_orderstatus, count(*) AS n_orders
+        SELECT 'orders by status' AS message, o_orderstatus, count(*) AS n_orders
         FROM orders WHERE o_totalprice >= 1000 GROUP BY o_orderstatus""",
     "job_parent": _CHILDREN + """
         SELECT esp_job_id, proj_id, dept_id, job_id, n_params, CASE WHEN ok THEN 'dev' END AS env
@@ -300,6 +300,14 @@ ORACLES: dict[str, str] = {
                   WHERE NOT EXISTS (SELECT 1 FROM kept v
                                     WHERE v.esp_job_id = t.esp_job_id AND v.task_name = t.task_name)
         UNION ALL SELECT esp_job_id, 'status_update_completed', task_name FROM leaves""",
+    "job_tasks": _CHILDREN + """
+        SELECT esp_job_id, n.task_name, n.run_path, n.status FROM parents, (VALUES
+          ('batch_check', 'control/batch', NULL), ('job_execution_check', 'control/executed', NULL),
+          ('status_update_in_progress', 'control/mark', 'IN_PROGRESS'),
+          ('status_update_completed', 'control/mark', 'COMPLETED')) AS n(task_name, run_path, status)
+        UNION ALL
+        SELECT DISTINCT esp_job_id, task_name, CASE WHEN runner THEN 'utility/runner_main' ELSE path END, NULL
+        FROM children""",
     "leaf_tasks": _CHILDREN + "SELECT esp_job_id, task_name FROM leaves",
     "linear_chain_deps": _CHILDREN + """
         , chained AS (

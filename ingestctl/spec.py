@@ -72,19 +72,16 @@ def parse_transformations(text: str | None) -> list[tuple[str, str]]:
     try:
         entries = json.loads(text)
     except json.JSONDecodeError as error:
-        raise ValueError(f"Invalid JSON format for transformations: {error}") from error
+        raise ValueError(f"the transformations are not JSON: {error}") from error
     return [(entry["column_name"], entry["transformation_logic"]) for entry in entries]
 
 
 def parse_partition_columns(value) -> list[str]:
     """Nothing, one name, or a list of names."""
-    if not value:
-        return []
-    if isinstance(value, str):
-        return [value]
-    if isinstance(value, (list, tuple)) and all(isinstance(name, str) for name in value):
-        return list(value)
-    raise ValueError(f"Invalid partition_column: {value!r}")
+    names = [value] if isinstance(value, str) else value or []
+    if not isinstance(names, (list, tuple)) or any(not isinstance(name, str) for name in names):
+        raise ValueError(f"neither a column name nor a list of them: {value!r}")
+    return [name for name in names if name]
 
 
 def qualified(*parts: str | None) -> str:

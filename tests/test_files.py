@@ -84,7 +84,7 @@ def test_fixed_width_is_not_trimmed(spark, tmp_path):
     lines = files.read_lines(spark, str(tmp_path))
     rows = files.parse_fixed_width(lines, "n,t", "1-4,5-7").collect()
     assert [tuple(row) for row in rows] == [("  1 ", "ab "), (" 22 ", "c")]
-    with pytest.raises(ValueError, match="2 and columns 1"):
+    with pytest.raises(ValueError, match="1 column names for 2"):
         files.parse_fixed_width(lines, "n", "1-4,5-7")
 
 

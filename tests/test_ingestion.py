@@ -144,7 +144,7 @@ def test_null_delimiter_with_positions_is_fixed_width(spark, database, tmp_path)
 
 
 def test_duplicate_entities_are_refused(spark, database, tmp_path):
-    with pytest.raises(ValueError, match="Duplicate"):
+    with pytest.raises(ValueError, match="more than once"):
         run(spark, entity(database, tmp_path), entity(database, tmp_path))
 
 

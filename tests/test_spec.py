@@ -46,7 +46,7 @@ def test_transformations():
     assert spec.parse_transformations("  ") == []
     text = '[{"column_name": "a", "transformation_logic": "1"}]'
     assert spec.parse_transformations(text) == [("a", "1")]
-    with pytest.raises(ValueError, match="Invalid JSON"):
+    with pytest.raises(ValueError, match="not JSON"):
         spec.parse_transformations("[oops")
 
 

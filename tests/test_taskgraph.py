@@ -164,6 +164,27 @@ def test_parameters(spark):
     ]
 
 
+def test_job_details(spark):
+    params = spark.createDataFrame(
+        [parent("J", '{"env": "dev"}'), child("J", 2, "b"), child("J", 1, "a"), child("K", 1, "x")], PARAMS_DDL
+    )
+    found, children = tg.job_details(params, "J")
+    assert found["job_params"] == {"env": "dev"}
+    assert [row["task_name"] for row in children.collect()] == ["a", "b"]
+    assert tg.job_details(params, "K") == (None, None)
+
+
+def test_job_tasks(spark):
+    parents, children = graph(
+        spark, parent("J"), child("J", 1, "a", path="old"), child("J", 2, "a", path="new", runner=False)
+    )
+    paths = {name: f"c/{name}" for name in [tg.BATCH_CHECK, tg.EXECUTION_CHECK, IN, DONE]}
+    assert rows(tg.job_tasks(children, parents, paths, "run", execution_check=False)) == [
+        ("J", "a", "new", None), ("J", "batch_check", "c/batch_check", None),
+        ("J", DONE, f"c/{DONE}", "COMPLETED"), ("J", IN, f"c/{IN}", "IN_PROGRESS"),
+    ]
+
+
 def test_linear_chain(spark):
     _, children = graph(
         spark, parent("J"), child("J", 1, "a"), child("J", 2, "skipped", path=None), child("J", 3, "c"),
