@@ -42,18 +42,20 @@ def write_table(
     mode: str = "append",
     partition_columns: str | list[str] | None = None,
     rebalance: bool = False,
+    before: int | None = None,
 ) -> WriteCounts:
     """Write in the given mode; rows are counted while they are written, not by another scan.
 
     A write does not shuffle. Where a load has many partition values, ``rebalance`` spends one
     shuffle to bring a value's rows into few files; adaptive execution still splits a hot value
     over many tasks. The count comes last, after any shuffle, so that a recomputed map task
-    cannot add to it.
+    cannot add to it. ``before`` saves counting the table where its row count is known.
     """
     spark = df.sparkSession
     mode = mode.lower()
     exists = table_exists(spark, table)
-    before = spark.table(table).count() if exists else 0
+    if before is None:
+        before = spark.table(table).count() if exists else 0
     if exists and mode == "ignore":
         return WriteCounts(before, before, 0)
     columns = parse_partition_columns(partition_columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ from ingestctl.operators.shape import derive, impose_schema
 from ingestctl.operators.sinks import WriteCounts, write_raw, write_table
 from ingestctl.scratch import small_frame
 from ingestctl.sources.files import (
+    RAGGED_LINE,
     as_raw,
     data_line_width,
     discover_files,
@@ -33,6 +34,7 @@ RESULT_SCHEMA = T.StructType(
         T.StructField("status", T.StringType()),
         T.StructField("n_files", T.LongType()),
         T.StructField("file_row_count", T.LongType()),
+        T.StructField("ragged_row_count", T.LongType()),
         T.StructField("error_message", T.StringType()),
     ]
 )
@@ -40,16 +42,24 @@ RESULT_SCHEMA = T.StructType(
 
 @dataclass
 class EntityResult:
-    """SUCCESS, FAILURE, NO_FILES or EMPTY, with what was loaded."""
+    """SUCCESS, FAILURE, NO_FILES or EMPTY, with what was loaded; ragged rows had too few or too many fields."""
 
     entity_name: str
     status: str
     n_files: int = 0
     file_row_count: int = 0
+    ragged_row_count: int = 0
     error_message: str | None = None
 
     def as_row(self) -> tuple:
-        return (self.entity_name, self.status, self.n_files, self.file_row_count, self.error_message)
+        return (
+            self.entity_name,
+            self.status,
+            self.n_files,
+            self.file_row_count,
+            self.ragged_row_count,
+            self.error_message,
+        )
 
 
 def ingest_all(
@@ -60,7 +70,7 @@ def ingest_all(
     job_id: str,
     workflow_id: str | None = None,
     run_id: str | None = None,
-    max_files_per_step: int = 10_000,
+    max_files_per_step: int = 50_000,
     concurrency: int = 1,
 ) -> DataFrame:
     """Ingest every entity configured for a job; one entity's failure does not stop the others.
@@ -80,7 +90,7 @@ def ingest_all(
 
 
 def ingest_entity(
-    spark: SparkSession, config: Row, run: dict[str, str | None], max_files_per_step: int = 10_000
+    spark: SparkSession, config: Row, run: dict[str, str | None], max_files_per_step: int = 50_000
 ) -> EntityResult:
     """Load the files of one entity that were not loaded before.
 
@@ -93,14 +103,16 @@ def ingest_entity(
     try:
         listing = discover_files(spark, spec.source_path, spec.file_pattern)
         pending = unprocessed_for(spark, listing, spec.ledger_table, spec.target_table)
-        mode = spec.table_mode
+        mode, n_before = spec.table_mode, None
         more = True
         while more and (files := _next_files(pending, files, max_files_per_step)):
             more = len(files) == max_files_per_step
-            counts = _load_step(spark, spec, files, mode)
-            if counts is None:
+            loaded = _load_step(spark, spec, files, mode, n_before)
+            if loaded is None:
                 result.status = "EMPTY" if result.status == "NO_FILES" else result.status
                 continue
+            counts, n_ragged = loaded
+            n_before = counts.after
             append_rows(
                 ledger_rows(spark, spec.target_table, files, run.get("run_id")), spec.ledger_table
             )
@@ -111,6 +123,7 @@ def ingest_entity(
             result.status = "SUCCESS"
             result.n_files += len(files)
             result.file_row_count += counts.written
+            result.ragged_row_count += n_ragged
             if counts.written or mode != "ignore":
                 mode = "append"
     except Exception as error:
@@ -132,9 +145,9 @@ def _next_files(pending: DataFrame, previous: list[Row], limit: int) -> list[Row
 
 
 def _load_step(
-    spark: SparkSession, spec: IngestSpec, files: list[Row], mode: str
-) -> WriteCounts | None:
-    """Write the rows of the given files; ``None`` if they hold no data line."""
+    spark: SparkSession, spec: IngestSpec, files: list[Row], mode: str, n_before: int | None
+) -> tuple[WriteCounts, int] | None:
+    """Write the rows of the given files and count ragged ones; ``None`` if there is no data line."""
     paths = [literal_path(row["path"]) for row in files]
     total_bytes = sum(row["length"] for row in files)
     lines = read_lines(spark, paths, spec.skip_lines, total_bytes=total_bytes)
@@ -145,16 +158,21 @@ def _load_step(
     if spec.fixed_width:
         df = parse_fixed_width(lines, names, spec.positions or "")
     elif spec.skip_lines:
-        df = parse_delimited(lines, names, spec.delimiter)
+        df = parse_delimited(lines, names, spec.delimiter, mark_ragged=True)
     else:
-        df = read_delimited(spark, paths, names, spec.delimiter)
+        df = read_delimited(spark, paths, names, spec.delimiter, mark_ragged=True)
+    ragged = Observation()
+    if not spec.fixed_width:
+        n_ragged = F.count_if(F.col(RAGGED_LINE).isNotNull()).alias("n_rows")
+        df = df.observe(ragged, n_ragged).drop(RAGGED_LINE)
     df = derive(df, spec.transformations)
     target = table_schema(spark, spec.target_table)
     if target is not None:
         df = impose_schema(df, target, extras="error")
     if spec.raw_flag:
         write_raw(as_raw(lines), spec.raw_table, spec.transformations)
-    return write_table(df, spec.target_table, mode, spec.partition_column)
+    counts = write_table(df, spec.target_table, mode, spec.partition_column, before=n_before)
+    return counts, ragged.get["n_rows"] if counts.written and not spec.fixed_width else 0
 
 
 def _column_names(spark: SparkSession, spec: IngestSpec, line: str) -> list[str]:

@@ -13,6 +13,8 @@ from ingestctl.functions.text import fixed_width_columns
 from ingestctl.scratch import small_frame
 from ingestctl.spec import normalise_delimiter, parse_bytes, parse_names, parse_positions
 
+RAGGED_LINE = "_ragged_line"
+
 # monotonically_increasing_id() keeps the row's position in its task in the lower 33 bits.
 _ROW_IN_TASK = (1 << 33) - 1
 
@@ -96,13 +98,16 @@ def data_line_width(spark: SparkSession, line: str, delimiter: str) -> int:
     return len(T.DataType.fromDDL(one_row.select(schema).first()[0]).fields)
 
 
-def parse_delimited(lines: DataFrame, names: str | list[str], delimiter: str) -> DataFrame:
+def parse_delimited(
+    lines: DataFrame, names: str | list[str], delimiter: str, mark_ragged: bool = False
+) -> DataFrame:
     """Delimited lines as string columns named by position.
 
-    Short rows are filled with NULL and long rows cut; blank lines are dropped.
+    Short rows are filled with NULL and long rows cut; blank lines are dropped. With
+    ``mark_ragged`` a last column holds the line of such a short or long row, else NULL.
     """
-    schema = ", ".join(f"`{name}` STRING" for name in parse_names(names))
-    row = F.from_csv("value", schema, {"sep": normalise_delimiter(delimiter)})
+    schema, options = _delimited_format(names, delimiter, mark_ragged)
+    row = F.from_csv("value", schema, options)
     return lines.where(F.trim("value") != "").select(row.alias("row")).select("row.*")
 
 
@@ -118,13 +123,25 @@ def read_delimited(
     delimiter: str,
     skip: int = 0,
     pattern: str | None = None,
+    mark_ragged: bool = False,
 ) -> DataFrame:
     """``parse_delimited`` of files; without lines to skip the CSV scan does the same a little faster."""
     if skip:
-        return parse_delimited(read_lines(spark, paths, skip, pattern), names, delimiter)
-    schema = ", ".join(f"`{name}` STRING" for name in parse_names(names))
-    reader = _text_reader(spark, pattern).schema(schema)
-    return reader.option("sep", normalise_delimiter(delimiter)).csv(paths)
+        lines = read_lines(spark, paths, skip, pattern)
+        return parse_delimited(lines, names, delimiter, mark_ragged)
+    schema, options = _delimited_format(names, delimiter, mark_ragged)
+    return _text_reader(spark, pattern).schema(schema).options(**options).csv(paths)
+
+
+def _delimited_format(
+    names: str | list[str], delimiter: str, mark_ragged: bool
+) -> tuple[str, dict[str, str]]:
+    options = {"sep": normalise_delimiter(delimiter)}
+    columns = parse_names(names)
+    if mark_ragged:
+        columns = [*columns, RAGGED_LINE]
+        options["columnNameOfCorruptRecord"] = RAGGED_LINE
+    return ", ".join(f"`{name}` STRING" for name in columns), options
 
 
 def _session_with_one_split_per_task(spark: SparkSession, total_bytes: int | None = None) -> SparkSession:

@@ -143,6 +143,25 @@ def test_null_delimiter_with_positions_is_fixed_width(spark, database, tmp_path)
     assert rows(spark.table(f"{database}.e")) == [("12", "ab")]
 
 
+@pytest.mark.parametrize("skip", [0, 1])
+def test_ragged_rows_are_counted_and_loaded(spark, database, tmp_path, skip):
+    text = "h\n" * skip + '1|x\n2\n3|y|z\n\n4|"a|b"\n5|\n'
+    folder = put(tmp_path, "a.txt", text)
+    result = run(spark, entity(database, folder, Skiplines=skip))["e"]
+    assert (result["file_row_count"], result["ragged_row_count"]) == (5, 2)
+    assert rows(spark.table(f"{database}.e")) == [("1", "x"), ("2", None), ("3", "y"), ("4", "a|b"), ("5", None)]
+
+
+def test_ignore_mode_loads_only_a_new_table(spark, database, tmp_path):
+    put(tmp_path, "a.txt", "h\n1|x\n", 1_700_000_000)
+    put(tmp_path, "b.txt", "h\n2|x\n", 1_700_000_001)
+    config = entity(database, tmp_path, Table_Mode="ignore")
+    assert run(spark, config, max_files_per_step=1)["e"]["file_row_count"] == 2
+    put(tmp_path, "c.txt", "h\n3|x\n", 1_700_000_002)
+    assert run(spark, config)["e"]["file_row_count"] == 0
+    assert spark.table(f"{database}.e").count() == 2
+
+
 def test_duplicate_entities_are_refused(spark, database, tmp_path):
     with pytest.raises(ValueError, match="more than once"):
         run(spark, entity(database, tmp_path), entity(database, tmp_path))
