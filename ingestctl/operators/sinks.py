@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ingestctl.operators.shape import derive, impose_schema
 from ingestctl.scratch import small_frame
+from ingestctl.sources.tables import partition_columns as partition_columns_of
 from ingestctl.sources.tables import table_exists
 from ingestctl.spec import parse_partition_columns
 
@@ -46,6 +47,8 @@ def write_table(
 ) -> WriteCounts:
     """Write in the given mode; rows are counted while they are written, not by another scan.
 
+    An existing table keeps its partitioning where none is given.
+
     A write does not shuffle. Where a load has many partition values, ``rebalance`` spends one
     shuffle to bring a value's rows into few files; adaptive execution still splits a hot value
     over many tasks. The count comes last, after any shuffle, so that a recomputed map task
@@ -59,6 +62,8 @@ def write_table(
     if exists and mode == "ignore":
         return WriteCounts(before, before, 0)
     columns = parse_partition_columns(partition_columns)
+    if exists and not columns:
+        columns = partition_columns_of(spark, table)
     if columns and rebalance:
         df = df.hint("rebalance", *columns)
     observed = Observation()

@@ -70,14 +70,14 @@ def job_details(params: DataFrame, job: str) -> tuple[Row | None, DataFrame | No
 
 def task_payloads(children: DataFrame) -> DataFrame:
     """Parsed payload columns; a payload that is not JSON is empty and marked invalid."""
-    payload = json_object(F.col("parameter_value"))
-    return children.select(
+    parsed = children.withColumn("payload", json_object(F.col("parameter_value")))
+    return parsed.select(
         JOB,
         "task_name",
         "job_id",
         "invocation_id",
-        payload.isNotNull().alias("is_valid"),
-        json_map(F.col("parameter_value")).alias("task_params"),
+        F.col("payload").isNotNull().alias("is_valid"),
+        F.coalesce("payload", F.expr("cast(map() as map<string,string>)")).alias("task_params"),
         json_map(F.col("cluster_details")).alias("cluster_info"),
         json_list(F.col("dependent_libraries")).alias("libraries"),
         dependency_names(F.col("depends_on")).alias("depends_on"),

@@ -17,6 +17,10 @@ def table_schema(spark: SparkSession, table: str) -> T.StructType | None:
     return spark.table(table).schema if table_exists(spark, table) else None
 
 
+def partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [column.name for column in spark.catalog.listColumns(table) if column.isPartition]
+
+
 def jdbc_reader(spark: SparkSession, url: str, **options: str) -> Callable[[str], DataFrame]:
     """A reader for ``truncate_and_load``: source table name in, frame out.
 

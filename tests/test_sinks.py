@@ -33,6 +33,15 @@ def test_partitions(spark, database):
         sinks.write_table(df, f"{database}.three", "append", 7)
 
 
+@pytest.mark.parametrize("mode", ["append", "overwrite"])
+def test_existing_partitioning_is_kept(spark, database, mode):
+    df, table = spark.range(10).selectExpr("id", "id % 2 AS a"), f"`{database}`.`t`"
+    sinks.write_table(df, table, "append", "a")
+    sinks.write_table(df, table, mode)
+    assert spark.sql(f"SHOW PARTITIONS {table}").count() == 2
+    assert spark.table(table).count() == (20 if mode == "append" else 10)
+
+
 def test_raw_needs_its_partition_column(spark, database):
     raw = spark.createDataFrame([("x",)], "raw_data string")
     with pytest.raises(ValueError, match="PartitionColumn"):
