@@ -1,3 +1,4 @@
+import gzip
 import os
 
 import pytest
@@ -42,6 +43,14 @@ def test_skip_with_files_packed_by_default(spark, tmp_path):
     assert sorted(int(row["value"]) for row in rows) == list(range(40))
 
 
+def test_skip_in_compressed_files_and_other_line_ends(spark, tmp_path):
+    with gzip.open(f"{tmp_path}/a.txt.gz", "wt") as handle:
+        handle.write("H1\nH2\n1\n2\n")
+    write(tmp_path, "b.txt", "H1\r\nH2\r\n3\r\n")
+    rows = files.read_lines(spark, str(tmp_path), 2).collect()
+    assert sorted(row["value"] for row in rows) == ["1", "2", "3"]
+
+
 def test_skip_more_lines_than_there_are(spark, tmp_path):
     write(tmp_path, "a.txt", "only\ntwo\n")
     assert files.read_lines(spark, str(tmp_path), 5).count() == 0
