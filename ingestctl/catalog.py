@@ -262,7 +262,8 @@ def impose_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def impose_schema_bad_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.createDataFrame([], "c_custkey bigint, c_nationkey int, c_acctbal double").schema
-    return shape.impose_schema(fx.dirty_customers(spark, sf_dir), target)
+    imposed = shape.impose_schema(fx.dirty_customers(spark, sf_dir), target)
+    return imposed.withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
 
 
 @query

@@ -198,7 +198,7 @@ ORACLES: dict[str, str] = {
                strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, cast(NULL AS varchar) AS o_clerk
         FROM orders""",
     "impose_schema_bad_values": """
-        SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey END AS c_nationkey,
+        SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN cast(c_nationkey AS varchar) END AS c_nationkey,
                CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal
         FROM customer""",
     "all_null_rows": """
