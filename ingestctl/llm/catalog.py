@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ingestctl.llm import packing, simhash_dedup
+from ingestctl.llm import packing, ppm, quality, simhash_dedup, toxicity
 from ingestctl.llm.common import read
 from ingestctl.session import configure
 
@@ -34,6 +34,21 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", simhash_dedup.hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), packing.public_tokenizer())
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
