@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,4 +47,11 @@ def crc_remainder(id_column: str, modulus: int) -> Column:
     return F.crc32(id_text.cast("binary")) % F.lit(modulus)
 
 
-WORD_OR_SIGN = re.compile(r"\w+|[^\w\s]+")
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where it is used within a lambda function."""
+    return F.transform(F.array(value), use)[0]
+
+
+def letter_words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
