@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ingestctl.llm import chat, decontaminate, html_text, packing, ppm, quality, simhash_dedup, spotsigs, toxicity
+from ingestctl.llm import chat, decontaminate, html_text, packing, ppm, quality, secrets_crf, simhash_dedup, spotsigs, toxicity
 from ingestctl.llm.common import read
 from ingestctl.session import configure
 
@@ -34,6 +34,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", simhash_dedup.hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_crf.scan(read(spark, sf_dir, "documents"))
+
+
 @query
 def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(read(spark, sf_dir, "documents"))

@@ -260,8 +260,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     found = contaminated(docs, benchmark, id_column, text_column, **options)
     bad = materialise(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    return (
-        docs.withColumn("_own", text_hash(text_column))
-        .join(bad, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "leftanti")
-        .select(docs.columns)
-    )
+    own = docs.select(F.struct("*").alias("whole"), F.col(id_column).alias("id"), text_hash(text_column).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    return own.join(bad, same, "leftanti").select("whole.*")

@@ -176,9 +176,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
         ).select(winners["doc_id"].alias("_id"), winners["text_key"].alias("_key"), F.col("again").isNotNull().alias("_again")),
         "chosen",
     )
-    kept = docs.withColumn("_own", text_key(text_column)).join(
-        chosen, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))
-    )
-    single = kept.where("not _again").select(docs.columns)
-    once = kept.where("_again").dropDuplicates(["_id", "_key"]).select(docs.columns)
+    own = docs.select(F.struct("*").alias("whole"), F.col(id_column).alias("id"), text_key(text_column).alias("key"))
+    kept = own.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    single = kept.where("not _again").select("whole.*")
+    once = kept.where("_again").dropDuplicates(["_id", "_key"]).select("whole.*")
     return single.unionByName(once)
