@@ -28,7 +28,7 @@ from ingestctl.scratch import materialise
 
 ORDER = 5
 #: Contexts that the model holds: a row of numbers each, in every Python worker.
-CONTEXTS = 60_000
+CONTEXTS = 30_000
 #: Words that make up more than 1 / HOT_WORDS of all tokens are known to every task; there are fewer than HOT_WORDS.
 HOT_WORDS = 100_000
 END, START = 256, 257
@@ -80,7 +80,7 @@ def count_grams(texts: Iterator[bytes], order: int) -> Iterator[tuple[np.ndarray
 
 @dataclass(frozen=True)
 class Trie:
-    """Contexts as rows. ``children``: the row of a context lengthened by one byte at its front, -1 if
+    """Contexts as rows. ``children``: the row of a context lengthened by one byte at its front, 0 if
     it is not kept. ``logs``: log10 of the probability of each next symbol."""
 
     order: int
@@ -97,7 +97,7 @@ class Trie:
             alive = np.ones(end - at, dtype=bool)
             for back in range(1, self.order + 1):
                 longer = self.children[rows, columns[at - back : end - back]]
-                alive &= longer >= 0
+                alive &= longer > 0
                 rows = np.where(alive, longer, rows)
             total += self.logs[rows, columns[at:end]].sum(dtype=np.float64)
         return float(total)
@@ -116,8 +116,8 @@ def build(contexts: list[tuple[int, int]], after: dict[int, tuple[np.ndarray, np
     column[used] = np.arange(len(used))
     width = len(used) + 1
     rows = {key: i for i, key in enumerate(contexts)}
-    children = np.full((len(contexts), width), -1, dtype=np.int32)
-    logs = np.zeros((len(contexts), width))
+    children = np.zeros((len(contexts), width), dtype=np.int32 if len(contexts) > 65_535 else np.uint16)
+    logs = np.zeros((len(contexts), width), dtype=np.float32)  # probabilities, until the end
     escapes = np.ones(len(contexts))
     empty = np.zeros(0, dtype=np.int64)
     seen_at: list[np.ndarray] = []
@@ -143,7 +143,7 @@ def build(contexts: list[tuple[int, int]], after: dict[int, tuple[np.ndarray, np
             known = theirs > 0
             theirs[at] = 0  # excluded: they were possible before the escape
             rest, rest_kinds = int(theirs.sum()), int((theirs > 0).sum())
-            further = logs[shorter] / escapes[shorter] if escapes[shorter] else np.zeros(width)
+            further = logs[shorter].astype(np.float64) / escapes[shorter] if escapes[shorter] else np.zeros(width)
             if rest:
                 odds = escape * np.where(known, theirs / (rest + rest_kinds), rest_kinds / (rest + rest_kinds) * further)
             else:
@@ -153,7 +153,7 @@ def build(contexts: list[tuple[int, int]], after: dict[int, tuple[np.ndarray, np
         logs[row] = odds
     with np.errstate(divide="ignore"):
         # the floor is met only by what cannot occur: a symbol of the context's own, such as the start mark
-        return Trie(order, children, np.log10(np.maximum(logs, 1e-30)).astype(np.float32), column)
+        return Trie(order, children, np.log10(np.maximum(logs, np.float32(1e-30))), column)
 
 
 def _count(docs: DataFrame, order: int) -> DataFrame:
