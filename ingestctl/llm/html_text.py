@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,6 +53,8 @@ MARKS = frozenset(
     "recommended widget pagination pager skip toolbar search complementary contentinfo".split()
 )
 ARTICLE = frozenset(["article", "main"])
+#: The marks that count on an article element itself.
+ON_ARTICLE = frozenset("comment comments reply replies ad ads advert sponsored promo related".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -78,13 +81,14 @@ class Page:
     parts: list[tuple[int, str | None]] = field(default_factory=list)
 
 
-def _is_marked(attributes: str) -> bool:
+def _is_marked(tag: str, attributes: str) -> bool:
+    marks = ON_ARTICLE if tag == "article" else MARKS
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(_MARK.findall(value)):
+        if name in ("class", "id", "role") and not marks.isdisjoint(_MARK.findall(value)):
             return True
     return False
 
@@ -92,7 +96,7 @@ def _is_marked(attributes: str) -> bool:
 def _left_out(page: Page) -> list[bool]:
     """Which elements cannot hold main text: by kind, or by a mark unless an article lies inside."""
     n = len(page.tags)
-    marked = [bool(a) and page.tags[i] not in ("html", "body") and _is_marked(a) for i, a in enumerate(page.attributes)]
+    marked = [bool(a) and page.tags[i] not in ("html", "body", "main") and _is_marked(page.tags[i], a) for i, a in enumerate(page.attributes)]
     articles, inside = [0] * (n + 1), [False] * n  # articles: how many begin before an element
     for i, tag in enumerate(page.tags):
         articles[i + 1] = articles[i] + (tag in ARTICLE and not marked[i])
@@ -109,15 +113,19 @@ def parse(source: str) -> Page:
     """The tree of a page; end tags that may be left out and tags that are never closed are allowed for."""
     page, stack, at = Page(), [0], 0
     tags, parents, last, parts = page.tags, page.parents, page.last, page.parts
+    opened: Counter = Counter()  # elements on the stack, by tag
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             i = stack.pop()
+            opened[tags[i]] -= 1
             last[i] = len(tags) - 1
             if tags[i] in BLOCK:
                 parts.append((stack[-1], None))
 
     def close_nearest(names: set[str] | frozenset[str], stop: set[str] | frozenset[str] = frozenset()) -> None:
+        if not any(opened[name] for name in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = tags[stack[depth]]
             if tag in names:
@@ -135,7 +143,7 @@ def parse(source: str) -> Page:
             continue
         tag, ends, attributes = name.lower(), token[2] or token[5], token[4] or token[7] or ""
         if ends:
-            if tag == "br" or tag == "p" and not any(tags[i] == "p" for i in stack):
+            if tag == "br" or tag == "p" and not opened["p"]:
                 parts.append((stack[-1], " " if tag == "br" else None))
             else:
                 close_nearest({tag}, frozenset() if tag in BLOCK else {"td", "th", "table"})
@@ -155,6 +163,7 @@ def parse(source: str) -> Page:
         page.attributes.append(attributes)
         if tag not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(len(tags) - 1)
+            opened[tag] += 1
     if at < len(source):
         parts.append((stack[-1], source[at:]))
     close(1)
