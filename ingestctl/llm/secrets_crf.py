@@ -3,8 +3,8 @@
 Texts are cut into tokens, each tagged as the beginning of a secret, its inside or outside.
 The tags' scores come from the token's shape, the neighbouring words and the kind of file, and
 from which tag follows which. The field is trained on what the patterns find in a bounded
-sample, with the words before a secret hidden half of the time, so that shape counts by
-itself. Most tokens are outside by more than any change of tag could gain; between those, the
+sample, with the words around a secret hidden in some copies and the looks of particular kinds
+in others, so that what secrets have in common counts by itself. Most tokens are outside by more than any change of tag could gain; between those, the
 best tags are found by the Viterbi algorithm, which is the same as finding them over the whole
 text.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,10 +35,10 @@ KINDS = ("assign", "access", "hex", "crf")
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: Bounds of the training sample: texts with a base span, texts without, windows of each text.
-WITH_SECRET, WITHOUT, WINDOWS_PER_TEXT = 600, 300, 4
+WITH_SECRET, WITHOUT, WINDOWS_PER_TEXT = 300, 100, 4
 #: Tokens on either side of the middle of a training window.
 REACH = 10
-EPOCHS, RATE, L2 = 4, 0.2, 1e-4
+EPOCHS, RATE, L2 = 3, 0.2, 1e-4
 #: The score of an inside tag without a beginning before it.
 NEVER = -12.0
 KEPT_WORDS = 300_000
@@ -82,14 +83,15 @@ def own_key(token: str) -> tuple:
     if size == 1:
         return ("sign", token if token.isascii() else "")
     digits = sum(c.isdigit() for c in token)
-    shares = [token.count(c) / size for c in set(token)] if size <= 256 else []
+    shares = [n / size for n in Counter(token).values()]
+    entropy = -math.fsum(p * math.log2(p) for p in shares)
     shape = _shape(token)
     return (
         "mixture",
         length,
         min(4, 5 * digits // size),
         min(6, 8 * len(_TURN.findall(token)) // size),
-        int(-2 * sum(p * math.log2(p) for p in shares)),
+        int(2 * entropy + 1e-9),
         shape if len(shape) <= 6 else "",
         token[:4] if size >= 16 and token[:4].isalpha() else "",
         size >= 8 and not token.strip("0123456789abcdef"),
@@ -129,16 +131,23 @@ def file_features(text: str) -> list[tuple]:
 PLACES = {"before": -1, "before that": -2, "after": 1}
 
 
-def window_features(tokens: list[str], file: list[tuple], hide_words: bool = False) -> list[list[tuple]]:
+#: What a training window may hide: nothing, the neighbouring words, or those and the looks of particular secrets.
+HIDE = ("nothing", "words", "looks")
+#: Places of shape, head, hex digits and case in the key of a mixture.
+_LOOKS = {("mixture", i) for i in (4, 5, 6, 9)}
+
+
+def window_features(tokens: list[str], file: list[tuple], hide: str = "nothing") -> list[list[tuple]]:
     """The features of each token of a short run."""
     result = []
     for i, token in enumerate(tokens):
-        found = _features_of(own_key(token)) + file
+        own = _features_of(own_key(token))
+        found = [f for f in own if hide != "looks" or f[:2] not in _LOOKS] + file
         for place, step in PLACES.items():
             j = i + step
             if 0 <= j < len(tokens):
                 near = near_features(tokens[j], place)
-                found += near[1:] if hide_words else near
+                found += near if hide == "nothing" else near[1:]
         result.append(found)
     return result
 
@@ -343,7 +352,7 @@ def fit(docs: DataFrame, text_column: str = "text", with_secret: int = WITH_SECR
     rows["words"] = rows["tokens"].map("\x00".join)
     windows = []
     for row in rows.sort_values(["order", "words"]).itertuples():
-        for hide in (False, True):
+        for hide in HIDE:
             file = [(name, int(value)) for name, value in zip(FILE_FEATURES, row.file)]
             windows.append((window_features(list(row.tokens), file, hide), [int(t) for t in row.tags]))
     return train(windows)

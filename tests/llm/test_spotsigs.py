@@ -1,0 +1,132 @@
+"""Spot signatures against sets of word chains."""
+
+import hashlib
+import itertools
+import re
+
+from pyspark.sql import functions as F
+
+from ingestctl.llm import spotsigs as S
+from tests.conftest import rows
+
+DIR = "/root/testdata/sf0.001"
+
+
+def chains(text):
+    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    content = [w for w in words if w not in S.ANCHORS]
+    found, anchors = set(), 0
+    for i, word in enumerate(words):
+        if word in S.ANCHORS:
+            chain = content[i - anchors : i - anchors + S.CHAIN]
+            anchors += 1
+            if chain:
+                found.add((word, *chain))
+    return found or ({("all words", *words)} if words else set())
+
+
+def jaccard(a, b):
+    return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+
+def documents(spark, pairs):
+    schema = "doc_id long, text string, n_chars string, own int, previous string"
+    return spark.createDataFrame([(i, t, "n", 1, "p") for i, t in pairs], schema)
+
+
+def compared(docs):
+    """What compare_with_next gives, but for the fingerprints; in order of id, null first."""
+    distinct = []
+    for doc, text in docs:
+        if (doc, text or "") not in distinct:
+            distinct.append((doc, text or ""))
+    result = []
+    for i, (doc, text) in enumerate(distinct):
+        following = distinct[(i + 1) % len(distinct)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        row = (
+            doc,
+            len(text),
+            hashlib.sha256(edited.encode()).hexdigest(),
+            round(jaccard(chains(text), chains(edited)), 9),
+            round(jaccard(chains(text), chains(following)), 9),
+        )
+        result += [row] * sum((d, t or "") == (doc, text) for d, t in docs)
+    return sorted(result, key=repr)
+
+
+def compare(frame):
+    got = S.compare_with_next(frame)
+    return rows(got.select("doc_id", "n_chars", "edited_sha256", F.round("near_edited", 9), F.round("near_next", 9)))
+
+
+def test_given_texts(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    pairs = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    assert compare(docs) == compared(pairs)
+    prints = S.compare_with_next(docs).select("doc_id", "fingerprint", "edited_fingerprint").collect()
+    by_id, texts = {r["doc_id"]: r["fingerprint"] for r in prints}, dict(pairs)
+    for a, b in itertools.combinations(sorted(texts), 2):
+        assert (by_id[a] == by_id[b]) == (chains(texts[a]) == chains(texts[b]))
+    assert all(len(r["fingerprint"]) == 8 * len(chains(texts[r["doc_id"]])) for r in prints)
+
+
+# ids ascend; texts under one id are given once or repeated, so that their order does not matter
+CASES = [
+    (None, "no id the first of all is here"),
+    (1, None),
+    (2, ""),
+    (3, "the cat sat on the mat and the dog"),
+    (4, "the cat sat on the mat and the dog"),
+    (4, "the cat sat on the mat and the dog"),
+    (5, "nowords!!! ???"),
+    (6, "é\U0001f600 the Über alles is ñandú"),
+    (7, "the " * 60_000 + "end"),
+    (8, "x"),
+]
+
+
+def test_odd_rows(spark):
+    assert compare(documents(spark, CASES)) == compared(CASES)
+
+
+def test_one_document_follows_itself(spark):
+    assert compare(documents(spark, [(1, "the only text of all")])) == compared([(1, "the only text of all")])
+
+
+def test_empty_table(spark):
+    assert compare(documents(spark, [])) == []
+    assert rows(S.near_duplicates(documents(spark, []))) == []
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    anchors = ["the", "a", "of", "is"]
+    base = [rng.choice(anchors) if i % 3 == 0 else f"w{rng.randrange(400)}" for i in range(150)]
+    docs = []
+    for i in range(80):
+        words = list(base[: rng.choice([90, 120, 150])]) if i % 4 else [f"v{rng.randrange(50)}" for _ in range(12)]
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+        docs.append((i, " ".join(words)))
+    docs += [(100, None), (101, "..."), (102, docs[1][1]), (102, docs[1][1]), (None, docs[1][1])]
+    sets = {i: chains(t) for i, t in docs if i is not None}
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+    different = {}
+    for a, b in itertools.combinations(ids, 2):
+        if jaccard(sets[a], sets[b]) >= 0.8:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+            if sets[a] != sets[b]:
+                different.setdefault(frozenset(sets[a]), set()).add(frozenset(sets[b]))
+                different.setdefault(frozenset(sets[b]), set()).add(frozenset(sets[a]))
+    expected = [
+        (i, root[102 if i is None else i], len(different.get(frozenset(chains(t)), ()))) for i, t in docs
+    ]
+    assert len({c for _, c, _ in expected}) > 5 and max(n for _, _, n in expected) > 3
+    got = S.near_duplicates(documents(spark, docs)).select("doc_id", "class_id", "links")
+    assert rows(got) == sorted(expected, key=repr)
