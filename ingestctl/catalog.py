@@ -67,6 +67,32 @@ def ingest_delimited_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingest_typed(spark, sf_dir, "customer", "|", "|")
 
 
+@query
+def ingest_resume_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An overwriting load that fails in a later step, and goes on with the rest once that is corrected."""
+    source = fx.table(spark, sf_dir, "customer")
+    database, folder = fx.new_database(spark), new_folder(spark, "landing")
+    fx.create_like(spark, f"{database}.customer", source)
+
+    def land(df: DataFrame, compression: str = "none") -> None:
+        lines = df.select(fx.delimited_line(df, "|").alias("value"))
+        lines.write.mode("append").option("compression", compression).text(folder)
+
+    def load(pattern: str) -> DataFrame:
+        changes = {"Table_Mode": "overwrite", "Skiplines": 0, "File_Pattern": pattern}
+        row = fx.config_row(database, "customer", folder, Header=", ".join(source.columns), **changes)
+        config = fx.config_frame(spark, [row])
+        return ingest_all(spark, config, "p1", "d1", "load", "w1", "r1", max_files_per_step=1)
+
+    land(source.where("c_custkey % 2 = 0"))
+    land(source.selectExpr("'too' AS a", "'few' AS b", "'columns' AS c").distinct(), "gzip")
+    if load("*").first()["status"] != "FAILURE":
+        raise RuntimeError("a file with another number of columns was loaded")
+    land(source.where("c_custkey % 2 = 1"))
+    _require_success(load("*.txt"))
+    return spark.table(f"{database}.customer")
+
+
 @query
 def ingest_delimited_ctrl_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingest_typed(spark, sf_dir, "supplier", "\u0001", "x01")
@@ -412,6 +438,15 @@ def job_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def job_status_of_compacted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = control.status_view(control.compact_events(fx.status_events(spark, sf_dir)))
+    stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return status.withColumn("start_time", F.date_format("start_time", stamp)).withColumn(
+        "end_time", F.date_format("end_time", stamp)
+    )
+
+
 @query
 def already_executed(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = control.status_view(fx.status_events(spark, sf_dir))
@@ -578,6 +613,12 @@ def linear_chain_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taskgraph.linear_chain(children)
 
 
+@query
+def linear_chain_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents, children = _graph(spark, sf_dir)
+    return taskgraph.linear_closing(children, parents)
+
+
 @query
 def job_level_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents, _ = _graph(spark, sf_dir)
@@ -609,6 +650,24 @@ def task_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_parent.distinct()
 
 
+@query
+def task_clusters_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents, children = _graph(spark, sf_dir)
+    return taskgraph.task_clusters(children, parents, "own")
+
+
+@query
+def control_task_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents, _ = _graph(spark, sf_dir)
+    return taskgraph.control_task_clusters(parents)
+
+
+@query
+def job_cluster_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents, children = _graph(spark, sf_dir)
+    return taskgraph.job_clusters(children, parents, "parent").select("esp_job_id", "cluster_key")
+
+
 @query
 def library_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, children = _graph(spark, sf_dir)

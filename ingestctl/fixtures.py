@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ingestctl.scratch import materialise, new_folder
 
+# The columns of the configuration table.
 CONFIG_DDL = (
     "project_id string, dept_id string, job_id string, Entity_Name string, Src_Path string, "
     "File_Pattern string, Delimiter string, Header_Flag string, Header string, Skiplines int, "
@@ -252,12 +253,16 @@ _TABLE_NAME = "concat('dev.', CASE WHEN {0} % 2 = 0 THEN 'stg_wt' ELSE 'mart_tb'
 
 
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(child, parent, table_type of the parent) with diamonds and cycles, from part."""
+    """(child, parent, table_type of the parent), from part.
+
+    Table n is made from tables 2n and 2n + 1, so levels double in width and the first table
+    reaches all others; every eleventh also leads back to a smaller one, which makes cycles.
+    """
     numbered = table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS child_no",
         """explode(filter(array(
-             CASE WHEN p_partkey > 0 THEN p_partkey div 3 END,
-             CASE WHEN p_partkey % 11 = 0 THEN (p_partkey * 7 + 1) % 500 END),
+             2 * p_partkey, 2 * p_partkey + 1,
+             CASE WHEN p_partkey % 11 = 0 THEN p_partkey div 3 END),
              n -> n IS NOT NULL AND n <> p_partkey)) AS parent_no""",
     )
     return (
@@ -271,10 +276,9 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_root(spark: SparkSession, sf_dir: str) -> str:
-    """Where to start: the table with the largest number that has two parents."""
-    two_parents = F.when(F.col("p_partkey") % 11 == 0, F.col("p_partkey"))
-    largest = table(spark, sf_dir, "part").agg(F.max(two_parents).alias("n"))
-    return largest.selectExpr(_TABLE_NAME.format("n") + " AS root").first()["root"]
+    """Where to start: the table with the smallest number above 0."""
+    first = table(spark, sf_dir, "part").where("p_partkey > 0").agg(F.min("p_partkey").alias("n"))
+    return first.selectExpr(_TABLE_NAME.format("n") + " AS root").first()["root"]
 
 
 def table_history(spark: SparkSession, sf_dir: str) -> DataFrame:

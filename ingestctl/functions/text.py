@@ -21,9 +21,27 @@ def fixed_width_columns(
 
 
 def json_object(text: Column) -> Column:
-    """JSON object text as a map of texts, NULL where it is not a JSON object."""
-    parsed = F.from_json(text, "map<string,string>", _STRICT)
-    return F.when(text.rlike(r"\}\s*\z"), parsed)
+    """JSON object text as a map of texts, NULL where it is not a JSON object.
+
+    The whole text must be one object; the last entry of a repeated key counts.
+    """
+    parsed = F.from_json(_listed(text), "array<map<string,string>>", _STRICT)
+    return F.when(F.size(parsed) == 1, _last_entries(F.get(parsed, F.lit(0))))
+
+
+def _listed(text: Column) -> Column:
+    """The text as the one element of a JSON array: text after an object then makes the whole malformed."""
+    return F.concat(F.lit("["), text, F.lit("]"))
+
+
+def _last_entries(entries: Column) -> Column:
+    pairs = F.map_entries(entries)
+    return F.map_from_entries(
+        F.filter(
+            pairs,
+            lambda pair, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == pair["key"]),
+        )
+    )
 
 
 def json_map(text: Column) -> Column:
@@ -37,8 +55,8 @@ def json_list(text: Column) -> Column:
 
 
 def _json_array(text: Column) -> Column:
-    parsed = F.from_json(text, "array<string>", _STRICT)
-    return F.when(text.rlike(r"\]\s*\z"), parsed)
+    parsed = F.from_json(_listed(text), "array<array<string>>", _STRICT)
+    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
 
 
 def listed_names(text: Column) -> Column:

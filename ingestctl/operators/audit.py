@@ -16,6 +16,7 @@ from ingestctl.spec import IngestSpec
 
 _one_append_at_a_time = Lock()
 
+# The columns of the audit table.
 AUDIT_SCHEMA = T.StructType(
     [
         T.StructField("processed_timestamp", T.TimestampType(), False),
@@ -47,6 +48,8 @@ LEDGER_SCHEMA = T.StructType(
         T.StructField("version", T.LongType()),
         T.StructField("run_id", T.StringType()),
         T.StructField("processed_timestamp", T.TimestampType()),
+        T.StructField("load_id", T.StringType()),
+        T.StructField("load_finished", T.BooleanType()),
     ]
 )
 
@@ -84,17 +87,38 @@ def audit_row(
 
 
 def ledger_rows(
-    spark: SparkSession, table: str, files: list[Row], run_id: str | None, now: datetime | None = None
+    spark: SparkSession,
+    table: str,
+    files: list[Row],
+    run_id: str | None,
+    now: datetime | None = None,
+    load_id: str | None = None,
+    load_finished: bool = True,
 ) -> DataFrame:
-    """One row per loaded file of one load step."""
+    """One row per loaded file of one load step; without files one row without a file, as a mark."""
     stamp = now or datetime.now(timezone.utc)
+    listed = [(f["file_path"], f["file_name"], f["length"], f["version"]) for f in files]
     rows = [
-        (table, f["file_path"], f["file_name"], f["length"], f["version"], run_id, stamp)
-        for f in files
+        (table, *file, run_id, stamp, load_id, load_finished) for file in listed or [(None, None, None, None)]
     ]
     return small_frame(spark, rows, LEDGER_SCHEMA)
 
 
+def load_is_unfinished(spark: SparkSession, ledger_table: str, table: str) -> bool:
+    """Whether the last load of a table wrote some of its steps and not the last one."""
+    if not table_exists(spark, ledger_table):
+        return False
+    last = (
+        spark.table(ledger_table)
+        .where((F.col("table_name") == table) & F.col("load_id").isNotNull())
+        .groupBy("load_id")
+        .agg(F.max("processed_timestamp").alias("at"), F.max("load_finished").alias("finished"))
+        .agg(F.max(F.struct("at", "finished")).alias("last"))
+        .first()["last"]
+    )
+    return last is not None and not last["finished"]
+
+
 def append_rows(rows: DataFrame, table: str) -> None:
     """Append, one at a time: entities loaded side by side share their audit tables."""
     with _one_append_at_a_time:
@@ -106,8 +130,18 @@ def unprocessed_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:
     return listing.join(ledger.select(*LEDGER_KEY), LEDGER_KEY, "left_anti")
 
 
-def unprocessed_for(spark: SparkSession, listing: DataFrame, ledger_table: str, table: str) -> DataFrame:
-    """``unprocessed_files`` against a ledger table that may not exist yet."""
+def unprocessed_for(
+    spark: SparkSession, listing: DataFrame, ledger_table: str, tables: list[str]
+) -> DataFrame:
+    """Files that some of the tables lacks, with ``lacking``: the tables that do; the ledger may not exist yet."""
     if not table_exists(spark, ledger_table):
-        return listing
-    return unprocessed_files(listing, spark.table(ledger_table).where(F.col("table_name") == table))
+        return listing.withColumn("lacking", F.array(*[F.lit(table) for table in tables]))
+    held = (
+        spark.table(ledger_table)
+        .where(F.col("table_name").isin(tables))
+        .groupBy(*LEDGER_KEY)
+        .agg(F.collect_set("table_name").alias("held"))
+    )
+    every = F.array(*[F.lit(table) for table in tables])
+    lacking = F.coalesce(F.array_except(every, F.col("held")), every)
+    return listing.join(held, LEDGER_KEY, "left").withColumn("lacking", lacking).drop("held").where(F.size("lacking") > 0)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ingestctl.scratch import materialise, small_frame
+from ingestctl.sources.tables import partition_columns, table_exists
 
 RUN_KEY = ["batch_id", "job_id", "run_id"]
 JOB_KEY = ["batch_id", "proj_id", "dept_id", "job_id"]
@@ -142,7 +143,8 @@ def require_not_executed(
 def parent_jobs(jobs: DataFrame, parameters: DataFrame) -> DataFrame:
     """Each job with the parent of its first parameter row, NULL where it has none."""
     key = ["proj_id", "dept_id", "job_id"]
-    first = parameters.groupBy(*key).agg(
+    wanted = parameters.join(jobs.select(*key).distinct(), key, "left_semi")
+    first = wanted.groupBy(*key).agg(
         F.min_by("parent_job_id", F.struct("invocation_id", "parent_job_id")).alias("parent_job_id")
     )
     return jobs.join(materialise(first, "parents"), key, "left")
@@ -165,7 +167,10 @@ def record_event(
     seq: int | None = None,
     ts: datetime | None = None,
 ) -> None:
-    """Append one status event; ``seq`` and ``ts`` default to the clock."""
+    """Append one status event; ``seq`` and ``ts`` default to the clock.
+
+    The fold goes by ``seq`` alone: drivers whose clocks differ should give their own.
+    """
     row = (
         time.time_ns() if seq is None else seq,
         ts or datetime.now(timezone.utc),
@@ -180,4 +185,33 @@ def record_event(
         run_id,
         run_url,
     )
-    small_frame(spark, [row], EVENT_SCHEMA).write.mode("append").saveAsTable(table)
+    writer = small_frame(spark, [row], EVENT_SCHEMA).write.mode("append")
+    columns = partition_columns(spark, table) if table_exists(spark, table) else ["batch_id"]
+    (writer.partitionBy(*columns) if columns else writer).saveAsTable(table)
+
+
+def compact_events(events: DataFrame) -> DataFrame:
+    """The events that the current status depends on, at most five of each run: the first, the last, and the
+    last that had an error message, ended the run, or started it.
+
+    ``status_view`` gives the same for these as for all. Each event is a small file of its own
+    until the table is rewritten as this frame.
+    """
+    counting = [
+        F.min("seq").alias("opened"),
+        F.max("seq").alias("latest"),
+        F.expr("max(seq) FILTER (WHERE error_message <> '')").alias("failing"),
+        F.expr(f"max(seq) FILTER (WHERE status IN ('{COMPLETED}', '{FAILED}'))").alias("ending"),
+        F.expr(f"max(seq) FILTER (WHERE status = '{IN_PROGRESS}')").alias("starting"),
+    ]
+    names = ["opened", "latest", "failing", "ending", "starting"]
+    folded = materialise(
+        events.groupBy(*RUN_KEY)
+        .agg(*counting)
+        .select(*RUN_KEY, F.explode(F.array_distinct(F.array_compact(F.array(*names)))).alias("seq")),
+        "counting",
+    ).toDF(*[f"run_{i}" for i in range(len(RUN_KEY))], "wanted_seq")
+    same = events["seq"] == folded["wanted_seq"]
+    for i, key in enumerate(RUN_KEY):
+        same = same & events[key].eqNullSafe(folded[f"run_{i}"])
+    return events.join(folded, same, "left_semi")

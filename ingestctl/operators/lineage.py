@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,10 +12,6 @@ from ingestctl.functions.text import labelled, table_name_part
 from ingestctl.operators.ordering import with_previous
 from ingestctl.scratch import materialise, new_folder, small_frame
 
-# A frontier up to this many tables is sent to every executor; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
-
-
 def expanded_tables(
     edges: DataFrame,
     root: str,
@@ -24,33 +20,38 @@ def expanded_tables(
     """(node, depth) of every table whose parents are looked up, the root at depth 0.
 
     Breadth-first, one round per level: the frontier is joined to the edges, known tables are
-    dropped, and the rest is written as the next level. Written levels are the visited set,
-    so a cycle ends by itself and no level is computed twice. ``expand(parent, depth of
-    child)`` limits which parents are looked up in turn.
+    dropped, and the rest is written as the next level, counted while it is written. All
+    levels are one table partitioned by depth: it is the visited set, so a cycle ends by
+    itself and no level is computed twice. ``expand(parent, depth of child)`` limits which
+    parents are looked up in turn.
     """
     spark = edges.sparkSession
+    edges = written_edges(edges)
     known = new_folder(spark, "levels")
     schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("depth", T.IntegerType())])
 
-    def level_path(depth: int) -> str:
-        return f"{known}/level-{depth}"
+    def visited() -> DataFrame:
+        return spark.read.schema(schema).parquet(known)
+
+    def write_level(level: DataFrame) -> int:
+        counted = Observation()
+        level = level.observe(counted, F.count(F.lit(1)).alias("n_rows"))
+        level.write.mode("append").partitionBy("depth").parquet(known)
+        return counted.get["n_rows"]
 
-    small_frame(spark, [(root, 0)], schema).write.parquet(level_path(0))
     depth = 0
-    while n_rows := spark.read.schema(schema).parquet(level_path(depth)).count():
-        frontier = spark.read.schema(schema).parquet(level_path(depth))
-        if n_rows <= BROADCAST_ROWS:
-            frontier = F.broadcast(frontier)
-        parents = edges.join(frontier, edges["child"] == frontier["node"]).select("parent")
+    n_rows = write_level(small_frame(spark, [(root, depth)], schema))
+    while n_rows:
+        frontier = visited().where(F.col("depth") == depth).select(F.col("node").alias("child"))
+        parents = edges.join(frontier, "child").select("parent")
         if expand is not None:
             parents = parents.where(expand(F.col("parent"), F.lit(depth)))
-        visited = spark.read.schema(schema).parquet(*[level_path(level) for level in range(depth + 1)])
         found = parents.select(F.col("parent").alias("node")).distinct()
         depth += 1
-        found.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)).write.parquet(
-            level_path(depth)
+        n_rows = write_level(
+            found.join(visited().select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         )
-    return spark.read.schema(schema).parquet(*[level_path(level) for level in range(depth + 1)])
+    return visited()
 
 
 def suffix_rule(parent: Column, depth: Column) -> Column:
@@ -60,7 +61,7 @@ def suffix_rule(parent: Column, depth: Column) -> Column:
 
 
 def written_edges(edges: DataFrame) -> DataFrame:
-    """Edges as a two-column table of their own, for edges that are not cheap to scan."""
+    """Edges as a two-column table of their own, which is then scanned once per level."""
     return materialise(edges.select("child", "parent"), "edges")
 
 
@@ -98,17 +99,19 @@ def node_details(edges: DataFrame, expanded: DataFrame) -> DataFrame:
 
 
 def latest_runs(history: DataFrame) -> DataFrame:
-    """The run that wrote the highest version of each table."""
-    return history.groupBy("table_name").agg(F.max_by("run_id", "version").alias("run_id"))
+    """The run that wrote the highest version of each table; of runs with the same version the largest id.
+
+    The versions are folded in a hash map, and the few texts that count are looked up afterwards.
+    """
+    newest = materialise(history.groupBy("table_name").agg(F.max("version").alias("version")), "newest")
+    return history.join(newest, ["table_name", "version"]).groupBy("table_name").agg(F.max("run_id").alias("run_id"))
 
 
 def run_jobs(runs: DataFrame, parameter: str = "esp_job_id") -> DataFrame:
-    """The job of each run: from its first task's parameters, else from the run's own."""
+    """The job of each run: from its first task's parameters, else from the run's own. A repeated run is one."""
     first_task = F.get("tasks", F.lit(0))["notebook_task"]["base_parameters"]
-    return runs.select(
-        "run_id",
-        F.coalesce(first_task[parameter], F.col("job_parameters")[parameter]).alias(parameter),
-    )
+    job = F.coalesce(first_task[parameter], F.col("job_parameters")[parameter])
+    return runs.select("run_id", job.alias(parameter)).groupBy("run_id").agg(F.max(parameter).alias(parameter))
 
 
 def table_jobs(tables: DataFrame, history: DataFrame, runs: DataFrame) -> DataFrame:
@@ -118,7 +121,11 @@ def table_jobs(tables: DataFrame, history: DataFrame, runs: DataFrame) -> DataFr
     """
     relevant = history.join(tables, "table_name", "left_semi")
     written = tables.join(latest_runs(relevant), "table_name", "left")
-    return written.join(run_jobs(runs), "run_id", "left").select("table_name", "esp_job_id")
+    # tables without a run would all meet in one task
+    known = written.where(F.col("run_id").isNotNull()).join(run_jobs(runs), "run_id", "left")
+    unknown = written.where(F.col("run_id").isNull()).withColumn("esp_job_id", F.lit(None).cast("string"))
+    columns = ["table_name", "esp_job_id"]
+    return known.select(columns).unionByName(unknown.select(columns))
 
 
 def chain_edges(table_jobs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import types as T
 from ingestctl.spec import parse_names, parse_transformations
 
 
+_one_setting_at_a_time = Lock()
+
+
 def rename_positional(df: DataFrame, header: str | list[str]) -> DataFrame:
     """Name the columns by position; the counts must agree."""
     names = parse_names(header)
@@ -34,13 +38,23 @@ def column_count_report(lines: DataFrame, delimiter: str, expected: int) -> Data
     )
 
 
-def derive(df: DataFrame, transformations: str | None) -> DataFrame:
-    """Add or replace columns in the given order; a later entry sees the earlier ones."""
-    return reduce(
-        lambda frame, entry: frame.withColumn(entry[0], F.expr(entry[1])),
-        parse_transformations(transformations),
-        df,
-    )
+def derive(df: DataFrame, transformations: str | list[tuple[str, str]] | None) -> DataFrame:
+    """Add or replace columns in the given order; a later entry sees the earlier ones.
+
+    A value that an expression cannot work with gives NULL, whatever the session says: the
+    expressions take their error handling from the setting in force when they are resolved.
+    """
+    entries = transformations if isinstance(transformations, list) else parse_transformations(transformations)
+    if not entries:
+        return df
+    conf = df.sparkSession.conf
+    with _one_setting_at_a_time:
+        ansi = conf.get("spark.sql.ansi.enabled")
+        conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            return reduce(lambda frame, entry: frame.withColumn(entry[0], F.expr(entry[1])), entries, df)
+        finally:
+            conf.set("spark.sql.ansi.enabled", ansi)
 
 
 def lenient_cast(df: DataFrame, name: str, target: T.DataType) -> Column:

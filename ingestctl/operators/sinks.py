@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 from ingestctl.operators.shape import derive, impose_schema
 from ingestctl.scratch import small_frame
 from ingestctl.sources.tables import partition_columns as partition_columns_of
-from ingestctl.sources.tables import table_exists
-from ingestctl.spec import parse_partition_columns
+from ingestctl.sources.tables import table_exists, table_provider
+from ingestctl.spec import parse_partition_columns, parse_transformations
 
 RAW_PARTITION = "PartitionColumn"
+_OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 LOAD_SCHEMA = T.StructType(
     [
@@ -44,10 +45,12 @@ def write_table(
     partition_columns: str | list[str] | None = None,
     rebalance: bool = False,
     before: int | None = None,
+    table_format: str | None = None,
 ) -> WriteCounts:
     """Write in the given mode; rows are counted while they are written, not by another scan.
 
-    An existing table keeps its partitioning where none is given.
+    An existing table keeps its partitioning where none is given, and its format; a new one has
+    ``table_format``, else the session's default.
 
     A write does not shuffle. Where a load has many partition values, ``rebalance`` spends one
     shuffle to bring a value's rows into few files; adaptive execution still splits a hot value
@@ -68,6 +71,9 @@ def write_table(
         df = df.hint("rebalance", *columns)
     observed = Observation()
     writer = df.observe(observed, F.count(F.lit(1)).alias("n_rows")).write.mode(mode)
+    table_format = (table_provider(spark, table) if exists else None) or table_format
+    if table_format:
+        writer = writer.format(table_format)
     if columns:
         writer = writer.partitionBy(*columns)
     writer.saveAsTable(table)
@@ -76,11 +82,14 @@ def write_table(
 
 
 def write_raw(raw: DataFrame, table: str, transformations: str | None) -> WriteCounts:
-    """Append raw lines, partitioned by a column that the transformations must create."""
-    df = derive(raw, transformations)
-    if RAW_PARTITION not in df.columns:
+    """Append raw lines, partitioned by a column that the transformations must create.
+
+    The other transformations are about the parsed columns, which a raw line does not have.
+    """
+    entries = [entry for entry in parse_transformations(transformations) if entry[0] == RAW_PARTITION]
+    if not entries:
         raise ValueError(f"raw copy to {table}: the transformations must create {RAW_PARTITION}")
-    return write_table(df, table, "append", RAW_PARTITION)
+    return write_table(derive(raw, entries), table, "append", RAW_PARTITION, rebalance=True)
 
 
 def truncate_and_load(
@@ -92,7 +101,8 @@ def truncate_and_load(
 ) -> DataFrame:
     """Replace the rows of each named table with what ``reader(name)`` gives.
 
-    An existing table keeps its columns and types. Tables are independent: at most
+    An existing table keeps its columns and types; all its rows go, also those of partitions that
+    the new rows do not have, whatever the session's overwrite mode. Tables are independent: at most
     ``concurrency`` loads run side by side and a failing one does not stop the others.
     """
 
@@ -102,8 +112,13 @@ def truncate_and_load(
         except Exception as error:
             return name, "FAILURE", None, str(error)
 
-    with ThreadPoolExecutor(max_workers=concurrency) as pool:
-        rows = list(pool.map(load, names))
+    before = spark.conf.get(_OVERWRITE_MODE)
+    spark.conf.set(_OVERWRITE_MODE, "static")
+    try:
+        with ThreadPoolExecutor(max_workers=concurrency) as pool:
+            rows = list(pool.map(load, names))
+    finally:
+        spark.conf.set(_OVERWRITE_MODE, before)
     return small_frame(spark, rows, LOAD_SCHEMA)
 
 

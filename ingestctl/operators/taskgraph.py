@@ -59,13 +59,13 @@ def child_rows(params: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def job_details(params: DataFrame, job: str) -> tuple[Row | None, DataFrame | None]:
-    """Parent row and ordered children of one job; (None, None) if it has no parent."""
+    """Parent row and ordered children of one job, payloads parsed; (None, None) if it has no parent."""
     mine = params.where(F.col(JOB) == job)
     parents = parent_rows(mine)
     parent = parents.first()
     if parent is None:
         return None, None
-    return parent, child_rows(mine, parents).orderBy("invocation_id", "task_name")
+    return parent, task_payloads(child_rows(mine, parents)).orderBy("invocation_id", "task_name")
 
 
 def task_payloads(children: DataFrame) -> DataFrame:
@@ -225,8 +225,11 @@ def leaf_tasks(dependencies: DataFrame) -> DataFrame:
         .withColumn("is_depended", F.lit(True))
     )
     tasks = dependencies.select(JOB, "task_name").distinct()
-    marked = tasks.join(depended, [JOB, "task_name"], "left").select(
-        JOB, "task_name", F.col("is_depended").isNull().alias("is_leaf")
+    marked = materialise(
+        tasks.join(depended, [JOB, "task_name"], "left").select(
+            JOB, "task_name", F.col("is_depended").isNull().alias("is_leaf")
+        ),
+        "marked",
     )
     without_leaf = materialise(
         marked.groupBy(JOB).agg(F.bool_or("is_leaf").alias("has_leaf")).where(~F.col("has_leaf")), "leafless"
@@ -270,6 +273,19 @@ def linear_chain(children: DataFrame) -> DataFrame:
     )
 
 
+def linear_closing(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """(job, task, depends_on): the completed mark after the last child of the chain, or after the start mark."""
+    order = F.struct("invocation_id", "task_name", "job_id")
+    last = materialise(
+        children.where(F.col("notebook_path").isNotNull()).groupBy(JOB).agg(F.max(order).alias("last")), "last"
+    )
+    return parents.select(JOB).join(last, JOB, "left").select(
+        JOB,
+        F.lit(MARK_COMPLETED).alias("task_name"),
+        F.coalesce("last.task_name", F.lit(MARK_IN_PROGRESS)).alias("depends_on"),
+    )
+
+
 def cluster_registry(children: DataFrame) -> DataFrame:
     """The first definition of each cluster key of a job, in invocation order."""
     cluster = json_map(F.col("cluster_details"))
@@ -303,12 +319,32 @@ def task_clusters(children: DataFrame, parents: DataFrame, policy: str = "own")
         return children.select(JOB, "task_name", key.alias("cluster_key"))
     if policy != "parent":
         raise ValueError(f"unknown policy {policy!r}")
+    return children.select(JOB, "task_name").join(parents.select(JOB, _job_cluster().alias("cluster_key")), JOB)
+
+
+def control_task_clusters(parents: DataFrame, execution_check: bool = True) -> DataFrame:
+    """(job, task, cluster key) of the control tasks: the parent's cluster, NULL where it has none."""
+    names = [BATCH_CHECK, EXECUTION_CHECK, MARK_IN_PROGRESS, MARK_COMPLETED]
+    names = [name for name in names if execution_check or name != EXECUTION_CHECK]
+    tasks = F.explode(F.array(*[F.lit(name) for name in names])).alias("task_name")
+    return parents.select(JOB, tasks, _job_cluster().alias("cluster_key"))
+
+
+def job_clusters(children: DataFrame, parents: DataFrame, policy: str = "own") -> DataFrame:
+    """(job, cluster key, cluster_details): the clusters that a job has to define under a policy."""
+    if policy == "own":
+        return cluster_registry(children).select(JOB, "cluster_key", "cluster_details")
+    if policy != "parent":
+        raise ValueError(f"unknown policy {policy!r}")
+    defined = parents.select(JOB, _job_cluster().alias("cluster_key"), "cluster_details")
+    return defined.where(F.col("cluster_key").isNotNull())
+
+
+def _job_cluster() -> Column:
+    """The key of a parent's cluster, NULL if the parent has none."""
     info = json_map(F.col("cluster_details"))
-    default = F.when(
-        F.size(info) > 0,
-        F.coalesce(info["job_cluster_key"], F.concat(F.col(JOB), F.lit("_default_cluster"))),
-    )
-    return children.select(JOB, "task_name").join(parents.select(JOB, default.alias("cluster_key")), JOB)
+    named = F.coalesce(info["job_cluster_key"], F.concat(F.col(JOB), F.lit("_default_cluster")))
+    return F.when(F.size(info) > 0, named)
 
 
 def task_libraries(children: DataFrame) -> DataFrame:
@@ -340,18 +376,19 @@ def attribute_children(attributes: DataFrame) -> DataFrame:
         "dept_id",
         "job_id",
         F.col("param_val").alias("name"),
-        F.col("invocation_id").cast("int").alias("sequence"),
+        F.col("invocation_id").try_cast("int").alias("sequence"),
     )
 
 
 def attribute_value(attributes: DataFrame, param_type: str, param_name: str) -> DataFrame:
-    """The first value by invocation of one attribute, for every job that has it."""
+    """The first value by invocation number of one attribute, for every job that has it; numberless ids come last."""
+    number = F.col("invocation_id").try_cast("bigint")
     return (
         attributes.where(
             (F.lower("param_type") == param_type) & (F.lower("param_name") == param_name)
         )
         .groupBy("proj_id", "dept_id", "job_id")
-        .agg(F.min_by("param_val", F.struct("invocation_id", "param_val")).alias("param_val"))
+        .agg(F.min_by("param_val", F.struct(number.isNull(), number, "invocation_id", "param_val")).alias("param_val"))
     )
 
 

@@ -87,9 +87,9 @@ last_defs AS (
 _LINEAGE = f"""
 WITH RECURSIVE numbered AS (
   SELECT DISTINCT a, b FROM (
-    SELECT p_partkey AS a, p_partkey // 3 AS b FROM part WHERE p_partkey > 0
-    UNION ALL
-    SELECT p_partkey, (p_partkey * 7 + 1) % 500 FROM part WHERE p_partkey % 11 = 0) e
+    SELECT p_partkey AS a, 2 * p_partkey AS b FROM part
+    UNION ALL SELECT p_partkey, 2 * p_partkey + 1 FROM part
+    UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 11 = 0) e
   WHERE a <> b),
 edges AS (
   SELECT {_TABLE_NAME.format('a')} AS child, {_TABLE_NAME.format('b')} AS parent,
@@ -97,7 +97,7 @@ edges AS (
   FROM numbered),
 root AS (
   SELECT {_TABLE_NAME.format('n')} AS node
-  FROM (SELECT max(p_partkey) FILTER (WHERE p_partkey % 11 = 0) AS n FROM part) m),
+  FROM (SELECT min(p_partkey) FILTER (WHERE p_partkey > 0) AS n FROM part) m),
 reached AS (
   SELECT node FROM root
   UNION
@@ -155,6 +155,7 @@ FROM {1}
 
 ORACLES: dict[str, str] = {
     "ingest_delimited_pipe": "SELECT * FROM customer",
+    "ingest_resume_overwrite": "SELECT * FROM customer",
     "ingest_delimited_ctrl_a": "SELECT * FROM supplier",
     "ingest_delimited_cedilla": "SELECT * FROM part",
     "ingest_fixed_width": """
@@ -239,6 +240,11 @@ ORACLES: dict[str, str] = {
                strftime(start_time, '%Y-%m-%d %H:%M:%S.%f') AS start_time,
                strftime(end_time, '%Y-%m-%d %H:%M:%S.%f') AS end_time, error_message
         FROM view""",
+    "job_status_of_compacted_events": _EVENTS + """
+        SELECT batch_id, job_id, run_id, proj_id, dept_id, parent_job_id, workflow_id, run_url, status,
+               strftime(start_time, '%Y-%m-%d %H:%M:%S.%f') AS start_time,
+               strftime(end_time, '%Y-%m-%d %H:%M:%S.%f') AS end_time, error_message
+        FROM view""",
     "already_executed": _EVENTS + """
         SELECT * FROM d_jobs j WHERE EXISTS (
           SELECT 1 FROM view v WHERE v.batch_id = j.batch_id AND v.proj_id = j.proj_id
@@ -317,6 +323,15 @@ ORACLES: dict[str, str] = {
         FROM chained,
              unnest(CASE WHEN len(deps) > 0 THEN list_distinct(deps)
                          ELSE [coalesce(previous, 'status_update_in_progress')] END) AS d(dep)""",
+    "linear_chain_closing": _CHILDREN + """
+        , chained AS (
+          SELECT esp_job_id, task_name,
+                 row_number() OVER (PARTITION BY esp_job_id
+                                    ORDER BY invocation_id DESC, task_name DESC, job_id DESC) AS rn
+          FROM children WHERE path IS NOT NULL)
+        SELECT p.esp_job_id, 'status_update_completed' AS task_name,
+               coalesce(c.task_name, 'status_update_in_progress') AS depends_on
+        FROM parents p LEFT JOIN (SELECT * FROM chained WHERE rn = 1) c USING (esp_job_id)""",
     "job_level_params": _CHILDREN + """
         SELECT esp_job_id, n.name, n.value, 'standard' AS origin FROM parents, (VALUES
           ('workflow_id', '{{job.id}}'), ('run_id', '{{job.run_id}}'), ('env', '${var.env}'),
@@ -356,6 +371,20 @@ ORACLES: dict[str, str] = {
                CASE c % 4 WHEN 0 THEN concat('jc', c % 5)
                           WHEN 1 THEN concat(esp_job_id, '_default_cluster') END AS cluster_key
         FROM children""",
+    "task_clusters_own": _CHILDREN + """
+        SELECT esp_job_id, task_name, CASE WHEN k % 7 > 1 THEN concat('c', k % 3) END AS cluster_key
+        FROM children""",
+    "control_task_clusters": _CHILDREN + """
+        SELECT esp_job_id, n.task_name,
+               CASE c % 4 WHEN 0 THEN concat('jc', c % 5)
+                          WHEN 1 THEN concat(esp_job_id, '_default_cluster') END AS cluster_key
+        FROM parents, (VALUES ('batch_check'), ('job_execution_check'), ('status_update_in_progress'),
+                              ('status_update_completed')) AS n(task_name)""",
+    "job_cluster_list": _CHILDREN + """
+        SELECT esp_job_id,
+               CASE c % 4 WHEN 0 THEN concat('jc', c % 5) ELSE concat(esp_job_id, '_default_cluster') END
+                 AS cluster_key
+        FROM parents WHERE c % 4 IN (0, 1)""",
     "library_kinds": _CHILDREN + """
         SELECT esp_job_id, task_name, 'dbfs:/x.jar' AS library, 'jar' AS kind, 'jar' AS kind_by_suffix
         FROM children WHERE k % 3 = 0
@@ -367,11 +396,12 @@ ORACLES: dict[str, str] = {
         FROM orders, unnest([concat('src', o_orderkey % 7), concat('src', 10 + o_orderkey % 5)]) AS u(v)""",
     "upstream_closure": _LINEAGE + "SELECT DISTINCT parent AS table_name FROM walked",
     "upstream_depth": _LINEAGE + """
-        , levels AS (
-          SELECT node AS table_name, 0 AS depth FROM root
+        , levels(table_name, depth) USING KEY (table_name) AS (
+          SELECT node, 0 FROM root
           UNION
-          SELECT e.parent, l.depth + 1 FROM levels l JOIN edges e ON e.child = l.table_name WHERE l.depth < 30)
-        SELECT table_name, cast(min(depth) AS bigint) AS depth FROM levels GROUP BY table_name""",
+          SELECT e.parent, l.depth + 1 FROM levels l JOIN edges e ON e.child = l.table_name
+          WHERE e.parent NOT IN (SELECT table_name FROM recurring.levels))
+        SELECT table_name, cast(depth AS bigint) AS depth FROM levels""",
     "upstream_suffix_rule": _LINEAGE + """
         , expanded AS (
           SELECT node FROM root

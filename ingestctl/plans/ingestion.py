@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -9,16 +11,17 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ingestctl.operators.audit import append_rows, audit_row, ledger_rows, unprocessed_for
+from ingestctl.operators.audit import append_rows, audit_row, ledger_rows, load_is_unfinished, unprocessed_for
 from ingestctl.operators.config import require_unique_entities, select_config
 from ingestctl.operators.shape import derive, impose_schema
 from ingestctl.operators.sinks import WriteCounts, write_raw, write_table
-from ingestctl.scratch import small_frame
+from ingestctl.scratch import materialise, small_frame
 from ingestctl.sources.files import (
     RAGGED_LINE,
     as_raw,
     data_line_width,
     discover_files,
+    has_data,
     literal_path,
     parse_delimited,
     parse_fixed_width,
@@ -82,7 +85,7 @@ def ingest_all(
     run = {"job_id": job_id, "workflow_id": workflow_id, "run_id": run_id}
 
     def load(row: Row) -> EntityResult:
-        return ingest_entity(spark, row["config_elements"], run, max_files_per_step)
+        return ingest_entity(spark, row["config_elements"], run, max_files_per_step, row["entity_name"])
 
     with ThreadPoolExecutor(max_workers=concurrency) as pool:
         results = list(pool.map(load, sorted(entities, key=lambda row: row["entity_name"])))
@@ -90,68 +93,117 @@ def ingest_all(
 
 
 def ingest_entity(
-    spark: SparkSession, config: Row, run: dict[str, str | None], max_files_per_step: int = 50_000
+    spark: SparkSession,
+    config: Row,
+    run: dict[str, str | None],
+    max_files_per_step: int = 50_000,
+    entity_name: str = "",
 ) -> EntityResult:
-    """Load the files of one entity that were not loaded before.
+    """Load the files of one entity that were not loaded before; whatever fails is in the result.
 
     Files are taken in steps of bounded number, oldest first. Each step writes its rows, then
-    the ledger, then the audit, so a rerun after a failure goes on behind the last good step.
+    the ledger, then the raw copy with its own ledger rows, then the audit. Ledger rows say
+    which load they belong to and whether it is finished, so a rerun after a failure goes on
+    behind the last good step, and appends to what the unfinished load has written.
     """
-    spec = IngestSpec.from_config(config)
-    result = EntityResult(spec.entity_name, "NO_FILES")
+    result = EntityResult(entity_name, "NO_FILES")
+    spec: IngestSpec | None = None
     files: list[Row] = []
     try:
-        listing = discover_files(spark, spec.source_path, spec.file_pattern)
-        pending = unprocessed_for(spark, listing, spec.ledger_table, spec.target_table)
-        mode, n_before = spec.table_mode, None
-        more = True
-        while more and (files := _next_files(pending, files, max_files_per_step)):
-            more = len(files) == max_files_per_step
-            loaded = _load_step(spark, spec, files, mode, n_before)
-            if loaded is None:
+        spec = IngestSpec.from_config(config)
+        result.entity_name = spec.entity_name
+        for counts, n_ragged in _steps(spark, spec, run, max_files_per_step, files):
+            if counts is None:
                 result.status = "EMPTY" if result.status == "NO_FILES" else result.status
                 continue
-            counts, n_ragged = loaded
-            n_before = counts.after
-            append_rows(
-                ledger_rows(spark, spec.target_table, files, run.get("run_id")), spec.ledger_table
-            )
-            append_rows(
-                audit_row(spark, spec, run, [row["file_name"] for row in files], counts),
-                spec.audit_table,
-            )
+            names = [row["file_name"] for row in files]
+            append_rows(audit_row(spark, spec, run, names, counts), spec.audit_table)
             result.status = "SUCCESS"
             result.n_files += len(files)
             result.file_row_count += counts.written
             result.ragged_row_count += n_ragged
-            if counts.written or mode != "ignore":
-                mode = "append"
     except Exception as error:
         result.status, result.error_message = "FAILURE", str(error)
-        names = [row["file_name"] for row in files]
-        append_rows(audit_row(spark, spec, run, names, None, str(error)), spec.audit_table)
+        if spec is not None:
+            try:
+                names = [row["file_name"] for row in files]
+                append_rows(audit_row(spark, spec, run, names, None, str(error)), spec.audit_table)
+            except Exception as audit_error:
+                result.error_message += f"; and the audit row was not written: {audit_error}"
     return result
 
 
-def _next_files(pending: DataFrame, previous: list[Row], limit: int) -> list[Row]:
-    """The next files in (time, path) order, at most ``limit`` of them."""
-    if previous:
-        last = previous[-1]
+def _steps(
+    spark: SparkSession, spec: IngestSpec, run: dict[str, str | None], max_files: int, files: list[Row]
+) -> Iterator[tuple[WriteCounts | None, int]]:
+    """Loads step by step and gives each step's counts (``None`` without data) and number of ragged rows.
+
+    ``files`` holds the files of the step that is being loaded.
+    """
+    target, raw = spec.target_table, spec.raw_table if spec.raw_flag else None
+    listing = discover_files(spark, spec.source_path, spec.file_pattern)
+    pending = materialise(
+        unprocessed_for(spark, listing, spec.ledger_table, [target, raw] if raw else [target]), "pending"
+    )
+    resumed = load_is_unfinished(spark, spec.ledger_table, target)
+    mode = "append" if resumed else spec.table_mode
+    load_id, n_before, unmarked = uuid.uuid4().hex, None, resumed
+
+    def record(table: str, files: list[Row], finished: bool) -> None:
+        rows = ledger_rows(spark, table, files, run.get("run_id"), load_id=load_id, load_finished=finished)
+        append_rows(rows, spec.ledger_table)
+
+    more, last = True, None
+    while more:
+        files[:], more = _next_files(pending, last, max_files)
+        if not files:
+            break
+        last = files[-1]
+        step, loaded = _parsed(spark, spec, files), False
+        counts, n_ragged = None, 0
+        for_target = [row for row in files if target in row["lacking"]]
+        if step is not None and for_target:
+            if len(for_target) < len(files):
+                step = _parsed(spark, spec, for_target)
+            if step is not None:
+                counts, n_ragged = _write_step(spec, step, mode, n_before)
+                n_before, loaded = counts.after, True
+                if counts.written or mode != "ignore":  # what is ignored stays pending
+                    record(target, for_target, not more)
+                    unmarked = more
+                    mode = "append"
+        for_raw = [row for row in files if raw and raw in row["lacking"]]
+        if for_raw and (loaded or len(for_target) < len(files)):
+            lines = _lines(spark, spec, for_raw)
+            copied = write_raw(as_raw(lines), raw, spec.transformations)
+            record(raw, for_raw, True)
+            counts = counts or copied
+        yield counts, n_ragged
+    if unmarked:
+        record(target, [], True)
+
+
+def _next_files(pending: DataFrame, last: Row | None, limit: int) -> tuple[list[Row], bool]:
+    """The next files in (time, path) order, at most ``limit`` of them, and whether there are more."""
+    if last is not None:
         pending = pending.where(
             (F.col("version") > last["version"])
             | ((F.col("version") == last["version"]) & (F.col("path") > last["path"]))
         )
-    return pending.orderBy("version", "path").limit(limit).collect()
+    files = pending.orderBy("version", "path").limit(limit + 1).collect()
+    return files[:limit], len(files) > limit
+
+
+def _lines(spark: SparkSession, spec: IngestSpec, files: list[Row]) -> DataFrame:
+    paths = [literal_path(row["path"]) for row in files]
+    return read_lines(spark, paths, spec.skip_lines, total_bytes=sum(row["length"] for row in files))
 
 
-def _load_step(
-    spark: SparkSession, spec: IngestSpec, files: list[Row], mode: str, n_before: int | None
-) -> tuple[WriteCounts, int] | None:
-    """Write the rows of the given files and count ragged ones; ``None`` if there is no data line."""
+def _parsed(spark: SparkSession, spec: IngestSpec, files: list[Row]) -> tuple[DataFrame, Observation] | None:
+    """The rows of the given files as the target wants them, counting ragged ones; ``None`` without a data line."""
     paths = [literal_path(row["path"]) for row in files]
-    total_bytes = sum(row["length"] for row in files)
-    lines = read_lines(spark, paths, spec.skip_lines, total_bytes=total_bytes)
-    first = (lines if spec.fixed_width else lines.where(F.trim("value") != "")).head(1)
+    lines = _lines(spark, spec, files)
+    first = (lines if spec.fixed_width else lines.where(has_data("value"))).head(1)
     if not first:
         return None
     names = _column_names(spark, spec, first[0]["value"])
@@ -166,12 +218,19 @@ def _load_step(
         n_ragged = F.count_if(F.col(RAGGED_LINE).isNotNull()).alias("n_rows")
         df = df.observe(ragged, n_ragged).drop(RAGGED_LINE)
     df = derive(df, spec.transformations)
-    target = table_schema(spark, spec.target_table)
-    if target is not None:
-        df = impose_schema(df, target, extras="error")
-    if spec.raw_flag:
-        write_raw(as_raw(lines), spec.raw_table, spec.transformations)
-    counts = write_table(df, spec.target_table, mode, spec.partition_column, before=n_before)
+    schema = table_schema(spark, spec.target_table)
+    if schema is not None:
+        df = impose_schema(df, schema, extras="error")
+    return df, ragged
+
+
+def _write_step(
+    spec: IngestSpec, step: tuple[DataFrame, Observation], mode: str, n_before: int | None
+) -> tuple[WriteCounts, int]:
+    df, ragged = step
+    counts = write_table(
+        df, spec.target_table, mode, spec.partition_column, rebalance=True, before=n_before
+    )
     return counts, ragged.get["n_rows"] if counts.written and not spec.fixed_width else 0
 
 

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ingestctl.operators.control import (
     COMPLETED,
@@ -80,7 +81,9 @@ def run_in_open_batch(
     """
     batch_id = require_open_batch(batches)
     if table_exists(spark, events_table):
-        require_not_executed(status_view(spark.table(events_table)), batch_id, proj_id, dept_id, job_id)
+        # batch and job are part of a run's key, so the fold needs no other events
+        mine = spark.table(events_table).where((F.col("batch_id") == batch_id) & (F.col("job_id") == job_id))
+        require_not_executed(status_view(mine), batch_id, proj_id, dept_id, job_id)
     parent_job_id = None
     if parameters is not None:
         schema = "proj_id string, dept_id string, job_id string"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,8 +61,8 @@ def read_lines(
 
     Files are split as usual. Skipping costs no second read: with the cost of opening a file
     set to a full partition, every split gets a task of its own, so the row position in the
-    task is the line position in the split. The skipped lines must lie in a file's first split.
-    With the size of all files known, small inputs are split finer, as Spark does by itself.
+    task is the line position in the split. The skipped lines must lie in a file's first split,
+    else this raises. With the size of all files known, small inputs are split finer, as Spark does by itself.
     """
     if skip == 0:
         return _text_reader(spark, pattern).text(paths).select("value", "_metadata.file_path")
@@ -72,8 +72,11 @@ def read_lines(
         "value",
         "_metadata.file_path",
         "_metadata.file_block_start",
+        "_metadata.file_block_length",
+        "_metadata.file_size",
         F.monotonically_increasing_id().alias("row_id"),
     )
+    _require_heads(numbered, skip)
     view = f"lines_{uuid.uuid4().hex}"
     numbered.createGlobalTempView(view)
     try:
@@ -86,6 +89,40 @@ def read_lines(
     )
 
 
+def has_data(line: str) -> Column:
+    """Whether a line has a character above U+0020: the CSV scan drops lines without one, too."""
+    return F.col(line).rlike(r"[^\x00-\x20]")
+
+
+def _require_heads(numbered: DataFrame, skip: int) -> None:
+    """Raise if a file of several splits has fewer than ``skip`` lines in its first one.
+
+    A task reads only that many lines of its split, and a frame whose files are not split is
+    not read at all.
+    """
+    if numbered.rdd.getNumPartitions() <= len(numbered.inputFiles()):
+        return
+
+    def short_head(batches):
+        seen, path = 0, None
+        for batch in batches:
+            if path is None:
+                first = batch.iloc[0]
+                if first["file_block_start"] > 0 or first["file_block_length"] >= first["file_size"]:
+                    return
+                path = first["file_path"]
+            seen += len(batch)
+            if seen >= skip:
+                return
+        if path is not None:
+            yield batch.iloc[:1][["file_path"]]
+
+    heads = numbered.select("file_path", "file_block_start", "file_block_length", "file_size")
+    short = heads.mapInPandas(short_head, "file_path string").limit(1).collect()
+    if short:
+        raise ValueError(f"the {skip} lines to skip do not lie in the first split of {short[0]['file_path']}")
+
+
 def as_raw(lines: DataFrame) -> DataFrame:
     """Lines as one ``raw_data`` column."""
     return lines.select(F.col("value").alias("raw_data"))
@@ -108,7 +145,7 @@ def parse_delimited(
     """
     schema, options = _delimited_format(names, delimiter, mark_ragged)
     row = F.from_csv("value", schema, options)
-    return lines.where(F.trim("value") != "").select(row.alias("row")).select("row.*")
+    return lines.where(has_data("value")).select(row.alias("row")).select("row.*")
 
 
 def parse_fixed_width(lines: DataFrame, names: str | list[str], positions: str) -> DataFrame:

@@ -21,6 +21,12 @@ def partition_columns(spark: SparkSession, table: str) -> list[str]:
     return [column.name for column in spark.catalog.listColumns(table) if column.isPartition]
 
 
+def table_provider(spark: SparkSession, table: str) -> str | None:
+    """The format of an existing table."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Provider'").collect()
+    return rows[0]["data_type"] if rows else None
+
+
 def jdbc_reader(spark: SparkSession, url: str, **options: str) -> Callable[[str], DataFrame]:
     """A reader for ``truncate_and_load``: source table name in, frame out.
 

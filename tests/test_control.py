@@ -139,3 +139,22 @@ def test_sql_script_is_run_and_written(spark, database):
     counts = run_sql_script(spark, 'SELECT "it is \'text\'" AS m, :n AS n', {"n": 3}, f"{database}.out")
     assert counts.written == 1
     assert rows(spark.table(f"{database}.out")) == [("it is 'text'", 3)]
+
+
+def test_compacted_events_give_the_same_status(spark):
+    events = []
+    for run in range(4):
+        for seq in range(30):
+            status = ["IN_PROGRESS", "COMPLETED", "FAILED", "PAUSED"][(seq * 7 + run) % 4]
+            row = (seq, datetime(2024, 1, 1, 0, seq), 1, "p", "d", "j", None, status, "e" * (seq % 3), f"w{seq}", f"r{run}", "u")
+            events.append(row)
+    frame = spark.createDataFrame(events, control.EVENT_SCHEMA)
+    compacted = control.compact_events(frame)
+    assert compacted.count() <= 20
+    assert rows(control.status_view(compacted)) == rows(control.status_view(frame))
+
+
+def test_events_are_partitioned_by_batch(spark, database):
+    for batch in (1, 2):
+        control.record_event(spark, f"{database}.ev", batch_id=batch, job_id="j", run_id="r", status="IN_PROGRESS")
+    assert spark.sql(f"SHOW PARTITIONS {database}.ev").count() == 2

@@ -123,3 +123,21 @@ def test_source_files(spark, tmp_path):
     write(tmp_path, "b.txt", "3\n")
     paths = [row["file_path"] for row in files.source_files(spark.read.text(str(tmp_path))).collect()]
     assert sorted(os.path.basename(path) for path in paths) == ["a.txt", "b.txt"]
+
+
+@pytest.mark.parametrize("total_bytes", [None, 2_000])
+def test_skipped_lines_beyond_the_first_split_are_refused(spark, tmp_path, total_bytes):
+    path = tmp_path / "long_head.txt"
+    path.write_text("header line\n" * 200 + "data\n" * 50)
+    keys = ["spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"]
+    before = {key: spark.conf.get(key) for key in keys}
+    try:
+        for key in keys:
+            spark.conf.set(key, "256")
+        with pytest.raises(ValueError, match="first split"):
+            files.read_lines(spark, str(path), 200, total_bytes=total_bytes).count()
+        assert files.read_lines(spark, str(path), 5, total_bytes=total_bytes).count() == 245
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert files.read_lines(spark, str(path), 200, total_bytes=total_bytes).count() == 50

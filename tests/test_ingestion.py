@@ -172,3 +172,91 @@ def test_no_job_of_the_load_reads_a_file_twice_for_counting(spark, database, tmp
     result = run(spark, entity(database, folder, Partition_Column="b"))["e"]
     assert result["file_row_count"] == 1000
     assert spark.sql(f"SHOW PARTITIONS {database}.e").count() == 1
+
+
+@pytest.mark.parametrize("mode", ["append", "overwrite", "ignore"])
+def test_a_failed_step_is_taken_up_without_losing_the_others(spark, database, tmp_path, mode):
+    put(tmp_path, "a.txt", "h\n1|x\n", 1_700_000_000)
+    put(tmp_path, "b.txt", "h\n2|y|surplus\n", 1_700_000_001)
+    put(tmp_path, "c.txt", "h\n3|z\n", 1_700_000_002)
+    config = entity(database, tmp_path, Table_Mode=mode)
+    assert run(spark, config, max_files_per_step=1)["e"]["status"] == "FAILURE"
+    put(tmp_path, "b.txt", "h\n2|y\n", 1_700_000_001)
+    assert run(spark, config, max_files_per_step=1)["e"]["file_row_count"] == 2
+    assert rows(spark.table(f"{database}.e")) == [("1", "x"), ("2", "y"), ("3", "z")]
+    put(tmp_path, "d.txt", "h\n4|w\n", 1_700_000_003)
+    run(spark, config, max_files_per_step=1)
+    expected = {"append": ["1", "2", "3", "4"], "overwrite": ["4"], "ignore": ["1", "2", "3"]}[mode]
+    assert [row[0] for row in rows(spark.table(f"{database}.e"))] == expected
+
+
+def test_a_load_that_ends_in_an_empty_step_is_finished(spark, database, tmp_path):
+    put(tmp_path, "a.txt", "h\n1|x\n", 1_700_000_000)
+    put(tmp_path, "b.txt", "h\n", 1_700_000_001)
+    config = entity(database, tmp_path, Table_Mode="overwrite")
+    run(spark, config, max_files_per_step=1)
+    put(tmp_path, "c.txt", "h\n2|y\n", 1_700_000_002)
+    run(spark, config)
+    assert rows(spark.table(f"{database}.e")) == [("2", "y")]
+
+
+RAW = (
+    '[{"column_name":"PartitionColumn","transformation_logic":"concat(\'p\', 1)"},'
+    '{"column_name":"doubled","transformation_logic":"cast(a as int) * 2"}]'
+)
+
+
+def test_raw_copy_holds_each_line_once(spark, database, tmp_path):
+    put(tmp_path, "a.txt", "h\n1|x|surplus\n", 1_700_000_000)
+    config = entity(database, tmp_path, Raw_Ingestion_Flag="Y", Raw_Schema=f"{database}_raw", Transformations=RAW)
+    spark.sql(f"CREATE DATABASE {database}_raw LOCATION '{tmp_path}_raw'")
+    for _ in range(2):
+        assert run(spark, config)["e"]["status"] == "FAILURE"
+    put(tmp_path, "a.txt", "h\n1|x\n", 1_700_000_000)
+    for status in ("SUCCESS", "NO_FILES"):
+        assert run(spark, config)["e"]["status"] == status
+    put(tmp_path, "b.txt", "h\n2|y\n", 1_700_000_001)
+    run(spark, config)
+    assert rows(spark.table(f"{database}_raw.e")) == [("1|x", "p1"), ("2|y", "p1")]
+    assert rows(spark.table(f"{database}.e").select("a", "doubled")) == [("1", 2), ("2", 4)]
+
+
+def test_a_failed_raw_copy_is_taken_up_without_loading_twice(spark, database, tmp_path):
+    put(tmp_path, "a.txt", "h\n1|x\n", 1_700_000_000)
+    config = entity(database, tmp_path, Raw_Ingestion_Flag="Y", Raw_Schema=f"{database}_raw", Transformations=RAW)
+    assert run(spark, config)["e"]["status"] == "FAILURE"  # the raw schema is not there
+    spark.sql(f"CREATE DATABASE {database}_raw LOCATION '{tmp_path}_raw'")
+    assert run(spark, config)["e"]["status"] == "SUCCESS"
+    assert rows(spark.table(f"{database}_raw.e")) == [("1|x", "p1")]
+    assert rows(spark.table(f"{database}.e").select("a")) == [("1",)]
+
+
+def test_a_failing_audit_does_not_stop_the_others(spark, database, tmp_path):
+    folder = put(tmp_path, "a.txt", "h\n1|x\n")
+    results = run(
+        spark, entity(database, folder, "bad_audit", Audit_Schema="no_such_schema"), entity(database, folder, "good")
+    )
+    assert results["good"]["status"] == "SUCCESS" and results["bad_audit"]["status"] == "FAILURE"
+    assert results["bad_audit"]["error_message"]
+
+
+def test_a_bad_value_in_a_derived_column_is_null(spark, database, tmp_path):
+    put(tmp_path, "a.txt", "h\n1|x\nbad|y\n")
+    text = '[{"column_name":"c","transformation_logic":"cast(a as int) + 1"}]'
+    assert run(spark, entity(database, tmp_path, Transformations=text))["e"]["status"] == "SUCCESS"
+    assert rows(spark.table(f"{database}.e").select("a", "c")) == [("1", 2), ("bad", None)]
+
+
+@pytest.mark.parametrize("skip", [0, 1])
+def test_lines_of_control_characters_are_blank(spark, database, tmp_path, skip):
+    put(tmp_path, "a.txt", "h\n" * skip + "1\x01x\n\x01\n \t\n2\x01y\n")
+    config = entity(database, tmp_path, Skiplines=skip, Delimiter="\x01")
+    assert run(spark, config)["e"]["file_row_count"] == 2
+
+
+def test_many_partition_values_make_few_files(spark, database, tmp_path):
+    for i in range(20):
+        put(tmp_path, f"f{i}.txt", "h\n" + "".join(f"{j}|v{j % 10}\n" for j in range(50)))
+    run(spark, entity(database, tmp_path, Partition_Column="b"))
+    files = spark.table(f"{database}.e").inputFiles()
+    assert len(files) <= 20

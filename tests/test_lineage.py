@@ -38,9 +38,7 @@ def frame(spark, edges):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("broadcast_rows", [lineage.BROADCAST_ROWS, 0])
-def test_closure_and_depth_equal_a_walk(spark, monkeypatch, seed, broadcast_rows):
-    monkeypatch.setattr(lineage, "BROADCAST_ROWS", broadcast_rows)
+def test_closure_and_depth_equal_a_walk(spark, seed):
     pairs = random_edges(seed)
     root = pairs[0][0]
     edges = frame(spark, pairs)
@@ -103,3 +101,16 @@ def test_table_jobs(spark):
     assert rows(lineage.chain_edges(found)) == [
         ("a\nJ1", "b\nJ3"), ("b\nJ3", "c"), ("c", "d"), ("d", "e"),
     ]
+
+
+def test_a_run_listed_twice_gives_its_table_once(spark):
+    tables = spark.createDataFrame([("t",), ("u",)], "table_name string")
+    history = spark.createDataFrame([("t", 1, "r0"), ("t", 2, "r1")], "table_name string, version int, run_id string")
+    schema = "run_id string, tasks array<struct<notebook_task: struct<base_parameters: map<string,string>>>>, job_parameters map<string,string>"
+    runs = spark.createDataFrame([("r1", [], {"esp_job_id": "j"})] * 2, schema)
+    assert rows(lineage.table_jobs(tables, history, runs)) == [("t", "j"), ("u", None)]
+
+
+def test_latest_runs_are_folded_in_a_hash_map(spark):
+    history = spark.createDataFrame([("t", 1, "a"), ("t", 9, "b"), ("t", 9, "c"), ("u", None, "d")], "table_name string, version int, run_id string")
+    assert rows(lineage.latest_runs(history)) == [("t", "c")]

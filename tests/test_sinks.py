@@ -66,3 +66,20 @@ def test_truncate_and_load_keeps_the_types_and_goes_on_after_a_failure(spark, da
     ]
     assert rows(spark.table(f"{database}.a")) == [(i, None) for i in range(4)]
     assert spark.table(f"{database}.a").dtypes == [("id", "int"), ("note", "string")]
+
+
+def test_truncate_and_load_leaves_no_stale_partition(spark, database):
+    spark.createDataFrame([(1, "a"), (2, "b")], "v int, p string").write.partitionBy("p").saveAsTable(f"{database}.t")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        new = spark.createDataFrame([(9, "a")], "v int, p string")
+        assert sinks.truncate_and_load(spark, ["t"], lambda name: new, database).first()["status"] == "SUCCESS"
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert rows(spark.table(f"{database}.t")) == [(9, "a")]
+
+
+def test_an_existing_table_keeps_its_format(spark, database):
+    spark.sql(f"CREATE TABLE {database}.o (v int) USING orc")
+    sinks.write_table(spark.range(3).selectExpr("cast(id as int) v"), f"{database}.o")
+    assert spark.table(f"{database}.o").count() == 3

@@ -223,3 +223,34 @@ def test_foreach(spark):
     assert rows(tg.foreach_iterations(tasks, F.col("v"))) == [
         ("J", "load", "load_iteration_a", "a"), ("J", "load", "load_iteration_b", "b"),
     ]
+
+
+def test_payloads_must_be_one_whole_object(spark):
+    from ingestctl.functions.text import json_list, json_map, json_object
+
+    texts = ['{"a":1,"b":2,"a":3}', '{"a":1} trailing }', '{"a":1}, {"b":2}', "{}", "null", "", None, '{"a":null}', "[1]"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["m"] for r in frame.select("t", json_object(F.col("t")).alias("m")).collect()}
+    assert got == {
+        '{"a":1,"b":2,"a":3}': {"a": "3", "b": "2"},
+        '{"a":1} trailing }': None,
+        '{"a":1}, {"b":2}': None,
+        "{}": {},
+        "null": None,
+        "": None,
+        None: None,
+        '{"a":null}': {"a": None},
+        "[1]": None,
+    }
+    assert frame.select(json_map(F.col("t")).alias("m")).where("m is null").count() == 0
+    lists = {'["a","b"]': ["a", "b"], '["a"] x ]': [], "[]": [], '["a"],["b"]': [], None: []}
+    frame = spark.createDataFrame([(t,) for t in lists], "t string")
+    assert {r[0]: r[1] for r in frame.select("t", json_list(F.col("t"))).collect()} == lists
+
+
+def test_attribute_ids_are_compared_as_numbers(spark):
+    schema = "proj_id string, dept_id string, job_id string, param_type string, param_name string, param_val string, invocation_id string"
+    rows_ = [("p", "d", "j", "T", "N", v, i) for v, i in [("ten", "10"), ("nine", "9"), ("odd", "x")]]
+    frame = spark.createDataFrame(rows_ + [("p", "d", "j", "T", "ChildName", "c", "x")], schema)
+    assert tg.attribute_value(frame, "t", "n").first()["param_val"] == "nine"
+    assert tg.attribute_children(frame).first()["sequence"] is None
