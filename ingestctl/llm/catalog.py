@@ -47,7 +47,11 @@ def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "start", "n_words", "similarity")
+    places = [F.col(name).cast("long").alias(name) for name in ("start", "n_words")]
+    return found.select("doc_id", "item_id", *places, "similarity")
+
+
+ORACLES["op4_decontamination"] = decontaminate.SQL
 
 
 @query

@@ -3,9 +3,10 @@
 Each round links every node to the smallest node in reach of one step: first the larger
 neighbours of a node go to the smallest of its neighbourhood, then the smaller ones do. Trees
 shrink to stars in a number of rounds that grows with the logarithm of the graph. A node of
-any degree costs one aggregate with map-side combine and joins that adaptive execution splits;
-no neighbourhood is ever collected. Each round is a written table, so that lineage stays short
-and a lost executor costs at most one round.
+any degree costs one aggregate with map-side combine, and a join that adaptive execution can
+split, as its unique side has been written first; no neighbourhood is ever collected. Each
+round is a written table, so that lineage stays short and a lost executor costs at most one
+round.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def _directed(edges: DataFrame, high: str = "high", low: str = "low") -> DataFra
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _directed(edges).unionByName(_directed(edges, "low", "high"))
-    smallest = both.groupBy("node").agg(F.least("node", F.min("other")).alias("least"))
+    smallest = materialise(both.groupBy("node").agg(F.least("node", F.min("other")).alias("least")), "smallest")
     return (
         _directed(edges, "low", "high")
         .join(smallest, "node")
@@ -32,7 +33,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    smallest = edges.groupBy("high").agg(F.min("low").alias("least"))
+    smallest = materialise(edges.groupBy("high").agg(F.min("low").alias("least")), "smallest")
     moved = edges.join(smallest, "high").where("low <> least").select(
         F.col("low").alias("high"), F.col("least").alias("low")
     )
@@ -58,7 +59,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     )
     state = _state(edges)
     while state[0]:
-        edges = materialise(_small_star(_large_star(edges)), "stars")
+        edges = materialise(_small_star(materialise(_large_star(edges), "larger")), "stars")
         before, state = state, _state(edges)
         if state == before:
             break

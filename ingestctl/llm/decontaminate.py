@@ -212,6 +212,40 @@ def _found(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> D
     )
 
 
+#: The rows of the registered query in DuckDB's SQL, for items of five words or more: all windows of all pairs that share a shingle.
+SQL = """
+WITH doc_words AS (
+    SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
+), item_words AS (
+    SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark
+), doc_shingles AS (
+    SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS pos FROM doc_words)
+), item_shingles AS (
+    SELECT item_id, array_to_string(w[pos + 1 : pos + 5], ' ') AS shingle, count(*) AS times
+    FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS pos FROM item_words) GROUP BY ALL
+), hits AS (
+    SELECT doc_id, item_id, pos, shingle, times FROM doc_shingles JOIN item_shingles USING (shingle)
+), pairs AS (
+    SELECT DISTINCT h.doc_id, h.item_id, len(i.w) AS n_words, len(i.w) - 4 AS theirs, len(d.w) - 4 AS own,
+           least(len(i.w), len(d.w)) - 4 AS width
+    FROM hits h JOIN doc_words d USING (doc_id) JOIN item_words i USING (item_id)
+), windows AS (
+    SELECT *, unnest(range(0, own - width + 1)) AS start FROM pairs
+), held AS (
+    SELECT w.doc_id, w.item_id, w.n_words, w.theirs, w.width, w.start, h.shingle, least(count(*), min(h.times)) AS shared
+    FROM windows w JOIN hits h ON h.doc_id = w.doc_id AND h.item_id = w.item_id AND h.pos BETWEEN w.start AND w.start + w.width - 1
+    GROUP BY ALL
+), scored AS (
+    SELECT doc_id, item_id, n_words, start, sum(shared) / (width + theirs - sum(shared)) AS similarity
+    FROM held GROUP BY doc_id, item_id, n_words, start, width, theirs
+)
+SELECT doc_id, item_id, cast(start AS bigint) AS start, cast(n_words AS bigint) AS n_words, similarity
+FROM scored WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+
 def text_hash(column: str = "text") -> Column:
     return F.xxhash64(whole_text(column))
 

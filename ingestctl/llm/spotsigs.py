@@ -168,11 +168,10 @@ def _followers(source: DataFrame) -> DataFrame:
     before = with_previous(
         entries.withColumn("entry", F.struct("doc_id", "text_hash", "n_chars")), [], ["doc_id", "text_hash"], "entry", "previous"
     )
-    last = entries.agg(F.max(F.struct("doc_id", "text_hash", "n_chars")).alias("last"))
+    last = entries.agg(F.max(F.struct("doc_id", "text_hash", "n_chars")).alias("last")).first()["last"] or (None,) * 3
+    key = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last, entries.schema)])
     return materialise(
-        before.crossJoin(F.broadcast(last))  # one row
-        .withColumn("to", F.coalesce("previous", "last"))
-        .select(
+        before.withColumn("to", F.coalesce("previous", key)).select(
             F.col("doc_id").alias("of_doc"),
             F.col("text_hash").alias("of_hash"),
             F.col("to.doc_id").alias("to_doc"),

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ingestctl.llm import decontaminate as D
+from ingestctl.llm.catalog import ORACLES, QUERIES
+from tests.compare import connect, differences
 from tests.conftest import rows
 
 DIR = "/root/testdata/sf0.001"
@@ -137,3 +139,9 @@ def test_fingerprint_by_majority(spark):
     frame = spark.sql("SELECT array(3L, 5L, -1L) AS h UNION ALL SELECT array(1L, 2L) UNION ALL SELECT array()")
     got = {tuple(r[0]): r[1] for r in frame.select("h", D.simhash(F.col("h"))).collect()}
     assert got == {(3, 5, -1): 7, (1, 2): 0, (): 0}
+
+
+def test_against_sql(spark):
+    directory = "/root/testdata/sf0.01"
+    name = "op4_decontamination"
+    assert differences(spark, connect(directory), QUERIES[name], ORACLES[name], directory) is None
