@@ -11,12 +11,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _own_folder: dict[str, str] = {}
+_working: ContextVar[str | None] = ContextVar("working", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,8 +38,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path that nothing else uses, below the working folder if there is one, else the shared folder."""
+    return f"{_working.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def working_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside lie in one folder, which is removed at the end.
+
+    Frames that read them must be written elsewhere, or collected, before that.
+    """
+    folder = new_folder(spark, "working")
+    token = _working.set(folder)
+    try:
+        yield folder
+    finally:
+        _working.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
