@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ingestctl.llm.common import whole_text
+from ingestctl.llm.common import Recent, whole_text
 from ingestctl.scratch import materialise
 
 CAPACITY = 4096
@@ -42,24 +42,6 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in VISIBLE} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Recent(dict):
-    """A cache of bounded size: when full, the older half is forgotten."""
-
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.older = make, size, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class WordTokens:
     """Token ids of whole texts, as little-endian unsigned 32-bit ids.
 
@@ -73,8 +55,8 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.parts = regex.compile(SPLIT_PATTERN).findall
         self.table = _byte_characters()
-        self.pieces = _Recent(self._piece, KEPT_WORDS)
-        self.words = _Recent(self._word, KEPT_WORDS)
+        self.pieces = Recent(self._piece, KEPT_WORDS)
+        self.words = Recent(self._word, KEPT_WORDS)
 
     def _piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ingestctl.llm.common import whole_text
+from ingestctl.llm.common import Recent, whole_text
 from ingestctl.scratch import materialise
 
 # The base patterns, in their listed order, with the least length of what they find.
@@ -42,7 +42,8 @@ EPOCHS, RATE, L2 = 3, 0.2, 1e-4
 #: The score of an inside tag without a beginning before it.
 NEVER = -12.0
 KEPT_WORDS = 300_000
-_TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s]")
+#: A token is a word, or words joined by signs that occur within secrets; other signs stand alone.
+_TOKEN = re.compile(r"\w+(?:[+/.\-]+\w+)*|[^\w\s]")
 #: Where a token turns from one kind of character to another, but for a capital at its start.
 _TURN = re.compile(r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])|(?<=.)[A-Z](?=[a-z])")
 _PATTERNS = {
@@ -54,12 +55,14 @@ _PATTERNS = {
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, start of the secret itself), in order of start, then of kind as listed."""
-    found = [
-        (m.start(), m.end(), "assign", m.start(2))
-        for m in _PATTERNS["assign"].finditer(text)
-        if m.end(2) - m.start(2) >= LEAST["assign"]
-    ]
-    for kind in ("access", "hex"):
+    found = []
+    if "=" in text or ":" in text:
+        found += [
+            (m.start(), m.end(), "assign", m.start(2))
+            for m in _PATTERNS["assign"].finditer(text)
+            if m.end(2) - m.start(2) >= LEAST["assign"]
+        ]
+    for kind in ("access", "hex") if "AKIA" in text else ("hex",):
         found += [(m.start(), m.end(), kind, m.start()) for m in _PATTERNS[kind].finditer(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -78,8 +81,9 @@ def own_key(token: str) -> tuple:
     size = len(token)
     length = min(12, size) if size < 16 else 12 + min(5, size // 8)
     if token.isalpha():
-        turns = min(5, 8 * len(_TURN.findall(token)) // size) if size > 7 else 0
-        return ("letters", length, _case(token), turns, token.isascii())
+        case = _case(token)
+        turns = min(5, 8 * len(_TURN.findall(token)) // size) if size > 7 and case == "mixed" else 0
+        return ("letters", length, case, turns, token.isascii())
     if size == 1:
         return ("sign", token if token.isascii() else "")
     digits = sum(c.isdigit() for c in token)
@@ -223,18 +227,19 @@ class Tagger:
     """Finds secrets in whole texts; keeps what it knows about the tokens it met."""
 
     def __init__(self, model: Model):
-        self.model, self.at, self.rows = model, {}, {}
+        self.model, self.rows = model, {}
+        self.at = Recent(self._index, KEPT_WORDS)
         allowed = np.delete(model.follow.ravel(), 3 * OUTSIDE + INSIDE)
         self.margin = 3 * float(allowed.max() - allowed.min())
+        # What a transition of a secret can have above those of the outside tokens that would replace it.
+        self.edge = max(0.0, float(allowed[1:].max() - model.follow[OUTSIDE, [OUTSIDE, BEGIN]].min()))
+        self.words = {f[2] for f in model.index if f[1] == "word"}
         # one row for all tokens that are alike: their own scores, then those they give their neighbours, by place
         self.table = np.zeros((1024, 3 * (1 + len(PLACES))))
 
     def _index(self, token: str) -> int:
-        if len(self.at) > KEPT_WORDS:
-            self.at.clear()
         own, (word, kind) = own_key(token), near_key(token)
-        known = any((place, "word", word) in self.model.index for place in PLACES)
-        key = (own, word if known else None, kind)
+        key = (own, word if word in self.words else None, kind)
         i = self.rows.get(key)
         if i is None:
             i = self.rows[key] = len(self.rows)
@@ -243,7 +248,6 @@ class Tagger:
             sums = [self.model.sum(_features_of(own))]
             sums += [self.model.sum(near_features(token, place)) for place in PLACES]
             self.table[i] = np.concatenate(sums)
-        self.at[token] = i
         return i
 
     def spans(self, text: str) -> list[tuple[int, int]]:
@@ -251,8 +255,7 @@ class Tagger:
         tokens = _TOKEN.findall(text)
         if not tokens:
             return []
-        get = self.at.get
-        ids = np.array([i if (i := get(t)) is not None else self._index(t) for t in tokens])
+        ids = np.fromiter(map(self.at.__getitem__, tokens), np.int64, len(tokens))
         known = self.table
         scores = known[ids, 0:3] + self.model.sum(file_features(text))
         for p, step in enumerate(PLACES.values(), 1):
@@ -266,12 +269,17 @@ class Tagger:
         # Putting a token outside, and the next one to the beginning of a secret if it was inside one, changes
         # three transitions and the next one's score; a token that gains more than that by itself is outside.
         next_loses = np.append(np.maximum(0, scores[1:, INSIDE] - scores[1:, BEGIN]), 0.0)
-        open_ = scores[:, OUTSIDE] - scores[:, 1:].max(axis=1) < self.margin + next_loses
-        if not open_.any():
+        gain = scores[:, OUTSIDE] - scores[:, 1:].max(axis=1)
+        open_ = gain < self.margin + next_loses
+        # A secret of n tokens has n + 1 transitions; if each token gains twice an edge by being outside, there is none.
+        likely = np.flatnonzero(gain < 2 * self.edge)
+        if not len(likely):
             return []
         edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]])))
+        begins, ends = edges[::2], edges[1::2]
+        runs = np.unique(np.searchsorted(begins, likely, side="right") - 1)
         tagged: list[tuple[int, int]] = []  # (token, tag)
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        for a, b in zip(begins[runs].tolist(), ends[runs].tolist()):
             tagged += [(a + i, tag) for i, tag in enumerate(viterbi(scores[a:b], self.model.follow)) if tag != OUTSIDE]
         if not tagged:
             return []
@@ -330,7 +338,9 @@ def fit(docs: DataFrame, text_column: str = "text", with_secret: int = WITH_SECR
     Only the windows reach the driver, a few per text.
     """
     texts = docs.select(whole_text(text_column).alias("text")).withColumn("order", F.xxhash64(F.lit("sample"), "text"))
-    likely = F.col("text").rlike(f"(?i){ASSIGN}") | F.col("text").rlike(f"{ACCESS}|[0-9a-f]{{16}}")
+    text = F.col("text")
+    assigns = (text.contains("=") | text.contains(":")) & text.rlike(f"(?i){ASSIGN}")
+    likely = assigns | text.rlike(f"{ACCESS}|[0-9a-f]{{16}}")
     keys = materialise(texts.select("order", likely.alias("likely")), "keys")
     chosen = [
         row["order"]

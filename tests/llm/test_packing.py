@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from ingestctl.llm import packing as P
+from ingestctl.llm.common import Recent
 from tests.conftest import rows
 
 TEXTS = [
@@ -83,7 +84,7 @@ TOKENS, TOKENIZER = P.WordTokens(P.public_tokenizer()), Tokenizer.from_file(P.pu
 
 def test_a_full_cache_forgets_without_harm():
     made = []
-    cache = P._Recent(lambda k: made.append(k) or k * 2, 3)
+    cache = Recent(lambda k: made.append(k) or k * 2, 3)
     for key in [1, 2, 3, 4, 1, 2, 5, 6, 7, 1]:
         assert cache[key] == key * 2
     assert len(cache) <= 3 and len(made) < 10
