@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ingestctl.llm import chat, decontaminate, html_text, packing, ppm, quality, secrets_crf, simhash_dedup, spotsigs, toxicity
-from ingestctl.llm.common import read
-from ingestctl.session import configure
+from ingestctl.llm.common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,7 +21,7 @@ def query(function: Query) -> Query:
 
     @wraps(function)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(configure(spark), sf_dir)
+        return function(prepare(spark), sf_dir)
 
     QUERIES[function.__name__] = run
     return run

@@ -8,11 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ingestctl.session import configure
+
 #: Every operator that splits words takes runs of other characters than these.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings for these operators: as elsewhere, and few texts at a time for a Python worker, as they may be long."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -36,12 +36,13 @@ KINDS = ("assign", "access", "hex", "crf")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: Bounds of the training sample: texts with a base span, texts without, windows of each text.
 WITH_SECRET, WITHOUT, WINDOWS_PER_TEXT = 300, 100, 4
+#: Tokens that a worker keeps, per generation; two generations are kept.
+KEPT_WORDS = 200_000
 #: Tokens on either side of the middle of a training window.
 REACH = 10
 EPOCHS, RATE, L2 = 3, 0.2, 1e-4
 #: The score of an inside tag without a beginning before it.
 NEVER = -12.0
-KEPT_WORDS = 300_000
 #: A token is a word, or words joined by signs that occur within secrets; other signs stand alone.
 _TOKEN = re.compile(r"\w+(?:[+/.\-]+\w+)*|[^\w\s]")
 #: Where a token turns from one kind of character to another, but for a capital at its start.
