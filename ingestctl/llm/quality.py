@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ingestctl.llm.common import crc_remainder, whole_text
+from ingestctl.llm.common import Recent, crc_remainder, whole_text
 from ingestctl.llm.labels import Sample, sample, with_texts
 
 BUCKETS = 1 << 16
@@ -30,15 +30,23 @@ RATE = 0.5
 #: Bound of the training sample: labelled documents of each class.
 PER_CLASS = 1_500
 #: Words whose numbers a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 _PAIR, _SAME = 0x9E3779B1, 0x7F4A7C15
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of the word itself and of its character n-grams, with its edges marked."""
+def grams(word: str) -> list[str]:
+    """A word's character n-grams, with its edges marked."""
     edged = f"<{word}>"
-    grams = [edged[i : i + n] for n in NGRAMS for i in range(len(edged) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in [f"={word}", *grams]]
+    return [edged[i : i + n] for n in NGRAMS for i in range(len(edged) - n + 1)]
+
+
+def bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def word_features(word: str) -> list[int]:
+    """Buckets of the word itself and of its character n-grams."""
+    return [bucket(f) for f in (f"={word}", *grams(word))]
 
 
 def word_hash(word: str) -> int:
@@ -118,38 +126,33 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.at = model, {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at.clear()
-        self.sums, self.sizes, self.hashes = [], [], []
+        self.of_gram = Recent(lambda gram: float(model.weights[bucket(gram)]), KEPT_WORDS // 2)
+        self.sums = np.zeros(1024)
+        self.sizes = np.zeros(1024, dtype=np.int64)
+        self.hashes = np.zeros(1024, dtype=np.uint64)
 
     def _index(self, word: str) -> int:
-        found = word_features(word)
-        self.sums.append(float(self.model.weights[found].sum()))
-        self.sizes.append(len(found))
-        self.hashes.append(word_hash(word))
-        self.at[word] = len(self.sums) - 1
-        return self.at[word]
+        i = self.at[word] = len(self.at)
+        if i == len(self.sums):
+            self.sums, self.sizes, self.hashes = (np.append(a, np.zeros_like(a)) for a in (self.sums, self.sizes, self.hashes))
+        found = grams(word)
+        self.sums[i] = self.model.weights[bucket(f"={word}")] + sum(map(self.of_gram.__getitem__, found))
+        self.sizes[i], self.hashes[i] = len(found) + 1, word_hash(word)
+        return i
 
     def log_odds(self, texts: list[str]) -> Iterator[float]:
-        for start in range(0, len(texts), 256):
-            block = [t.split() for t in texts[start : start + 256]]
+        get = self.at.get
+        for text in texts:
             if len(self.at) > KEPT_WORDS:
-                self._clear()
-            get = self.at.get
-            ids = [[i if (i := get(w)) is not None else self._index(w) for w in words] for words in block]
-            sums, sizes = np.array(self.sums), np.array(self.sizes, dtype=np.int64)
-            hashes = np.array(self.hashes, dtype=np.uint64)
-            for own in ids:
-                if not own:
-                    yield self.model.bias
-                    continue
-                own = np.array(own)
-                total, n = sums[own].sum(), sizes[own].sum() + len(own) - 1
-                if len(own) > 1:
-                    total += self.model.weights[pair_features(hashes[own])].sum(dtype=np.float64)
-                yield float(total / n) + self.model.bias
+                self.at.clear()
+            own = np.array([i if (i := get(w)) is not None else self._index(w) for w in text.split()], dtype=np.int64)
+            if not len(own):
+                yield self.model.bias
+                continue
+            total, n = self.sums[own].sum(), self.sizes[own].sum() + len(own) - 1
+            if len(own) > 1:
+                total += self.model.weights[pair_features(self.hashes[own])].sum(dtype=np.float64)
+            yield float(total / n) + self.model.bias
 
 
 def fit(docs: DataFrame, chosen: Sample, id_column: str = "doc_id", text_column: str = "text") -> Model:

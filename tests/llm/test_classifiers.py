@@ -69,7 +69,8 @@ def test_rejected_documents_go(spark):
     assert {r["doc_id"] for r in kept.collect()} == good and 0 < len(good) < docs.count()
 
 
-def test_scores_of_blocks_are_those_of_single_texts():
+def test_kept_words_score_like_a_text_alone(monkeypatch):
+    monkeypatch.setattr(Q, "KEPT_WORDS", 3)
     rng = np.random.default_rng(1)
     model = Q.Model(rng.normal(size=Q.BUCKETS).astype(np.float32), 0.25)
     texts = ["", "one", "two two words", "a b c " * 400]
