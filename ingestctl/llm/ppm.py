@@ -1,12 +1,16 @@
 """Language-model scores: prediction by partial matching over bytes, beside a word-count base.
 
 Counting and scoring are two passes over the texts. The first pass counts words, and bytes
-after the bytes before them, in tasks; Spark adds the counts up. The most frequent contexts,
-as many as the model may hold, form a trie; every shorter end of a kept context is kept too.
-For each context the probability of every next byte is worked out once: a byte seen there
-takes its share, the rest escapes to the next shorter context, from which the bytes already
-seen are excluded (escapes are estimated by the number of different bytes seen). The second
-pass walks the trie from each byte backwards and adds up the logarithms.
+after the bytes before them (grams), in tasks; Spark adds the counts up. Every counted context
+stays in the model: a byte seen in a context takes its share, the rest escapes to the next
+shorter context, from which the bytes already seen are excluded (escapes are estimated by the
+number of different bytes seen). A gram of the training texts has been seen in its longest
+context, so its probability is its share there; grams that only other texts hold get theirs by
+joins with the contexts of all lengths. The second pass counts the grams of each text and adds
+up the logarithms: the most frequent grams are known to every task, the others are joined.
+
+A caller may bound the model to the most frequent contexts instead. These form a trie (every
+shorter end of a kept context is kept too), which is walked from each byte backwards.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ from ingestctl.llm.common import ascii_lower, crc_remainder, whole_text
 from ingestctl.scratch import materialise
 
 ORDER = 5
-#: Contexts that the model holds: a row of numbers each, in every Python worker.
-CONTEXTS = 30_000
 #: Words that make up more than 1 / HOT_WORDS of all tokens are known to every task; there are fewer than HOT_WORDS.
 HOT_WORDS = 100_000
+#: At most so many of the most frequent grams are known to every task; the others are joined.
+HOT_GRAMS = 1_000_000
 END, START = 256, 257
 SYMBOLS, BASE = 257, 258
 _BLOCK = 1 << 21
@@ -156,6 +160,29 @@ def build(contexts: list[tuple[int, int]], after: dict[int, tuple[np.ndarray, np
         return Trie(order, children, np.log10(np.maximum(logs, np.float32(1e-30))), column)
 
 
+@dataclass(frozen=True)
+class Hot:
+    """Frequent grams in ascending order, and the log10 of the probability of the last symbol of each."""
+
+    order: int
+    grams: np.ndarray
+    logs: np.ndarray
+
+    def score(self, text: bytes) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
+        """What the grams known here add up to, and the others with their counts."""
+        marked, total, others, times = symbols(text, self.order), 0.0, [], []
+        for at in range(0, len(marked) - self.order, _BLOCK):
+            codes, counts = np.unique(_codes(marked[at : at + _BLOCK + self.order], self.order), return_counts=True)
+            places = np.searchsorted(self.grams, codes)
+            known = np.zeros(len(codes), dtype=bool)
+            within = places < len(self.grams)
+            known[within] = self.grams[places[within]] == codes[within]
+            total += float(self.logs[places[known]] @ counts[known])
+            others.append(codes[~known])
+            times.append(counts[~known])
+        return total, others, times
+
+
 def _count(docs: DataFrame, order: int) -> DataFrame:
     """Partial counts of the tasks: words (word, n) and byte grams (gram, n)."""
 
@@ -223,6 +250,112 @@ def _contexts(grams: DataFrame, order: int, most: int) -> tuple[list[tuple[int,
     return contexts, after
 
 
+def _known(grams: DataFrame) -> DataFrame:
+    """(gram, n, log) for the grams of the training texts: each has been seen in its longest context."""
+    context = F.expr(f"gram div {BASE}").alias("context")
+    totals = grams.groupBy(context).agg((F.sum("n") + F.count("*")).alias("size"))
+    return materialise(
+        grams.select("gram", "n", context)
+        .join(totals, "context")
+        .select("gram", "n", F.log10(F.col("n") / F.col("size")).alias("log")),
+        "known",
+    )
+
+
+def _frequent(known: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the grams in ``known``: those above a count."""
+    step = F.floor(F.log2("n") * 4).cast("int")
+    least, size = None, 0
+    for row in sorted(known.groupBy(step.alias("step")).count().collect(), reverse=True):
+        size += row["count"]
+        if size > most:
+            break
+        least = row["step"]
+    return known.where(step >= least if least is not None else F.lit(False)).select("gram", "log")
+
+
+def _unseen(wanted: DataFrame, grams: DataFrame, order: int) -> DataFrame:
+    """(gram, log) for grams that no training text holds, by escapes from their longest counted context."""
+    powers = F.array([F.lit(BASE**k).cast("long") for k in range(order + 2)])
+    power = lambda k: F.element_at(powers, k + 1)
+    shorter = grams.select("gram", "n", F.explode(F.array([F.lit(k) for k in range(order)])).alias("length"))
+    shorter = (
+        shorter.select("length", (F.col("gram") % power(F.col("length") + 1)).alias("gram"), "n")
+        .groupBy("length", "gram")
+        .agg(F.sum("n").alias("n"))
+    )
+    follow = materialise(shorter.unionByName(grams.select(F.lit(order).alias("length"), "gram", "n")), "follow")
+    # What has been seen in a context has been seen in its shorter end: that is what an escape excludes there.
+    below = follow.select((F.col("length") + 1).alias("length"), F.col("gram").alias("end"), F.col("n").alias("n_below"))
+    contexts = materialise(
+        follow.withColumn("end", F.col("gram") % power(F.col("length")))
+        .join(below, ["length", "end"], "left")
+        .groupBy("length", F.expr(f"gram div {BASE}").alias("context"))
+        .agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("n_below").alias("excluded")),
+        "contexts",
+    )
+    ends = contexts.select(
+        (F.col("length") + 1).alias("length"),
+        F.col("context").alias("end"),
+        F.col("total").alias("total_below"),
+        F.col("kinds").alias("kinds_below"),
+    )
+    rest, rest_kinds = F.col("total_below") - F.col("excluded"), F.col("kinds_below") - F.col("kinds")
+    size = F.col("total") + F.col("kinds")
+    model = materialise(
+        contexts.where("length > 0")
+        .withColumn("end", F.col("context") % power(F.col("length") - 1))
+        .join(ends, ["length", "end"])
+        .select(
+            "length",
+            "context",
+            F.log10(size).alias("size"),
+            F.log10(F.col("kinds") / size).alias("escape"),
+            F.when(rest > 0, F.log10(rest + rest_kinds)).alias("rest"),
+            F.when(rest > 0, F.log10(rest_kinds / (rest + rest_kinds))).otherwise(0.0).alias("further"),
+        ),
+        "model",
+    )
+    root = contexts.where("length = 0").select("total", "kinds").first()
+    total, kinds = (root["total"], root["kinds"]) if root else (0, 0)
+    root_size = math.log10(total + kinds) if kinds else 0.0
+    root_escape = math.log10(kinds / (total + kinds)) if kinds else 0.0
+    unseen = -math.log10(SYMBOLS - kinds) if kinds < SYMBOLS else 0.0
+    # One row per gram and length: its context of that length, and its symbol after the context that is one shorter.
+    places = wanted.select("gram", F.explode(F.array([F.lit(k) for k in range(1, order + 1)])).alias("length")).select(
+        "gram",
+        "length",
+        (F.expr(f"gram div {BASE}") % power(F.col("length"))).alias("context"),
+        (F.col("gram") % power(F.col("length"))).alias("end"),
+    )
+    found = (
+        places.join(model, ["length", "context"], "left")
+        .join(below.withColumnRenamed("n_below", "n"), ["length", "end"], "left")
+        .groupBy("gram")
+        .agg(
+            F.max(F.when(F.col("escape").isNotNull(), F.struct("length", "size", "escape"))).alias("top"),
+            F.max(F.when(F.col("n").isNotNull(), F.struct("length", "n", "rest"))).alias("at"),
+            F.collect_list(F.struct("length", F.coalesce("further", F.lit(0.0)).alias("further"))).alias("steps"),
+        )
+        .withColumn("longest", F.coalesce("top.length", F.lit(0)))
+        .withColumn("seen", F.coalesce(F.col("at.length") - 1, F.lit(-1)))
+    )
+    steps = F.aggregate(
+        F.filter("steps", lambda s: (s["length"] > F.col("seen") + 1) & (s["length"] <= F.col("longest"))),
+        F.lit(0.0),
+        lambda sum_, s: sum_ + s["further"],
+    )
+    log = F.log10("at.n")
+    escape = F.coalesce("top.escape", F.lit(root_escape))
+    return found.select(
+        "gram",
+        F.when(F.col("seen") == -1, escape + steps + F.lit(unseen))
+        .when(F.col("seen") == F.col("longest"), log - F.coalesce("top.size", F.lit(root_size)))
+        .otherwise(escape + steps + log - F.col("at.rest"))
+        .alias("log"),
+    )
+
+
 def held_out(id_column: str = "doc_id") -> Column:
     """Ids that nothing is learned from."""
     return crc_remainder(id_column, 7) == 2
@@ -233,13 +366,15 @@ def score_documents(
     id_column: str = "doc_id",
     text_column: str = "text",
     order: int = ORDER,
-    contexts: int = CONTEXTS,
+    contexts: int | None = None,
     hot_words: int = HOT_WORDS,
+    hot_grams: int = HOT_GRAMS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``score`` is the model's log10 probability of the lower-cased (A-Z) text, as bytes, and its
-    end. ``base_score`` adds up smoothed word frequencies, the end of a text being a token. All
+    end; the model holds every context of the training texts up to ``order`` bytes, or the
+    ``contexts`` most frequent ones if that is given. ``base_score`` adds up smoothed word frequencies, the end of a text being a token. All
     counts come from the rows that are not held out. Null texts count as empty; repeated rows
     count and come out as often as they go in. Without training rows every byte is equally
     likely. Other columns are ignored; an empty table gives an empty result.
@@ -262,16 +397,27 @@ def score_documents(
     hot = counts.where(F.col("c") > max(1, tokens / hot_words)).toPandas() if tokens else pd.DataFrame({"word": [], "c": []})
     hot_logs = {bytes(w): math.log10((c + 1) / denominator) for w, c in zip(hot["word"], hot["c"])}
     end_log = math.log10((ends + 1) / denominator)
-    trie = build(*_contexts(grams, order, contexts), order)
-    model = spark.sparkContext.broadcast((hot_logs, trie.order, trie.children, trie.logs, trie.column))
+    if contexts is None:
+        known_grams = _known(grams)
+        frequent = _frequent(known_grams, hot_grams).toArrow()
+        codes, logs_of = frequent.column("gram").to_numpy(), frequent.column("log").to_numpy()
+        ascending = np.argsort(codes)
+        parts = (order, codes[ascending], logs_of[ascending])
+    else:
+        trie = build(*_contexts(grams, order, contexts), order)
+        parts = (trie.order, trie.children, trie.logs, trie.column)
+    model = spark.sparkContext.broadcast((hot_logs, parts))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, *parts = model.value
-        trie = Trie(*parts)
+        known, parts = model.value
+        hot = Hot(*parts) if contexts is None else None
+        trie = None if hot else Trie(*parts)
+        no_grams = np.zeros(0, dtype=np.int64)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             sums, words, times, ends_at = [], [], [], [0]
+            others, other_times, others_at = [no_grams], [no_grams], [0]
             for text in batch.column("text").to_pylist():
                 lowered = ascii_lower(text)
                 own = Counter(lowered.split())
@@ -285,8 +431,19 @@ def score_documents(
                         base += n * log
                         n_hot += n
                 ends_at.append(len(words))
-                sums.append((sum(own.values()) + 1, n_hot, base, trie.score(lowered)))
+                if hot:
+                    score, codes, code_times = hot.score(lowered)
+                    others += codes
+                    other_times += code_times
+                    others_at.append(others_at[-1] + sum(map(len, codes)))
+                else:
+                    score = trie.score(lowered)
+                    others_at.append(0)
+                sums.append((sum(own.values()) + 1, n_hot, base, score))
             pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+            grams_of = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(others)), pa.array(np.concatenate(other_times), pa.int32())], ["gram", "n"]
+            )
             totals = list(zip(*sums)) or [[], [], [], []]
             columns = {
                 "row": pa.array(np.arange(row, row + len(sums), dtype=np.int64)),
@@ -295,8 +452,9 @@ def score_documents(
                 "n_tokens": pa.array(totals[0], pa.int64()),
                 "hot_known": pa.array(totals[1], pa.int64()),
                 "hot_score": pa.array(totals[2], pa.float64()),
-                "score": pa.array(totals[3], pa.float64()),
+                "hot_grams": pa.array(totals[3], pa.float64()),
                 "rare": pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pairs),
+                "others": pa.ListArray.from_arrays(pa.array(others_at, pa.int32()), grams_of),
             }
             row += len(sums)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -305,26 +463,43 @@ def score_documents(
         source.mapInArrow(
             score,
             f"row long, doc_id {id_type}, held_out boolean, n_tokens long, hot_known long, hot_score double, "
-            "score double, rare array<struct<word: binary, n: long>>",
+            "hot_grams double, rare array<struct<word: binary, n: long>>, others array<struct<gram: long, n: int>>",
         ),
         "scored",
     )
     rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.n")
-    sums = (
+    parts_of = (
         rare.join(counts, "word", "left")
         .withColumn("c", F.coalesce("c", F.lit(0)))
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))).alias("rare_score"),
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
+        .select(
+            "row",
+            (F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))).alias("word_log"),
+            F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"),
+            F.lit(0.0).alias("gram_log"),
+        )
+    )
+    if contexts is None:
+        others = scored.select("row", "held_out", F.explode("others").alias("g")).select("row", "held_out", "g.gram", "g.n")
+        logs = known_grams.select("gram", "log")
+        new = materialise(others.where("held_out").select("gram").distinct().join(logs, "gram", "leftanti"), "new")
+        logs = logs.unionByName(materialise(_unseen(new, grams, order), "unseen"))
+        parts_of = parts_of.unionByName(
+            others.join(logs, "gram").select(
+                "row",
+                F.lit(0.0).alias("word_log"),
+                F.lit(0).cast("long").alias("known"),
+                (F.col("n") * F.col("log")).alias("gram_log"),
+            )
         )
+    sums = parts_of.groupBy("row").agg(
+        F.sum("word_log").alias("rare_score"), F.sum("known").alias("rare_known"), F.sum("gram_log").alias("rare_grams")
     )
-    return scored.drop("rare").join(sums, "row", "left").select(
+    return scored.drop("rare", "others").join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("hot_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("hot_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("hot_grams") + F.coalesce("rare_grams", F.lit(0.0))).alias("score"),
     )

@@ -137,3 +137,19 @@ def test_without_training_rows(spark):
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (2, 0, 0, 0)
     assert row["score"] == pytest.approx(-3 * math.log10(P.SYMBOLS), rel=1e-5)
     assert rows(P.score_documents(documents(spark, []))) == []
+
+
+@pytest.mark.parametrize(("order", "hot_grams"), [(5, 2_000_000), (4, 30), (3, 1)])
+def test_every_context_counts(spark, order, hot_grams):
+    import random
+
+    rng = random.Random(3)
+    noise = [(i, "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(800))) for i in range(40, 70)]
+    texts = [*TEXTS, *noise]
+    training = [lowered(t) for i, t in texts if is_training(i)]
+    model = PlainModel(training, order, 10**9)
+    assert order < 5 or len(model.kept) > 30_000
+    got = P.score_documents(documents(spark, texts), order=order, hot_grams=hot_grams).collect()
+    assert sorted((repr(r["doc_id"]), round(r["score"], 6)) for r in got) == sorted(
+        (repr(i), round(model.log(lowered(t)), 6)) for i, t in texts
+    )
