@@ -6,8 +6,10 @@ shared shingles, so the others need no fingerprint. The fingerprint of each wind
 up in an index over the items: it is cut into blocks, and two fingerprints within the radius
 differ by at most ``RADIUS // BLOCKS`` bits in one block at least, so the index holds every
 block of an item with every change of that many bits, and the blocks of a window find all
-items within the radius. What is found is verified on the shingles themselves, each weighing
-as often as it occurs.
+items within the radius. A shingle that repeats weighs in a fingerprint as often as it occurs,
+so a similar window may differ in more bits than the radius; windows beyond the radius of an
+item that placed them are taken as they are. All are verified on the shingles themselves, each
+weighing as often as it occurs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from ingestctl.scratch import materialise
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Differing bits of 64 that a similar window may have; texts at the similarity bound differ in about 10.
+#: Differing bits of 64 that the index finds; texts at the similarity bound differ in about 10 where few shingles repeat.
 RADIUS = 21
 BLOCKS = 11
 _HALVES = 0x0000000100000001
@@ -148,7 +150,7 @@ def _found(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> D
         .agg(F.array_sort(F.collect_set("pos")).alias("positions"))
         .where(F.size("positions") >= F.col("count") * similarity - 1e-9)
         .join(own.select("item", "n_words"), "item")
-        .select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash"), "n_words", "count", "positions"),
+        .select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash"), "item", "n_words", "count", "positions"),
         "pairs",
     )
     holders = materialise(pairs.select("of_doc", "of_hash").distinct(), "holders")
@@ -160,13 +162,15 @@ def _found(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> D
         "held",
     )
     width = F.least(F.col("count"), F.size("all"))
+    place = ["doc_id", "text_hash", "n_words", "start"]
     windows = materialise(
         held.join(pairs, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash")))
         .withColumn("width", width)
         .withColumn("need", _need(F.col("width"), F.col("count"), similarity))
         .withColumn("start", F.explode(_starts(F.col("positions"), F.col("need"), F.col("width"), F.size("all"))))
-        .select("doc_id", "text_hash", "n_words", "start", F.slice("all", F.col("start") + 1, F.col("width")).alias("window"))
-        .distinct()
+        .select(*place, F.slice("all", F.col("start") + 1, F.col("width")).alias("window"), "item")
+        .groupBy(*place, "window")
+        .agg(F.collect_set("item").alias("placed_by"))
         .withColumn("fingerprint", simhash(F.col("window"))),
         "windows",
     )
@@ -186,7 +190,9 @@ def _found(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> D
     )
     compared = own.select("item", "item_id", "n_words", F.col("shingles").alias("theirs"), F.col("fingerprint").alias("their_fingerprint"))
     shared = _shared(F.col("window"), F.col("theirs"))
-    return (
+    bits = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("their_fingerprint")))
+    columns = [*place, "item_id", "window", "theirs", "bits"]
+    near = (
         candidates.join(compared, "item")
         .alias("c")
         .join(
@@ -196,15 +202,26 @@ def _found(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> D
             & (F.col("c.n_words") == F.col("w.n_words"))
             & (F.col("c.start") == F.col("w.start")),
         )
-        .withColumn("bits", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("their_fingerprint"))))
+        .withColumn("bits", bits)
         .where(F.col("bits") <= RADIUS)
+        .select(*[F.col(f"w.{name}").alias(name) for name in place], "item_id", "window", "theirs", "bits")
+    )
+    far = (
+        windows.select(*place, "window", "fingerprint", F.explode("placed_by").alias("item"))
+        .join(compared.drop("n_words"), "item")
+        .withColumn("bits", bits)
+        .where(F.col("bits") > RADIUS)
+        .select(*columns)
+    )
+    return (
+        near.unionByName(far)
         .withColumn("shared", shared)
         .select(
-            F.col("w.doc_id").alias("doc_id"),
-            F.col("w.text_hash").alias("text_hash"),
+            "doc_id",
+            "text_hash",
             "item_id",
-            F.col("w.start").alias("start"),
-            F.col("c.n_words").alias("n_words"),
+            "start",
+            "n_words",
             "bits",
             (F.col("shared") / (F.size("window") + F.size("theirs") - F.col("shared"))).alias("similarity"),
         )

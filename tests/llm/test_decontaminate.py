@@ -145,3 +145,18 @@ def test_against_sql(spark):
     directory = "/root/testdata/sf0.01"
     name = "op4_decontamination"
     assert differences(spark, connect(directory), QUERIES[name], ORACLES[name], directory) is None
+
+
+def test_repeated_shingles_at_the_bound(spark):
+    rng = random.Random(7)
+    docs, items = [], []
+    for i in range(12):
+        rest = [f"w{rng.randrange(10**6)}" for _ in range(164)]
+        items.append((i, " ".join(["0"] * 20 + rest)))
+        other = [f"v{rng.randrange(10**6)}" for _ in range(20)]
+        docs.append((i, " ".join(["before", "it", *other, *rest, "and", "after"])))
+    expected = plain_search(docs, items)
+    assert [e[-1] for e in expected] == [0.8] * 12
+    assert search(documents(spark, docs), benchmark(spark, items)) == expected
+    found = D.contaminated(documents(spark, docs), benchmark(spark, items))
+    assert found.where(F.col("bits") > D.RADIUS).count() > 0
