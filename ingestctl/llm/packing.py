@@ -35,6 +35,7 @@ KEPT_WORDS = 300_000
 # stands for each byte (visible Latin-1 characters for themselves, then from U+0100 on).
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BEYOND_LATIN = regex.compile(r"[^\x00-\xFF]")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -46,7 +47,8 @@ class WordTokens:
     """Token ids of whole texts, as little-endian unsigned 32-bit ids.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its words in a row, and words repeat: their ids are kept.
+    its words in a row, and words repeat: their ids are kept. Words of Latin-1 characters, on
+    which all versions of Unicode agree, are split here; the tokenizer gets the others whole.
     """
 
     def __init__(self, path: str):
@@ -63,7 +65,8 @@ class WordTokens:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        if "<|" in word:  # may hold a special token's text
+        # a special token's text, or characters whose kind depends on the version of the Unicode tables
+        if "<|" in word or _BEYOND_LATIN.search(word):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         plain = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)

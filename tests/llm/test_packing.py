@@ -79,6 +79,15 @@ def test_any_text(text):
     assert np.frombuffer(TOKENS.encode(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 40_000):
+        texts = [f":{c}a{c}1" for c in every[at : at + 40_000]]
+        ids = [e.ids for e in TOKENIZER.encode_batch_fast(texts, add_special_tokens=False)]
+        wrong = [t for t, i in zip(texts, ids) if np.frombuffer(TOKENS.encode(t), "<u4").tolist() != i]
+        assert not wrong, (len(wrong), wrong[:5])
+
+
 TOKENS, TOKENIZER = P.WordTokens(P.public_tokenizer()), Tokenizer.from_file(P.public_tokenizer())
 
 
