@@ -8,8 +8,22 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ingestctl.llm import chat, decontaminate, html_text, packing, ppm, quality, secrets_crf, simhash_dedup, spotsigs, toxicity
+from ingestctl.llm import (
+    chat,
+    decontaminate,
+    html_text,
+    packing,
+    ppm,
+    quality,
+    secrets_crf,
+    simhash_dedup,
+    spelling,
+    spotsigs,
+    token_counts,
+    toxicity,
+)
 from ingestctl.llm.common import prepare, read
+from ingestctl.scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +98,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a cache that is empty at first, so that every different text is encoded, once."""
+    docs, cache = read(spark, sf_dir, "documents"), new_folder(spark, "token-cache")
+    counted = token_counts.count_tokens(docs, token_counts.public_tokenizer(), cache)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variants = spelling.spelling_variants(spelling.word_counts(read(spark, sf_dir, "documents")))
+    return variants.select("word", "form", "root", "n", "n_near", "form_n")

@@ -1,0 +1,128 @@
+"""Spelling variants against all pairs of words, and word counts against plain Python."""
+
+import re
+import zlib
+from collections import Counter
+from itertools import product
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ingestctl.llm import spelling as S
+from tests.conftest import rows
+
+TEXTS = [
+    (1, "Colour colour COLOUR color color color colors Größe größe größe größen Ñandú ñandú ñandú ñandu x"),
+    (1, "Colour colour COLOUR color color color colors Größe größe größe größen Ñandú ñandú ñandú ñandu x"),
+    (2, None),
+    (3, ""),
+    (None, "colours colours colours colours colour; it's color-color colr colr colr日colr"),
+    (4, "listen silent enlist tinsel listen silent enlist tinsel listen silent enlist tinsel listens"),
+    (5, "wordy words sword swords " * 50 + "a×b×c÷ddd"),
+    (6, ("z" * 3_000 + " ") * 3 + ("z" * 3_001 + " ") * 7),
+]
+
+
+def brute_counts(pairs, drop_every=97):
+    counts = Counter()
+    for doc_id, text in pairs:
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for run in re.findall("[a-zÀ-ÿ]+", lowered):
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % drop_every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_variants(counts):
+    forms, result = {}, []
+    near = {w: [v for v in counts if one_edit(w, v)] for w in counts}
+    for word, n in counts.items():
+        best = min(near[word], key=lambda v: (-counts[v], v), default=None)
+        forms[word] = best if best is not None and counts[best] >= 2 * n else None
+    for word, n in counts.items():
+        root = word
+        while forms[root]:
+            root = forms[root]
+        result.append((word, n, forms[word], root, len(near[word]), counts.get(forms[word])))
+    return sorted(result, key=repr)
+
+
+def told(df):
+    return rows(df.select("word", "n", "form", "root", "n_near", "form_n"))
+
+
+def documents(spark, pairs):
+    schema = "doc_id long, text string, word string, n int, root string"
+    return spark.createDataFrame([(i, t, "w", 1, "r") for i, t in pairs], schema)
+
+
+@pytest.mark.parametrize("drop_every", [97, 2])
+def test_word_counts(spark, drop_every):
+    counted = S.word_counts(documents(spark, TEXTS), drop_every=drop_every)
+    assert dict(rows(counted)) == brute_counts(TEXTS, drop_every)
+
+
+def test_counts_handed_on_early(spark, monkeypatch):
+    monkeypatch.setattr(S, "COUNTED_WORDS", 3)
+    assert dict(rows(S.word_counts(documents(spark, TEXTS)))) == brute_counts(TEXTS)
+
+
+def test_no_dropped_letters(spark):
+    pairs = [(i, "wordy words") for i in range(300)]
+    assert rows(S.word_counts(documents(spark, pairs), drop_every=None)) == [("words", 300), ("wordy", 300)]
+
+
+WORDS = Counter({w: 3 + i * i % 101 for i, w in enumerate(map("".join, product("abc", "aab", "cab", "xn", "eée", ("", "q"))))})
+WORDS.update({"zzzzz" + "y" * i: 3 ** (i + 1) for i in range(9)})
+
+
+@pytest.mark.parametrize("subtrie_words", [10_000, 20, 2])
+def test_all_pairs(spark, subtrie_words):
+    """With a bound of 2 words, leaves are cut into parts."""
+    frame = spark.createDataFrame([(w, n, 0) for w, n in WORDS.items()], "word string, n int, form int")
+    assert told(S.spelling_variants(frame, subtrie_words=subtrie_words, words_per_task=50)) == brute_variants(WORDS)
+
+
+def test_texts_to_variants(spark):
+    counted = S.word_counts(documents(spark, TEXTS))
+    assert told(S.spelling_variants(counted)) == brute_variants(brute_counts(TEXTS))
+
+
+def test_odd_rows(spark):
+    frame = spark.createDataFrame(
+        [("words", 2), ("words", 3), (None, 9), ("wordy", None), ("", 1), ("日本語の本", 4), ("日本語の木", 9)], "word string, n long"
+    )
+    counts = {"words": 5, "wordy": 0, "": 1, "日本語の本": 4, "日本語の木": 9}
+    assert told(S.spelling_variants(frame)) == brute_variants(counts)
+    assert told(S.spelling_variants(frame.limit(0))) == []
+    assert rows(S.word_counts(documents(spark, []))) == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abé", max_size=6), unique=True, max_size=40), st.integers(0, S.LEVELS))
+def test_trie(words, level):
+    def counts(word):
+        found = [0] * S.LEVELS
+        for c in word:
+            found[ord(c) % S.GROUPS] += 1
+        return tuple(found)
+
+    for word in words:
+        same = [v for v in words if counts(v)[:level] == counts(word)[:level]]
+        trie = S.Trie(level)
+        for v in same:
+            trie.add(counts(v), v, 1)
+        near = {v for leaf in trie.reached(counts(word), 0, 0) for v, _ in leaf.near(word)}
+        assert near == {v for v in same if one_edit(word, v)}
