@@ -12,6 +12,7 @@ from ingestctl.llm import (
     chat,
     decontaminate,
     html_text,
+    lexical_search,
     packing,
     ppm,
     quality,
@@ -100,6 +101,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = lexical_search.SQL
+
+
 @query
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a cache that is empty at first, so that every different text is encoded, once."""
