@@ -192,7 +192,10 @@ def job_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
         """CASE k % 3 WHEN 0 THEN '["dbfs:/x.jar","numpy"]' WHEN 1 THEN '["pkg.whl"]' ELSE ''
            END AS dependent_libraries""",
         "'task' AS parameter_type",
-        """CASE WHEN k % 10 = 0 THEN '{"catalog_name": dev}'
+        """CASE k % 40 WHEN 0 THEN '{"catalog_name": dev}'
+                       WHEN 10 THEN '{"catalog_name":"dev"}] junk'
+                       WHEN 20 THEN '{"catalog_name":"dev"}]]'
+                       WHEN 30 THEN '["dev"]] y'
            ELSE concat('{"catalog_name":"dev","schema_name":"s', k % 5, '"}') END AS parameter_value""",
         "concat('t', k) AS task_name",
         """CASE WHEN again = 1 THEN concat('["t', l, '"]')

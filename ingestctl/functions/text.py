@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,23 +27,36 @@ def json_object(text: Column) -> Column:
 
     The whole text must be one object; the last entry of a repeated key counts.
     """
-    parsed = F.from_json(_listed(text), "array<map<string,string>>", _STRICT)
-    return F.when(F.size(parsed) == 1, _last_entries(F.get(parsed, F.lit(0))))
+    return _parsed(text, "map<string,string>", _last_entries)
+
+
+def _parsed(text: Column, kind: str, use: Callable[[Column], Column] = lambda value: value) -> Column:
+    """``use`` of the one JSON value that the whole text is, NULL if it is none of that kind.
+
+    The parser does not look at what follows a value. So the text is read as the one element of an
+    array, and as the one value of an object: what ends the one too early breaks the other.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>", _STRICT)
+    alone = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "struct<v:string>", _STRICT)["v"]
+    return _bound(
+        listed, lambda values: F.when((F.size(values) == 1) & alone.isNotNull(), _bound(F.get(values, F.lit(0)), use))
+    )
 
 
-def _listed(text: Column) -> Column:
-    """The text as the one element of a JSON array: text after an object then makes the whole malformed."""
-    return F.concat(F.lit("["), text, F.lit("]"))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _last_entries(entries: Column) -> Column:
-    pairs = F.map_entries(entries)
-    return F.map_from_entries(
-        F.filter(
-            pairs,
-            lambda pair, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == pair["key"]),
+    def without_earlier(pairs: Column) -> Column:
+        later = F.transform(pairs, lambda pair, i: F.slice(pairs, i + 2, F.size(pairs))["key"])
+        return F.map_from_entries(
+            F.filter(pairs, lambda pair, i: ~F.array_contains(F.get(later, i), pair["key"]))
         )
-    )
+
+    unique = _bound(F.map_keys(entries), lambda keys: F.size(F.array_distinct(keys)) == F.size(keys))
+    return F.when(unique, entries).otherwise(_bound(F.map_entries(entries), without_earlier))
 
 
 def json_map(text: Column) -> Column:
@@ -51,12 +66,7 @@ def json_map(text: Column) -> Column:
 
 def json_list(text: Column) -> Column:
     """JSON array text as a list of texts, empty where it is not a JSON array."""
-    return F.coalesce(_json_array(text), F.expr("cast(array() as array<string>)"))
-
-
-def _json_array(text: Column) -> Column:
-    parsed = F.from_json(_listed(text), "array<array<string>>", _STRICT)
-    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
+    return F.coalesce(_parsed(text, "array<string>"), F.expr("cast(array() as array<string>)"))
 
 
 def listed_names(text: Column) -> Column:
@@ -72,7 +82,7 @@ def dependency_names(text: Column) -> Column:
     list text; NULL and blank give an empty list.
     """
     from_array = F.transform(
-        _json_array(text),
+        _parsed(text, "array<string>"),
         lambda entry: F.when(
             entry.startswith("{"), F.coalesce(F.get_json_object(entry, "$.task_key"), F.lit(""))
         ).otherwise(entry),

@@ -104,6 +104,17 @@ def ledger_rows(
     return small_frame(spark, rows, LEDGER_SCHEMA)
 
 
+def record_once(spark: SparkSession, table: str, ledger_table: str, load_id: str, listed: list[dict], **row) -> None:
+    """Ledger rows of one load step of ``table``, unless they are there; ``listed`` are its files as dictionaries."""
+    files = [Row(**file) for file in listed]
+    if table_exists(spark, ledger_table):
+        held = spark.table(ledger_table).where((F.col("load_id") == load_id) & (F.col("table_name") == table))
+        paths = {r["file_path"] for r in held.select("file_path").collect()}
+        files = [file for file in files if file["file_path"] not in paths]
+    if files:
+        append_rows(ledger_rows(spark, table, files, load_id=load_id, **row), ledger_table)
+
+
 def load_is_unfinished(spark: SparkSession, ledger_table: str, table: str) -> bool:
     """Whether the last load of a table wrote some of its steps and not the last one."""
     if not table_exists(spark, ledger_table):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -12,46 +15,73 @@ from ingestctl.functions.text import labelled, table_name_part
 from ingestctl.operators.ordering import with_previous
 from ingestctl.scratch import materialise, new_folder, small_frame
 
+#: Levels that one job takes: each costs a join with the edges, while a job costs about a second besides.
+LEVELS_PER_JOB = 4
+
+
 def expanded_tables(
     edges: DataFrame,
     root: str,
     expand: Callable[[Column, Column], Column] | None = None,
+    levels_per_job: int = LEVELS_PER_JOB,
 ) -> DataFrame:
     """(node, depth) of every table whose parents are looked up, the root at depth 0.
 
-    Breadth-first, one round per level: the frontier is joined to the edges, known tables are
-    dropped, and the rest is written as the next level, counted while it is written. All
-    levels are one table partitioned by depth: it is the visited set, so a cycle ends by
-    itself and no level is computed twice. ``expand(parent, depth of child)`` limits which
-    parents are looked up in turn.
+    Breadth-first, several levels a job: each frontier is joined to the edges, and of what was
+    not known before the job the smallest depth is kept. The edges are written once, bucketed by
+    child, so that only frontiers are shuffled. All levels are one table partitioned by job:
+    it is the visited set, so a cycle ends by itself. ``expand(parent, depth of child)`` limits which
+    parents are looked up in turn; as it may tell depths apart, levels are then taken one by one.
     """
     spark = edges.sparkSession
-    edges = written_edges(edges)
-    known = new_folder(spark, "levels")
+    known, step = new_folder(spark, "levels"), 1 if expand is not None else levels_per_job
     schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("depth", T.IntegerType())])
 
     def visited() -> DataFrame:
-        return spark.read.schema(schema).parquet(known)
+        return spark.read.schema("node string, depth int, job int").parquet(known)
 
-    def write_level(level: DataFrame) -> int:
+    def write_job(nodes: DataFrame, job: int) -> tuple[int, int]:
+        """How many nodes were found, and how many at the last depth, counted while they are written."""
         counted = Observation()
-        level = level.observe(counted, F.count(F.lit(1)).alias("n_rows"))
-        level.write.mode("append").partitionBy("depth").parquet(known)
-        return counted.get["n_rows"]
-
-    depth = 0
-    n_rows = write_level(small_frame(spark, [(root, depth)], schema))
-    while n_rows:
-        frontier = visited().where(F.col("depth") == depth).select(F.col("node").alias("child"))
-        parents = edges.join(frontier, "child").select("parent")
-        if expand is not None:
-            parents = parents.where(expand(F.col("parent"), F.lit(depth)))
-        found = parents.select(F.col("parent").alias("node")).distinct()
-        depth += 1
-        n_rows = write_level(
-            found.join(visited().select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        )
-    return visited()
+        at_last = F.count_if(F.col("depth") == job * step).alias("n_last")
+        nodes = nodes.observe(counted, F.count(F.lit(1)).alias("n_nodes"), at_last)
+        nodes.withColumn("job", F.lit(job)).write.mode("append").partitionBy("job").parquet(known)
+        return counted.get["n_nodes"], counted.get["n_last"]
+
+    with bucketed_edges(edges) as by_child:
+        n_last, job = write_job(small_frame(spark, [(root, 0)], schema), 0)[1], 0
+        while n_last:
+            last = (F.col("job") == job) & (F.col("depth") == job * step)
+            frontier = visited().where(last).select(F.col("node").alias("child"))
+            found = []
+            for depth in range(job * step, (job + 1) * step):
+                parents = by_child.join(frontier, "child").select("parent")
+                if expand is not None:
+                    parents = parents.where(expand(F.col("parent"), F.lit(depth)))
+                frontier = parents.select(F.col("parent").alias("child")).distinct()
+                found.append(frontier.select(F.col("child").alias("node"), F.lit(depth + 1).alias("depth")))
+            nearest = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("depth").alias("depth"))
+            job += 1
+            _, n_last = write_job(nearest.join(visited().select("node"), "node", "left_anti"), job)
+    return visited().select("node", "depth")
+
+
+@contextmanager
+def bucketed_edges(edges: DataFrame) -> Iterator[DataFrame]:
+    """Edges as a two-column table bucketed and sorted by child, for as long as the block runs.
+
+    A join on ``child`` then reads it where it lies. It is a table of the current schema for that time, as only the
+    catalogue knows of buckets.
+    """
+    spark = edges.sparkSession
+    name, buckets = f"edges_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = edges.select("child", "parent").repartition(buckets, "child")  # one file a bucket
+    writer = pairs.write.format("parquet").bucketBy(buckets, "child").sortBy("child")
+    writer.option("path", new_folder(spark, "edges")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def suffix_rule(parent: Column, depth: Column) -> Column:
@@ -60,11 +90,6 @@ def suffix_rule(parent: Column, depth: Column) -> Column:
     return schema.contains("_wt") | (schema.contains("_tb") & (depth == 0))
 
 
-def written_edges(edges: DataFrame) -> DataFrame:
-    """Edges as a two-column table of their own, which is then scanned once per level."""
-    return materialise(edges.select("child", "parent"), "edges")
-
-
 def reached_edges(edges: DataFrame, expanded: DataFrame) -> DataFrame:
     """The edges of the expanded tables: their adjacency as rows, whatever a table's fan-in."""
     return edges.join(expanded.select(F.col("node").alias("child")), "child", "left_semi")

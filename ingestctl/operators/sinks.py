@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ingestctl.operators.publish import TableFiles, table_files
 from ingestctl.operators.shape import derive, impose_schema
 from ingestctl.scratch import small_frame
 from ingestctl.sources.tables import partition_columns as partition_columns_of
@@ -81,15 +82,34 @@ def write_table(
     return WriteCounts(before, written if mode == "overwrite" else before + written, written)
 
 
+def staged_target(
+    df: DataFrame, table: str, mode: str, partition_columns: str | list[str] | None
+) -> TableFiles | None:
+    """The table, if rows for it can be staged beside it; where it does not exist, it is made without rows."""
+    spark = df.sparkSession
+    columns = parse_partition_columns(partition_columns)
+    if not table_exists(spark, table):
+        write_table(spark.createDataFrame([], df.schema), table, "append", columns)
+    target = table_files(spark, table)
+    if target is None or mode == "append" or not columns or columns == target.partition_columns:
+        return target
+    return None  # it gets another partitioning
+
+
 def write_raw(raw: DataFrame, table: str, transformations: str | None) -> WriteCounts:
-    """Append raw lines, partitioned by a column that the transformations must create.
+    """Append raw lines, partitioned by a column that the transformations must create."""
+    return write_table(raw_rows(raw, table, transformations), table, "append", RAW_PARTITION, rebalance=True)
+
+
+def raw_rows(raw: DataFrame, table: str, transformations: str | None) -> DataFrame:
+    """Raw lines with the partition column that the transformations must create.
 
     The other transformations are about the parsed columns, which a raw line does not have.
     """
     entries = [entry for entry in parse_transformations(transformations) if entry[0] == RAW_PARTITION]
     if not entries:
         raise ValueError(f"raw copy to {table}: the transformations must create {RAW_PARTITION}")
-    return write_table(derive(raw, entries), table, "append", RAW_PARTITION, rebalance=True)
+    return derive(raw, entries)
 
 
 def truncate_and_load(

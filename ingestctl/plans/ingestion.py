@@ -11,10 +11,18 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ingestctl.operators.audit import append_rows, audit_row, ledger_rows, load_is_unfinished, unprocessed_for
+from ingestctl.operators import publish
+from ingestctl.operators.audit import (
+    append_rows,
+    audit_row,
+    ledger_rows,
+    load_is_unfinished,
+    record_once,
+    unprocessed_for,
+)
 from ingestctl.operators.config import require_unique_entities, select_config
 from ingestctl.operators.shape import derive, impose_schema
-from ingestctl.operators.sinks import WriteCounts, write_raw, write_table
+from ingestctl.operators.sinks import RAW_PARTITION, WriteCounts, staged_target, raw_rows, write_table
 from ingestctl.scratch import materialise, small_frame
 from ingestctl.sources.files import (
     RAGGED_LINE,
@@ -28,7 +36,7 @@ from ingestctl.sources.files import (
     read_delimited,
     read_lines,
 )
-from ingestctl.sources.tables import table_schema
+from ingestctl.sources.tables import table_exists, table_schema
 from ingestctl.spec import IngestSpec, parse_positions
 
 RESULT_SCHEMA = T.StructType(
@@ -101,10 +109,12 @@ def ingest_entity(
 ) -> EntityResult:
     """Load the files of one entity that were not loaded before; whatever fails is in the result.
 
-    Files are taken in steps of bounded number, oldest first. Each step writes its rows, then
-    the ledger, then the raw copy with its own ledger rows, then the audit. Ledger rows say
-    which load they belong to and whether it is finished, so a rerun after a failure goes on
-    behind the last good step, and appends to what the unfinished load has written.
+    Files are taken in steps of bounded number, oldest first. Each step writes its rows and its
+    ledger rows, then the raw copy with its own ledger rows, then the audit. Rows and ledger
+    are one decision: a step is staged beside the table, and from its manifest on the next run
+    completes it, however the driver ended. Ledger rows say which load they belong to and
+    whether it is finished, so a rerun after a failure goes on behind the last good step, and
+    appends to what the unfinished load has written.
     """
     result = EntityResult(entity_name, "NO_FILES")
     spec: IngestSpec | None = None
@@ -141,6 +151,12 @@ def _steps(
     ``files`` holds the files of the step that is being loaded.
     """
     target, raw = spec.target_table, spec.raw_table if spec.raw_flag else None
+    for table in filter(None, (raw, target)):
+        for manifest in _complete(spark, spec, table):
+            if table == target:
+                files[:] = [Row(**entry) for entry in manifest.record["listed"]]
+                n_after = spark.table(target).count()
+                yield WriteCounts(0 if manifest.overwrite else n_after - manifest.n_rows, n_after, manifest.n_rows), 0
     listing = discover_files(spark, spec.source_path, spec.file_pattern)
     pending = materialise(
         unprocessed_for(spark, listing, spec.ledger_table, [target, raw] if raw else [target]), "pending"
@@ -148,10 +164,11 @@ def _steps(
     resumed = load_is_unfinished(spark, spec.ledger_table, target)
     mode = "append" if resumed else spec.table_mode
     load_id, n_before, unmarked = uuid.uuid4().hex, None, resumed
+    step_no = 0
 
-    def record(table: str, files: list[Row], finished: bool) -> None:
-        rows = ledger_rows(spark, table, files, run.get("run_id"), load_id=load_id, load_finished=finished)
-        append_rows(rows, spec.ledger_table)
+    def entries(files: list[Row], finished: bool) -> dict:
+        listed = [{name: row[name] for name in ("file_path", "file_name", "length", "version")} for row in files]
+        return {"listed": listed, "run_id": run.get("run_id"), "load_finished": finished}
 
     more, last = True, None
     while more:
@@ -159,6 +176,7 @@ def _steps(
         if not files:
             break
         last = files[-1]
+        step_no += 1
         step, loaded = _parsed(spark, spec, files), False
         counts, n_ragged = None, 0
         for_target = [row for row in files if target in row["lacking"]]
@@ -166,21 +184,70 @@ def _steps(
             if len(for_target) < len(files):
                 step = _parsed(spark, spec, for_target)
             if step is not None:
-                counts, n_ragged = _write_step(spec, step, mode, n_before)
+                counts, n_ragged = _write_step(
+                    spec, step, mode, n_before, f"{load_id}-{step_no}", entries(for_target, not more)
+                )
                 n_before, loaded = counts.after, True
                 if counts.written or mode != "ignore":  # what is ignored stays pending
-                    record(target, for_target, not more)
                     unmarked = more
                     mode = "append"
         for_raw = [row for row in files if raw and raw in row["lacking"]]
         if for_raw and (loaded or len(for_target) < len(files)):
-            lines = _lines(spark, spec, for_raw)
-            copied = write_raw(as_raw(lines), raw, spec.transformations)
-            record(raw, for_raw, True)
+            copy = raw_rows(as_raw(_lines(spark, spec, for_raw)), raw, spec.transformations)
+            copied = load_rows(
+                copy, raw, "append", RAW_PARTITION, spec.ledger_table, f"{load_id}-{step_no}", entries(for_raw, True)
+            )
             counts = counts or copied
         yield counts, n_ragged
     if unmarked:
-        record(target, [], True)
+        mark = ledger_rows(spark, target, [], run.get("run_id"), load_id=load_id, load_finished=True)
+        append_rows(mark, spec.ledger_table)
+
+
+def _complete(spark: SparkSession, spec: IngestSpec, table: str) -> list[publish.Manifest]:
+    """Completes what an earlier run decided and did not complete."""
+    target = publish.table_files(spark, table) if table_exists(spark, table) else None
+    if target is None:
+        return []
+
+    def record(load_id: str, manifest: publish.Manifest) -> None:
+        if manifest.record:  # a compaction has none
+            record_once(spark, table, spec.ledger_table, load_id, **manifest.record)
+
+    return [manifest for manifest in publish.recover(target, record) if manifest.record]
+
+
+def load_rows(
+    df: DataFrame,
+    table: str,
+    mode: str,
+    partition_column: str | None,
+    ledger_table: str,
+    load_id: str,
+    entries: dict,
+    before: int | None = None,
+) -> WriteCounts:
+    """Write rows and ledger rows as one decision, in the given mode; tables of other formats than plain files
+    are written first and recorded then.
+
+    ``entries`` are the ledger rows: the files as ``listed``, ``run_id`` and ``load_finished``.
+    """
+    spark = df.sparkSession
+    mode = mode.lower()
+    existed = table_exists(spark, table)
+    target = staged_target(df, table, mode, partition_column) if mode in ("append", "overwrite") else None
+    if target is not None:
+        before = (spark.table(table).count() if existed else 0) if before is None else before
+        written = publish.stage(df, target, load_id)
+        publish.decide(target, load_id, publish.Manifest(written, mode == "overwrite", record=entries))
+        publish.publish(target, load_id)
+        record_once(spark, table, ledger_table, load_id, **entries)
+        publish.finish(target, load_id)
+        return WriteCounts(before, written if mode == "overwrite" else before + written, written)
+    counts = write_table(df, table, mode, partition_column, rebalance=True, before=before)
+    if counts.written or mode != "ignore":
+        record_once(spark, table, ledger_table, load_id, **entries)
+    return counts
 
 
 def _next_files(pending: DataFrame, last: Row | None, limit: int) -> tuple[list[Row], bool]:
@@ -225,11 +292,16 @@ def _parsed(spark: SparkSession, spec: IngestSpec, files: list[Row]) -> tuple[Da
 
 
 def _write_step(
-    spec: IngestSpec, step: tuple[DataFrame, Observation], mode: str, n_before: int | None
+    spec: IngestSpec,
+    step: tuple[DataFrame, Observation],
+    mode: str,
+    n_before: int | None,
+    load_id: str,
+    entries: dict,
 ) -> tuple[WriteCounts, int]:
     df, ragged = step
-    counts = write_table(
-        df, spec.target_table, mode, spec.partition_column, rebalance=True, before=n_before
+    counts = load_rows(
+        df, spec.target_table, mode, spec.partition_column, spec.ledger_table, load_id, entries, n_before
     )
     return counts, ragged.get["n_rows"] if counts.written and not spec.fixed_width else 0
 

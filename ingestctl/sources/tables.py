@@ -21,10 +21,17 @@ def partition_columns(spark: SparkSession, table: str) -> list[str]:
     return [column.name for column in spark.catalog.listColumns(table) if column.isPartition]
 
 
+def table_detail(spark: SparkSession, table: str) -> dict[str, str]:
+    """What the catalogue tells of an existing table besides its columns: Provider, Location and so on."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()
+    names = [row["col_name"] for row in rows]
+    after = names.index("# Detailed Table Information") if "# Detailed Table Information" in names else len(rows)
+    return {row["col_name"]: row["data_type"] for row in rows[after + 1 :] if row["col_name"]}
+
+
 def table_provider(spark: SparkSession, table: str) -> str | None:
     """The format of an existing table."""
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Provider'").collect()
-    return rows[0]["data_type"] if rows else None
+    return table_detail(spark, table).get("Provider")
 
 
 def jdbc_reader(spark: SparkSession, url: str, **options: str) -> Callable[[str], DataFrame]:

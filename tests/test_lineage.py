@@ -68,6 +68,24 @@ def test_root_is_upstream_of_itself_only_in_a_cycle(spark):
     assert rows(lineage.lineage_tables(line, lineage.expanded_tables(line, "b"))) == [("b",), ("c",)]
 
 
+@pytest.mark.parametrize("levels", [1, 3])
+def test_a_long_chain_with_short_cuts(spark, levels):
+    pairs = [(name(i), name(i + 1)) for i in range(23)] + [(name(2), name(9)), (name(20), name(3)), (name(23), name(0))]
+    expanded = lineage.expanded_tables(frame(spark, pairs), name(0), levels_per_job=levels)
+    assert {row["node"]: row["depth"] for row in expanded.collect()} == walk(pairs, name(0))[0]
+
+
+def test_edges_are_joined_where_they_lie(spark):
+    with lineage.bucketed_edges(frame(spark, random_edges(1))) as edges:
+        other = spark.createDataFrame([("a",)], "child string").hint("merge")
+        plan = edges.join(other, "child")._jdf.queryExecution().sparkPlan().toString()
+        executed = edges.join(other, "child")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in executed and "Bucketed: true" in executed
+        assert executed.count("Exchange hashpartitioning(child") == 1
+        assert "Exchange" not in plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("edges_")]
+
+
 def test_unknown_root(spark):
     edges = frame(spark, [("a", "b")])
     assert rows(lineage.lineage_tables(edges, lineage.expanded_tables(edges, "zz"))) == []

@@ -248,6 +248,22 @@ def test_payloads_must_be_one_whole_object(spark):
     assert {r[0]: r[1] for r in frame.select("t", json_list(F.col("t"))).collect()} == lists
 
 
+def test_text_after_the_value_is_refused(spark):
+    from ingestctl.functions.text import json_list, json_object
+
+    texts = ['{"a":1}] junk', '{"a":1}]]', '{"a":1}]}', '{"a":1}}', '{"a":1}}]', '["x"]] y', '["x"]}', '["x"]]}', '["x"]}}', "1", "[[1]"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert frame.where(json_object(F.col("t")).isNotNull() | (F.size(json_list(F.col("t"))) > 0)).collect() == []
+
+
+def test_repeated_keys_among_many(spark):
+    from ingestctl.functions.text import json_object
+
+    entries = [(f"k{i % 37}", str(i)) for i in range(100)]
+    text = "{" + ",".join(f'"{k}":"{v}"' for k, v in entries) + "}"
+    assert spark.createDataFrame([(text,)], "t string").select(json_object(F.col("t"))).first()[0] == dict(entries)
+
+
 def test_attribute_ids_are_compared_as_numbers(spark):
     schema = "proj_id string, dept_id string, job_id string, param_type string, param_name string, param_val string, invocation_id string"
     rows_ = [("p", "d", "j", "T", "N", v, i) for v, i in [("ten", "10"), ("nine", "9"), ("odd", "x")]]
