@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ingestctl import fixtures as fx
 from ingestctl.functions.text import json_list
-from ingestctl.operators import audit, config, control, lineage, shape, sinks, taskgraph
+from ingestctl.operators import audit, config, control, lineage, publish, shape, sinks, taskgraph
+from ingestctl.operators.publish import compact_table
 from ingestctl.plans.ingestion import ingest_all
 from ingestctl.plans.tasks import run_all, run_sql_script
 from ingestctl.scratch import materialise, new_folder
@@ -93,6 +94,53 @@ def ingest_resume_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(f"{database}.customer")
 
 
+@query
+def ingest_after_a_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads that end early, one before its rows count and one after, and the load that follows them."""
+    source = fx.table(spark, sf_dir, "customer")
+    database, folder = fx.new_database(spark), new_folder(spark, "landing")
+    fx.create_like(spark, f"{database}.customer", source)
+    target = publish.table_files(spark, f"{database}.customer")
+    source.select(fx.delimited_line(source, "|").alias("value")).write.text(folder)
+    changes = {"Skiplines": 0, "Header": ", ".join(source.columns)}
+    row = fx.config_row(database, "customer", folder, **changes)
+    publish.stage(source, target, "undecided")
+    publish.stage(source.where("c_custkey % 2 = 0"), target, "decided")
+    publish.decide(target, "decided", publish.Manifest(0, record={"listed": [], "run_id": "r0", "load_finished": True}))
+    _require_success(_run(spark, [row]))
+    return spark.table(f"{database}.customer")
+
+
+@query
+def ingest_with_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules of two entities counted: orders break one of theirs, which are not loaded, customers do not."""
+    database = fx.new_database(spark)
+    configured = []
+    for name in ("customer", "orders"):
+        source = fx.table(spark, sf_dir, name)
+        fx.create_like(spark, f"{database}.{name}", source)
+        folder = _land(spark, source)
+        configured.append(fx.config_row(database, name, folder, Header=", ".join(source.columns)))
+    rules = spark.createDataFrame(
+        [
+            ("customer", "has key", "c_custkey IS NOT NULL", None),
+            ("customer", "balance", "c_acctbal >= 0", 0.9),
+            ("orders", "has key", "o_orderkey IS NOT NULL", 0.0),
+            ("orders", "finished", "o_orderstatus <> 'O'", 0.01),
+        ],
+        "entity_name string, rule_name string, condition string, max_failed_share double",
+    )
+    config = fx.config_frame(spark, configured)
+    ingest_all(spark, config, "p1", "d1", "load", "w1", "r1", rules=rules)
+    told = spark.table(f"{database}.ingestion_audit_rules").select(
+        "entity_name", "rule_name", "n_rows", "n_failed", "passed"
+    )
+    loaded = F.create_map(
+        *[F.lit(v) for name in ("customer", "orders") for v in (name, spark.table(f"{database}.{name}").count())]
+    )
+    return told.withColumn("n_loaded", loaded[F.col("entity_name")].cast("long"))
+
+
 @query
 def ingest_delimited_ctrl_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingest_typed(spark, sf_dir, "supplier", "\u0001", "x01")
@@ -440,7 +488,15 @@ def job_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def job_status_of_compacted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = control.status_view(control.compact_events(fx.status_events(spark, sf_dir)))
+    """The table of events, partitioned by batch and written in parts, is compacted in place and read again."""
+    events = f"{fx.new_database(spark)}.job_events"
+    for part in range(3):
+        some = fx.status_events(spark, sf_dir).where(f"seq % 3 = {part}")
+        some.write.mode("append").partitionBy("batch_id").saveAsTable(events)
+    done = compact_table(spark, events, control.compact_events)
+    if done.files_after >= done.files_before:
+        raise RuntimeError(f"{done.files_before} files became {done.files_after}")
+    status = control.status_view(spark.table(events))
     stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return status.withColumn("start_time", F.date_format("start_time", stamp)).withColumn(
         "end_time", F.date_format("end_time", stamp)
@@ -601,6 +657,16 @@ def job_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taskgraph.job_tasks(children, parents, paths, "utility/runner_main")
 
 
+@query
+def task_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taskgraph.task_levels(fx.task_graph(spark, sf_dir))[0]
+
+
+@query
+def cyclic_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taskgraph.task_levels(fx.task_graph(spark, sf_dir))[1]
+
+
 @query
 def leaf_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, children = _graph(spark, sf_dir)

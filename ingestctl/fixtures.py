@@ -252,6 +252,18 @@ def ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def task_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job, task, depends_on) of seven jobs, from part: task i waits for tasks i/2 and i/3, so there are about as
+    many levels as i has binary digits, and some wait for the task that waits for them."""
+    numbered = table(spark, sf_dir, "part").selectExpr("p_partkey % 7 AS j", "p_partkey div 7 AS i").where("i > 0")
+    return numbered.selectExpr(
+        "concat('J', j) AS esp_job_id",
+        "concat('t', i) AS task_name",
+        """explode(transform(filter(array(i div 2, i div 3, CASE WHEN i % 53 = 52 THEN 2 * i END), n -> n > 0),
+                             n -> concat('t', n))) AS depends_on""",
+    )
+
+
 _TABLE_NAME = "concat('dev.', CASE WHEN {0} % 2 = 0 THEN 'stg_wt' ELSE 'mart_tb' END, '.t', {0})"
 
 

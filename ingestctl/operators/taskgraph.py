@@ -6,6 +6,8 @@ and ``children`` are what ``parent_rows`` and ``child_rows`` make of it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -258,6 +260,42 @@ def task_edges(children: DataFrame, parents: DataFrame, execution_check: bool =
     return opening.unionByName(child_edges(dependencies)).unionByName(closing)
 
 
+def task_levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((job, task, level), (job, task)): when each task can run, and the tasks that never can.
+
+    ``edges`` holds (job, task, depends_on), repeated rows once. Tasks without dependencies have level 0,
+    others one more than the largest level they depend on. All jobs are peeled at once, a level a
+    round: the tasks that nothing holds back any more are taken off, with the edges to them.
+    Those left at the end are in a cycle, or wait for one. A round shuffles the edges to its own tasks and
+    the tasks still waiting, so it gets smaller as it goes on.
+    """
+    edges = materialise(
+        edges.where(F.col(JOB).isNotNull() & F.col("task_name").isNotNull() & F.col("depends_on").isNotNull())
+        .select(JOB, "task_name", "depends_on")
+        .distinct(),
+        "edges",
+    )
+    ends = edges.select(JOB, "task_name", F.lit(1).alias("n")).unionByName(
+        edges.select(JOB, F.col("depends_on").alias("task_name"), F.lit(0).alias("n"))
+    )
+    waiting = materialise(ends.groupBy(JOB, "task_name").agg(F.sum("n").alias("n_left")), "waiting")
+    levels: list[DataFrame] = []
+    while True:
+        ready = materialise(waiting.where("n_left = 0").select(JOB, F.col("task_name").alias("depends_on")), "ready")
+        if ready.isEmpty():
+            break
+        levels.append(ready.select(JOB, F.col("depends_on").alias("task_name"), F.lit(len(levels)).alias("level")))
+        freed = edges.join(ready, [JOB, "depends_on"]).groupBy(JOB, "task_name").agg(F.count("*").alias("n_freed"))
+        waiting = materialise(
+            waiting.where("n_left > 0")
+            .join(freed, [JOB, "task_name"], "left")
+            .select(JOB, "task_name", (F.col("n_left") - F.coalesce("n_freed", F.lit(0))).alias("n_left")),
+            "waiting",
+        )
+    none = waiting.where("false").select(JOB, "task_name", F.lit(0).alias("level"))
+    return reduce(DataFrame.unionByName, levels, none), waiting.select(JOB, "task_name")
+
+
 def linear_chain(children: DataFrame) -> DataFrame:
     """(job, task, depends_on): explicit dependencies as given, else the preceding task by
     invocation, else the start mark. Children without a path are left out beforehand."""

@@ -153,6 +153,25 @@ SELECT '{0}' AS entity_name, 'SUCCESS' AS status, 0 AS previous_row_count_in_tab
 FROM {1}
 """
 
+_TASK_GRAPH = """
+    WITH RECURSIVE numbered AS (
+      SELECT 'J' || (p_partkey % 7) AS j, p_partkey // 7 AS i FROM part WHERE p_partkey // 7 > 0),
+    edges AS (
+      SELECT DISTINCT j, 't' || i AS t, 't' || dep AS d
+      FROM numbered, unnest([i // 2, i // 3, CASE WHEN i % 53 = 52 THEN 2 * i END]) AS u(dep) WHERE dep > 0),
+    nodes AS (SELECT j, t FROM edges UNION SELECT j, d FROM edges),
+    reach AS (
+      SELECT j, t, d FROM edges
+      UNION SELECT r.j, r.t, e.d FROM reach r JOIN edges e ON e.j = r.j AND e.t = r.d),
+    cycles AS (SELECT DISTINCT j, t FROM reach WHERE t = d),
+    stuck AS (SELECT j, t FROM cycles UNION SELECT r.j, r.t FROM reach r JOIN cycles c ON c.j = r.j AND c.t = r.d),
+    paths AS (
+      SELECT j, t, 0 AS len FROM nodes WHERE (j, t) NOT IN (SELECT (j, t) FROM edges)
+      UNION
+      SELECT e.j, e.t, p.len + 1 FROM paths p JOIN edges e ON e.j = p.j AND e.d = p.t
+      WHERE (e.j, e.t) NOT IN (SELECT (j, t) FROM stuck))
+"""
+
 ORACLES: dict[str, str] = {
     "ingest_delimited_pipe": "SELECT * FROM customer",
     "ingest_resume_overwrite": "SELECT * FROM customer",
@@ -181,6 +200,18 @@ ORACLES: dict[str, str] = {
         SELECT 'no_files' AS entity_name, 'NO_FILES' AS status, 0 AS file_row_count, 0 AS n_audit_rows
         UNION ALL SELECT 'no_rows', 'EMPTY', 0, 0
         UNION ALL SELECT 'with_rows', 'SUCCESS', count(*), 1 FROM customer""",
+    "ingest_after_a_crash": """
+        SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey % 2 = 0""",
+    "ingest_with_rules": """
+        WITH counted AS (
+          SELECT 'customer' AS entity_name, 'has key' AS rule_name, count(*) AS n_rows, 0 AS n_failed, 0.0 AS share
+          FROM customer
+          UNION ALL SELECT 'customer', 'balance', count(*), count(*) FILTER (WHERE NOT c_acctbal >= 0), 0.9 FROM customer
+          UNION ALL SELECT 'orders', 'has key', count(*), 0, 0.0 FROM orders
+          UNION ALL SELECT 'orders', 'finished', count(*), count(*) FILTER (WHERE o_orderstatus = 'O'), 0.01 FROM orders)
+        SELECT entity_name, rule_name, n_rows, n_failed, n_failed <= share * n_rows AS passed,
+               CASE WHEN bool_and(n_failed <= share * n_rows) OVER (PARTITION BY entity_name) THEN n_rows ELSE 0 END AS n_loaded
+        FROM counted""",
     "ingest_derived_partitioned": """
         SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount,
                strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate,
@@ -290,6 +321,9 @@ ORACLES: dict[str, str] = {
                CASE WHEN k % 7 > 1 THEN concat('c', k % 3) END AS cluster_key,
                CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_libraries
         FROM children""",
+    "task_levels": _TASK_GRAPH + """
+        SELECT j AS esp_job_id, t AS task_name, cast(max(len) AS integer) AS level FROM paths GROUP BY ALL""",
+    "cyclic_tasks": _TASK_GRAPH + "SELECT j AS esp_job_id, t AS task_name FROM stuck",
     "depends_on_parse": _CHILDREN + """
         SELECT esp_job_id, task_name, dep AS depends_on FROM named""",
     "valid_dependencies": _CHILDREN + """

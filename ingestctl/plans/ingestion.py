@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -22,6 +22,7 @@ from ingestctl.operators.audit import (
 )
 from ingestctl.operators.config import require_unique_entities, select_config
 from ingestctl.operators.shape import derive, impose_schema
+from ingestctl.operators.rules import Rule, checked, require_passed, result_rows, rules_by_entity
 from ingestctl.operators.sinks import RAW_PARTITION, WriteCounts, staged_target, raw_rows, write_table
 from ingestctl.scratch import materialise, small_frame
 from ingestctl.sources.files import (
@@ -83,17 +84,23 @@ def ingest_all(
     run_id: str | None = None,
     max_files_per_step: int = 50_000,
     concurrency: int = 1,
+    rules: DataFrame | None = None,
 ) -> DataFrame:
     """Ingest every entity configured for a job; one entity's failure does not stop the others.
 
-    At most ``concurrency`` entities are loaded side by side.
+    At most ``concurrency`` entities are loaded side by side. ``rules`` is a table of (entity_name,
+    rule_name, condition, max_failed_share): the failures of a step are counted while it is written, the results
+    go to the audit table's name with ``_rules``, and a step that breaks a rule fails as a whole.
     """
     entities = select_config(config, project_id, dept_id, job_id).collect()
     require_unique_entities([row["entity_name"] for row in entities])
     run = {"job_id": job_id, "workflow_id": workflow_id, "run_id": run_id}
 
+    own_rules = rules_by_entity(rules)
+
     def load(row: Row) -> EntityResult:
-        return ingest_entity(spark, row["config_elements"], run, max_files_per_step, row["entity_name"])
+        name = row["entity_name"]
+        return ingest_entity(spark, row["config_elements"], run, max_files_per_step, name, own_rules.get(name))
 
     with ThreadPoolExecutor(max_workers=concurrency) as pool:
         results = list(pool.map(load, sorted(entities, key=lambda row: row["entity_name"])))
@@ -106,6 +113,7 @@ def ingest_entity(
     run: dict[str, str | None],
     max_files_per_step: int = 50_000,
     entity_name: str = "",
+    rules: list[Rule] | None = None,
 ) -> EntityResult:
     """Load the files of one entity that were not loaded before; whatever fails is in the result.
 
@@ -122,7 +130,7 @@ def ingest_entity(
     try:
         spec = IngestSpec.from_config(config)
         result.entity_name = spec.entity_name
-        for counts, n_ragged in _steps(spark, spec, run, max_files_per_step, files):
+        for counts, n_ragged in _steps(spark, spec, run, max_files_per_step, files, rules or []):
             if counts is None:
                 result.status = "EMPTY" if result.status == "NO_FILES" else result.status
                 continue
@@ -144,7 +152,12 @@ def ingest_entity(
 
 
 def _steps(
-    spark: SparkSession, spec: IngestSpec, run: dict[str, str | None], max_files: int, files: list[Row]
+    spark: SparkSession,
+    spec: IngestSpec,
+    run: dict[str, str | None],
+    max_files: int,
+    files: list[Row],
+    rules: list[Rule],
 ) -> Iterator[tuple[WriteCounts | None, int]]:
     """Loads step by step and gives each step's counts (``None`` without data) and number of ragged rows.
 
@@ -185,7 +198,7 @@ def _steps(
                 step = _parsed(spark, spec, for_target)
             if step is not None:
                 counts, n_ragged = _write_step(
-                    spec, step, mode, n_before, f"{load_id}-{step_no}", entries(for_target, not more)
+                    spec, step, mode, n_before, f"{load_id}-{step_no}", entries(for_target, not more), rules
                 )
                 n_before, loaded = counts.after, True
                 if counts.written or mode != "ignore":  # what is ignored stays pending
@@ -226,11 +239,13 @@ def load_rows(
     load_id: str,
     entries: dict,
     before: int | None = None,
+    check: Callable[[], None] = lambda: None,
 ) -> WriteCounts:
     """Write rows and ledger rows as one decision, in the given mode; tables of other formats than plain files
     are written first and recorded then.
 
-    ``entries`` are the ledger rows: the files as ``listed``, ``run_id`` and ``load_finished``.
+    ``entries`` are the ledger rows: the files as ``listed``, ``run_id`` and ``load_finished``. ``check`` may refuse
+    the rows when they are staged; other tables have them by then.
     """
     spark = df.sparkSession
     mode = mode.lower()
@@ -239,12 +254,19 @@ def load_rows(
     if target is not None:
         before = (spark.table(table).count() if existed else 0) if before is None else before
         written = publish.stage(df, target, load_id)
+        try:
+            check()
+        except Exception:
+            publish.finish(target, load_id)
+            raise
         publish.decide(target, load_id, publish.Manifest(written, mode == "overwrite", record=entries))
         publish.publish(target, load_id)
         record_once(spark, table, ledger_table, load_id, **entries)
         publish.finish(target, load_id)
         return WriteCounts(before, written if mode == "overwrite" else before + written, written)
     counts = write_table(df, table, mode, partition_column, rebalance=True, before=before)
+    if counts.written:
+        check()
     if counts.written or mode != "ignore":
         record_once(spark, table, ledger_table, load_id, **entries)
     return counts
@@ -298,10 +320,22 @@ def _write_step(
     n_before: int | None,
     load_id: str,
     entries: dict,
+    rules: list[Rule],
 ) -> tuple[WriteCounts, int]:
     df, ragged = step
+    spark, table = df.sparkSession, spec.target_table
+    with_rules = checked(df, rules) if rules else None
+
+    def check() -> None:
+        if with_rules is not None:
+            results = with_rules.results()
+            told = result_rows(spark, spec.entity_name, table, entries["run_id"], load_id, results)
+            append_rows(told, spec.rules_table)
+            require_passed(results)
+
+    rows = with_rules.rows if with_rules is not None else df
     counts = load_rows(
-        df, spec.target_table, mode, spec.partition_column, spec.ledger_table, load_id, entries, n_before
+        rows, table, mode, spec.partition_column, spec.ledger_table, load_id, entries, n_before, check
     )
     return counts, ragged.get["n_rows"] if counts.written and not spec.fixed_width else 0
 

@@ -109,6 +109,7 @@ class IngestSpec:
     partition_column: object
     audit_table: str
     ledger_table: str
+    rules_table: str
 
     @property
     def header(self) -> list[str]:
@@ -154,4 +155,5 @@ class IngestSpec:
             partition_column=config["Partition_Column"],
             audit_table=qualified(*audit, config["Audit_Table"]),
             ledger_table=qualified(*audit, f"{config['Audit_Table']}_files"),
+            rules_table=qualified(*audit, f"{config['Audit_Table']}_rules"),
         )
