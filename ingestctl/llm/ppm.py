@@ -162,27 +162,60 @@ def build(contexts: list[tuple[int, int]], after: dict[int, tuple[np.ndarray, np
 
 @dataclass(frozen=True)
 class Hot:
-    """Frequent grams in ascending order, and the log10 of the probability of the last symbol of each."""
+    """Frequent grams in a table of slots, and the log10 of the probability of the last symbol of each.
+
+    A gram's slot is the leading bits of its hash, or the next free one after it; at least two thirds of
+    the slots are free, so most grams are found, or found to be missing, at once.
+    """
 
     order: int
     grams: np.ndarray
     logs: np.ndarray
 
+    @classmethod
+    def of(cls, order: int, grams: np.ndarray, logs: np.ndarray) -> Hot:
+        size = 1 << (3 * len(grams) + 1).bit_length()
+        table, values = np.full(size, _FREE, dtype=np.int64), np.zeros(size)
+        slots, left = _slots(grams, size), np.arange(len(grams))
+        while len(left):
+            free = table[slots] == _FREE
+            table[slots[free]] = grams[left[free]]  # of several grams for a slot the last one stays
+            placed = table[slots] == grams[left]
+            values[slots[placed]] = logs[left[placed]]
+            slots, left = (slots[~placed] + 1) % size, left[~placed]
+        return cls(order, table, values)
+
     def score(self, text: bytes) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
         """What the grams known here add up to, and the others with their counts."""
         marked, total, others, times = symbols(text, self.order), 0.0, [], []
         for at in range(0, len(marked) - self.order, _BLOCK):
-            codes, counts = np.unique(_codes(marked[at : at + _BLOCK + self.order], self.order), return_counts=True)
-            places = np.searchsorted(self.grams, codes)
-            known = np.zeros(len(codes), dtype=bool)
-            within = places < len(self.grams)
-            known[within] = self.grams[places[within]] == codes[within]
-            total += float(self.logs[places[known]] @ counts[known])
-            others.append(codes[~known])
-            times.append(counts[~known])
+            codes = _codes(marked[at : at + _BLOCK + self.order], self.order)
+            slots = _slots(codes, len(self.grams))
+            unknown = []
+            while len(codes):
+                there = self.grams[slots]
+                hit = there == codes
+                total += float(self.logs[slots] @ hit)
+                free = there == _FREE
+                unknown.append(codes[free])
+                further = ~(hit | free)
+                codes, slots = codes[further], (slots[further] + 1) % len(self.grams)
+            rest, counts = np.unique(np.concatenate(unknown), return_counts=True)
+            others.append(rest)
+            times.append(counts)
         return total, others, times
 
 
+_FREE = -1
+
+
+def _slots(grams: np.ndarray, size: int) -> np.ndarray:
+    """The leading bits of a gram times an odd number (2**64 by the golden ratio); ``size`` is a power of two."""
+    hashed = grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hashed >>= np.uint64(65 - size.bit_length())
+    return hashed.view(np.int64)
+
+
 def _count(docs: DataFrame, order: int) -> DataFrame:
     """Partial counts of the tasks: words (word, n) and byte grams (gram, n)."""
 
@@ -401,8 +434,7 @@ def score_documents(
         known_grams = _known(grams)
         frequent = _frequent(known_grams, hot_grams).toArrow()
         codes, logs_of = frequent.column("gram").to_numpy(), frequent.column("log").to_numpy()
-        ascending = np.argsort(codes)
-        parts = (order, codes[ascending], logs_of[ascending])
+        parts = tuple(vars(Hot.of(order, codes, logs_of)).values())
     else:
         trie = build(*_contexts(grams, order, contexts), order)
         parts = (trie.order, trie.children, trie.logs, trie.column)
@@ -483,8 +515,9 @@ def score_documents(
         logs = known_grams.select("gram", "log")
         new = materialise(others.where("held_out").select("gram").distinct().join(logs, "gram", "leftanti"), "new")
         logs = logs.unionByName(materialise(_unseen(new, grams, order), "unseen"))
+        # each gram once, so the hash spreads them evenly: a table for each task, instead of sorting all texts' grams
         parts_of = parts_of.unionByName(
-            others.join(logs, "gram").select(
+            others.join(logs.hint("shuffle_hash"), "gram").select(
                 "row",
                 F.lit(0.0).alias("word_log"),
                 F.lit(0).cast("long").alias("known"),
