@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ingestctl.scratch import materialise
 
+#: Tasks that the sampled texts are spread over, which are few bytes but much work.
+FEATURE_TASKS = 16
+
 
 @dataclass(frozen=True)
 class Sample:
@@ -50,6 +53,10 @@ def sample(labels: DataFrame, label: str, held_out: Column, per_class: int, id_c
 
 
 def with_texts(chosen: Sample, docs: DataFrame, id_column: str, text: Column) -> DataFrame:
-    """(doc_id, label, text) of the sampled rows; the sample is bounded by its parameter, so it is broadcast."""
+    """(doc_id, label, text) of the sampled ids, one row each; the sample is bounded by its parameter, so it is broadcast.
+
+    Of an id's several rows the smallest text counts, so a repeated id adds no row to the sample.
+    """
     texts = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"))
-    return texts.join(F.broadcast(chosen.rows), "doc_id")
+    one = texts.join(F.broadcast(chosen.rows), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return one.repartition(FEATURE_TASKS)

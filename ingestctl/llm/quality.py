@@ -166,7 +166,7 @@ def fit(docs: DataFrame, chosen: Sample, id_column: str = "doc_id", text_column:
                     "doc_id": batch["doc_id"].astype(str),
                     "label": batch["label"],
                     "ids": [i.astype("<u2").tobytes() for i, _ in found],
-                    "counts": [np.minimum(c, 65_535).astype("<u2").tobytes() for _, c in found],
+                    "counts": [c.astype("<u4").tobytes() for _, c in found],
                 }
             )
 
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, chosen: Sample, id_column: str = "doc_id", text_column:
         .sort_values(["doc_id", "ids"])
     )
     features = [
-        (np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(c, "<u2").astype(np.int64))
+        (np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.int64))
         for i, c in zip(rows["ids"], rows["counts"])
     ]
     return train(features, rows["label"].tolist(), (chosen.weight(0), chosen.weight(1)))

@@ -56,6 +56,18 @@ def test_odd_rows(spark, score, marks):
     assert len(same) == 1
 
 
+def test_the_sample_is_bounded_by_rows(spark):
+    from pyspark.sql import functions as F
+
+    from ingestctl.llm.labels import sample, with_texts
+
+    docs = documents(spark, [(1, f"copy {i}") for i in range(200)] + [(i, "other") for i in range(2, 30)])
+    chosen = sample(labels(spark, [(i, i % 2, 0, "") for i in range(1, 30)]), "quality", F.lit(False), 100)
+    texts = with_texts(chosen, docs, "doc_id", F.col("text")).collect()
+    assert sorted(r["doc_id"] for r in texts) == list(range(1, 30))
+    assert next(r["text"] for r in texts if r["doc_id"] == 1) == "copy 0"
+
+
 @pytest.mark.parametrize("score", [Q.score_quality, T.score_toxicity])
 def test_empty_table(spark, score):
     assert rows(score(documents(spark, []), labels(spark, [(1, 1, 0, "x")]))) == []
