@@ -35,7 +35,6 @@ KEPT_WORDS = 300_000
 # stands for each byte (visible Latin-1 characters for themselves, then from U+0100 on).
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BEYOND_LATIN = regex.compile(r"[^\x00-\xFF]")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -66,10 +65,11 @@ class WordTokens:
 
     def _word(self, word: str) -> bytes:
         # a special token's text, or characters whose kind depends on the version of the Unicode tables
-        if "<|" in word or _BEYOND_LATIN.search(word):
+        ascii = word.isascii()
+        if "<|" in word or not (ascii or max(word) <= "\xFF"):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        plain = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+        plain = word.lower() if ascii else self.tokenizer.normalizer.normalize_str(word)
         return b"".join(map(self.pieces.__getitem__, self.parts(plain)))
 
     def encode(self, text: str) -> bytes:
