@@ -29,7 +29,7 @@ END_ID = 1
 #: Pieces that one task packs: some tens of MB in a Python worker.
 PIECES_PER_TASK = 65_536
 #: Words whose ids a worker keeps, per generation; two generations are kept.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 
 # Fixed values of the tokenizer file: its splitting pattern, and the printable character that
 # stands for each byte (visible Latin-1 characters for themselves, then from U+0100 on).
@@ -54,22 +54,26 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.parts = regex.compile(SPLIT_PATTERN).findall
         self.table = _byte_characters()
         self.pieces = Recent(self._piece, KEPT_WORDS)
         self.words = Recent(self._word, KEPT_WORDS)
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+        if not (piece.isascii() and piece.isprintable()):  # other characters do not stand for themselves
+            piece = piece.encode().decode("latin-1").translate(self.table)
+        ids = [t.id for t in self.model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         # a special token's text, or characters whose kind depends on the version of the Unicode tables
-        ascii = word.isascii()
-        if "<|" in word or not (ascii or max(word) <= "\xFF"):
+        if "<|" in word or not (word.isascii() or max(word) <= "\xFF"):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        plain = word.lower() if ascii else self.tokenizer.normalizer.normalize_str(word)
+        plain = word.lower()  # Latin-1 characters are in normal form, and so are their small letters
+        if plain.isalpha():
+            return self.pieces[plain]
         return b"".join(map(self.pieces.__getitem__, self.parts(plain)))
 
     def encode(self, text: str) -> bytes:

@@ -88,6 +88,14 @@ def test_every_character():
         assert not wrong, (len(wrong), wrong[:5])
 
 
+def test_every_pair_of_latin_characters():
+    latin = [chr(c) for c in range(256)]
+    texts = [a + b for a in latin for b in latin]
+    ids = [e.ids for e in TOKENIZER.encode_batch_fast(texts, add_special_tokens=False)]
+    wrong = [t for t, i in zip(texts, ids) if np.frombuffer(TOKENS.encode(t), "<u4").tolist() != i]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 TOKENS, TOKENIZER = P.WordTokens(P.public_tokenizer()), Tokenizer.from_file(P.public_tokenizer())
 
 
