@@ -196,6 +196,17 @@ def skip_leading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def skip_header_over_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading lines that fill several splits, as splits are small here."""
+    source = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    folder = _land(spark, source, "|", 2_000)
+    reader = spark.newSession()
+    reader.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    rows = files.read_delimited(reader, folder, source.columns, "|", skip=2_000)
+    return rows.select(*[F.col(name).cast("long").alias(name) for name in source.columns])
+
+
 def _customers_by_nation(spark: SparkSession, sf_dir: str) -> str:
     nations = fx.table(spark, sf_dir, "nation")
     customers = fx.table(spark, sf_dir, "customer").join(
@@ -764,6 +775,12 @@ def upstream_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expanded.select(F.col("node").alias("table_name"), F.col("depth").cast("long").alias("depth"))
 
 
+@query
+def upstream_closure_of_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = materialise(fx.lineage_edges(spark, sf_dir), "edges")
+    return lineage.upstream_tables_of_roots(edges, lineage.expanded_tables_of_roots(edges, fx.lineage_roots(spark, sf_dir)))
+
+
 @query
 def upstream_suffix_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.upstream_tables(*_lineage(spark, sf_dir, lineage.suffix_rule))

@@ -296,6 +296,11 @@ def lineage_root(spark: SparkSession, sf_dir: str) -> str:
     return first.selectExpr(_TABLE_NAME.format("n") + " AS root").first()["root"]
 
 
+def lineage_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One root for each nation."""
+    return table(spark, sf_dir, "nation").selectExpr(_TABLE_NAME.format("(n_nationkey + 1)") + " AS root")
+
+
 def table_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
         _TABLE_NAME.format("l_partkey") + " AS table_name",

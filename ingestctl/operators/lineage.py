@@ -27,43 +27,66 @@ def expanded_tables(
 ) -> DataFrame:
     """(node, depth) of every table whose parents are looked up, the root at depth 0.
 
-    Breadth-first, several levels a job: each frontier is joined to the edges, and of what was
-    not known before the job the smallest depth is kept. The edges are written once, bucketed by
-    child, so that only frontiers are shuffled. All levels are one table partitioned by job:
-    it is the visited set, so a cycle ends by itself. ``expand(parent, depth of child)`` limits which
-    parents are looked up in turn; as it may tell depths apart, levels are then taken one by one.
+    The edges are written once, bucketed by child, so that only frontiers are shuffled.
+    ``expand(parent, depth of child)`` limits which parents are looked up in turn; as it may tell
+    depths apart, levels are then taken one by one.
     """
-    spark = edges.sparkSession
-    known, step = new_folder(spark, "levels"), 1 if expand is not None else levels_per_job
-    schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("depth", T.IntegerType())])
+    start = small_frame(edges.sparkSession, [(root,)], T.StructType([T.StructField("node", T.StringType())]))
+    with bucketed_edges(edges) as by_child:
+        return _search(start, by_child, 1 if expand is not None else levels_per_job, expand)
+
+
+def expanded_tables_of_roots(edges: DataFrame, roots: DataFrame, levels_per_job: int = LEVELS_PER_JOB) -> DataFrame:
+    """(root, node, depth) for each root in ``roots`` (column ``root``): itself at depth 0, and all that is upstream.
+
+    All roots are searched at once, as pairs of a root and a table that it reaches: only pairs of the
+    result are ever made. A table that most roots reach is one hot key, so edges are a plain
+    written table here, whose join adaptive execution can split, as it cannot a bucketed one. Repeated
+    roots are one, null roots none, and a root without upstreams reaches itself alone.
+    """
+    start = roots.where(F.col("root").isNotNull()).select("root").distinct().withColumn("node", F.col("root"))
+    known = edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL")
+    return _search(start, materialise(known.distinct(), "edges"), levels_per_job)
+
+
+def _search(
+    start: DataFrame, by_child: DataFrame, step: int, expand: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
+    """The rows of ``start`` (node, and a root if it has one) and what they reach, with the smallest depth.
+
+    Breadth-first, ``step`` levels a job: each frontier is joined to the edges, and of what was
+    not known before the job the smallest depth is kept. All levels are one table partitioned by
+    job: it is the visited set, so a cycle ends by itself.
+    """
+    spark, known, key = start.sparkSession, new_folder(start.sparkSession, "levels"), start.columns
+    owner = [name for name in key if name != "node"]
+    schema = ", ".join(f"{name} string" for name in key) + ", depth int, job int"
 
     def visited() -> DataFrame:
-        return spark.read.schema("node string, depth int, job int").parquet(known)
+        return spark.read.schema(schema).parquet(known)
 
-    def write_job(nodes: DataFrame, job: int) -> tuple[int, int]:
-        """How many nodes were found, and how many at the last depth, counted while they are written."""
+    def write_job(nodes: DataFrame, job: int) -> int:
+        """How many nodes were found at the last depth, counted while they are written."""
         counted = Observation()
-        at_last = F.count_if(F.col("depth") == job * step).alias("n_last")
-        nodes = nodes.observe(counted, F.count(F.lit(1)).alias("n_nodes"), at_last)
+        nodes = nodes.observe(counted, F.count_if(F.col("depth") == job * step).alias("n_last"))
         nodes.withColumn("job", F.lit(job)).write.mode("append").partitionBy("job").parquet(known)
-        return counted.get["n_nodes"], counted.get["n_last"]
-
-    with bucketed_edges(edges) as by_child:
-        n_last, job = write_job(small_frame(spark, [(root, 0)], schema), 0)[1], 0
-        while n_last:
-            last = (F.col("job") == job) & (F.col("depth") == job * step)
-            frontier = visited().where(last).select(F.col("node").alias("child"))
-            found = []
-            for depth in range(job * step, (job + 1) * step):
-                parents = by_child.join(frontier, "child").select("parent")
-                if expand is not None:
-                    parents = parents.where(expand(F.col("parent"), F.lit(depth)))
-                frontier = parents.select(F.col("parent").alias("child")).distinct()
-                found.append(frontier.select(F.col("child").alias("node"), F.lit(depth + 1).alias("depth")))
-            nearest = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("depth").alias("depth"))
-            job += 1
-            _, n_last = write_job(nearest.join(visited().select("node"), "node", "left_anti"), job)
-    return visited().select("node", "depth")
+        return counted.get["n_last"]
+
+    n_last, job = write_job(start.withColumn("depth", F.lit(0)), 0), 0
+    while n_last:
+        last = (F.col("job") == job) & (F.col("depth") == job * step)
+        frontier = visited().where(last).select(*owner, F.col("node").alias("child"))
+        found = []
+        for depth in range(job * step, (job + 1) * step):
+            parents = by_child.join(frontier, "child").select(*owner, "parent")
+            if expand is not None:
+                parents = parents.where(expand(F.col("parent"), F.lit(depth)))
+            frontier = parents.select(*owner, F.col("parent").alias("child")).distinct()
+            found.append(frontier.select(*owner, F.col("child").alias("node"), F.lit(depth + 1).alias("depth")))
+        nearest = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.min("depth").alias("depth"))
+        job += 1
+        n_last = write_job(nearest.join(visited().select(key), key, "left_anti"), job)
+    return visited().select(*key, "depth")
 
 
 @contextmanager
@@ -100,6 +123,14 @@ def upstream_tables(edges: DataFrame, expanded: DataFrame) -> DataFrame:
     return reached_edges(edges, expanded).select(F.col("parent").alias("table_name")).distinct()
 
 
+def upstream_tables_of_roots(edges: DataFrame, expanded: DataFrame) -> DataFrame:
+    """(root, table_name): the distinct upstream tables of each root, itself only where a cycle leads back to it."""
+    reached = edges.select("child", F.col("parent").alias("table_name")).join(
+        expanded.select("root", F.col("node").alias("child")), "child"
+    )
+    return reached.select("root", "table_name").distinct()
+
+
 def lineage_tables(edges: DataFrame, expanded: DataFrame) -> DataFrame:
     """Tables that have upstreams, together with those upstreams."""
     reached = reached_edges(edges, expanded)

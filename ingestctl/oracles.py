@@ -185,6 +185,7 @@ ORACLES: dict[str, str] = {
     "ingest_raw_lines": """
         SELECT concat_ws('|', event_id, user_id, event_type) AS raw_data, 'p0' AS partition_column
         FROM events""",
+    "skip_header_over_splits": "SELECT o_orderkey, o_custkey FROM orders",
     "skip_leading_lines": """
         SELECT count(*) AS n_rows, min(o_orderkey) AS min_key, max(o_orderkey) AS max_key,
                cast(sum(o_custkey) AS bigint) AS sum_custkey
@@ -436,6 +437,13 @@ ORACLES: dict[str, str] = {
           SELECT e.parent, l.depth + 1 FROM levels l JOIN edges e ON e.child = l.table_name
           WHERE e.parent NOT IN (SELECT table_name FROM recurring.levels))
         SELECT table_name, cast(depth AS bigint) AS depth FROM levels""",
+    "upstream_closure_of_roots": _LINEAGE + """
+        , reach AS (
+          SELECT concat('dev.', CASE WHEN n % 2 = 0 THEN 'stg_wt' ELSE 'mart_tb' END, '.t', n) AS root, root AS node
+          FROM (SELECT n_nationkey + 1 AS n FROM nation)
+          UNION
+          SELECT r.root, e.parent FROM reach r JOIN edges e ON e.child = r.node)
+        SELECT DISTINCT r.root, e.parent AS table_name FROM reach r JOIN edges e ON e.child = r.node""",
     "upstream_suffix_rule": _LINEAGE + """
         , expanded AS (
           SELECT node FROM root

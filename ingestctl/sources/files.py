@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ingestctl.functions.text import fixed_width_columns
-from ingestctl.scratch import small_frame
+from ingestctl.scratch import new_folder, small_frame
 from ingestctl.spec import normalise_delimiter, parse_bytes, parse_names, parse_positions
 
 RAGGED_LINE = "_ragged_line"
@@ -61,8 +61,9 @@ def read_lines(
 
     Files are split as usual. Skipping costs no second read: with the cost of opening a file
     set to a full partition, every split gets a task of its own, so the row position in the
-    task is the line position in the split. The skipped lines must lie in a file's first split,
-    else this raises. With the size of all files known, small inputs are split finer, as Spark does by itself.
+    task is the line position in the split. Where the skipped lines reach beyond a file's first
+    split, a small table says how many to drop of each. With the size of all files known, small
+    inputs are split finer, as Spark does by itself.
     """
     if skip == 0:
         return _text_reader(spark, pattern).text(paths).select("value", "_metadata.file_path")
@@ -76,7 +77,7 @@ def read_lines(
         "_metadata.file_size",
         F.monotonically_increasing_id().alias("row_id"),
     )
-    _require_heads(numbered, skip)
+    drops = _lines_to_drop(spark, numbered, skip)
     view = f"lines_{uuid.uuid4().hex}"
     numbered.createGlobalTempView(view)
     try:
@@ -84,9 +85,13 @@ def read_lines(
     finally:
         spark.catalog.dropGlobalTempView(view)
     row_in_split = F.col("row_id").bitwiseAND(F.lit(_ROW_IN_TASK))
-    return lines.where((F.col("file_block_start") > 0) | (row_in_split >= skip)).select(
-        "value", "file_path"
-    )
+    if drops is None:
+        kept = lines.where((F.col("file_block_start") > 0) | (row_in_split >= skip))
+    else:
+        kept = lines.join(drops, ["file_path", "file_block_start"], "left").where(
+            row_in_split >= F.coalesce("to_drop", F.lit(0))
+        )
+    return kept.select("value", "file_path")
 
 
 def has_data(line: str) -> Column:
@@ -94,33 +99,40 @@ def has_data(line: str) -> Column:
     return F.col(line).rlike(r"[^\x00-\x20]")
 
 
-def _require_heads(numbered: DataFrame, skip: int) -> None:
-    """Raise if a file of several splits has fewer than ``skip`` lines in its first one.
+def _lines_to_drop(spark: SparkSession, numbered: DataFrame, skip: int) -> DataFrame | None:
+    """(file_path, file_block_start, to_drop) of the splits with lines to skip; None if first splits hold them all.
 
-    A task reads only that many lines of its split, and a frame whose files are not split is
-    not read at all.
+    A task reads as many lines of its split as are to be skipped, and only files whose first
+    split has fewer need more than that: the lines ahead of each split are then summed, a row
+    per split. A frame whose files are not split is not read at all.
     """
     if numbered.rdd.getNumPartitions() <= len(numbered.inputFiles()):
-        return
+        return None
 
-    def short_head(batches):
-        seen, path = 0, None
+    def lines_ahead(batches):
+        seen, split = 0, None
         for batch in batches:
-            if path is None:
-                first = batch.iloc[0]
-                if first["file_block_start"] > 0 or first["file_block_length"] >= first["file_size"]:
-                    return
-                path = first["file_path"]
+            if split is None:
+                split = batch.iloc[:1]
             seen += len(batch)
             if seen >= skip:
-                return
-        if path is not None:
-            yield batch.iloc[:1][["file_path"]]
-
-    heads = numbered.select("file_path", "file_block_start", "file_block_length", "file_size")
-    short = heads.mapInPandas(short_head, "file_path string").limit(1).collect()
-    if short:
-        raise ValueError(f"the {skip} lines to skip do not lie in the first split of {short[0]['file_path']}")
+                break
+        if split is not None:
+            yield split.assign(n_lines=min(seen, skip))
+
+    columns = "file_path string, file_block_start long, file_block_length long, file_size long"
+    heads = numbered.select("file_path", "file_block_start", "file_block_length", "file_size").mapInPandas(
+        lines_ahead, f"{columns}, n_lines long"
+    )
+    split_first = (F.col("file_block_start") == 0) & (F.col("file_block_length") < F.col("file_size"))
+    if not heads.where(split_first & (F.col("n_lines") < skip)).limit(1).collect():
+        return None
+    earlier = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(skip) - F.coalesce(F.sum("n_lines").over(earlier), F.lit(0))
+    drops = heads.select("file_path", "file_block_start", F.least("n_lines", left).alias("to_drop")).where("to_drop > 0")
+    path = new_folder(spark, "heads")
+    drops.write.parquet(path)
+    return spark.read.schema(drops.schema).parquet(path)
 
 
 def as_raw(lines: DataFrame) -> DataFrame:

@@ -126,18 +126,22 @@ def test_source_files(spark, tmp_path):
 
 
 @pytest.mark.parametrize("total_bytes", [None, 2_000])
-def test_skipped_lines_beyond_the_first_split_are_refused(spark, tmp_path, total_bytes):
-    path = tmp_path / "long_head.txt"
-    path.write_text("header line\n" * 200 + "data\n" * 50)
+@pytest.mark.parametrize("split", [64, 256, 1_000])
+def test_skipped_lines_may_reach_over_several_splits(spark, tmp_path, total_bytes, split):
+    long_line = "x" * 700  # longer than a split: some splits have no line
+    write(tmp_path, "long.txt", "header line\n" * 120 + f"{long_line}\n" + "header line\n" * 79 + "1\n" * 50)
+    write(tmp_path, "short.txt", "header line\n" * 150)
+    write(tmp_path, "dense.txt", "\n" * 200 + "2\n" * 300)
     keys = ["spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"]
     before = {key: spark.conf.get(key) for key in keys}
     try:
         for key in keys:
-            spark.conf.set(key, "256")
-        with pytest.raises(ValueError, match="first split"):
-            files.read_lines(spark, str(path), 200, total_bytes=total_bytes).count()
-        assert files.read_lines(spark, str(path), 5, total_bytes=total_bytes).count() == 245
+            spark.conf.set(key, str(split))
+        kept = files.read_lines(spark, str(tmp_path), 200, total_bytes=total_bytes)
+        assert sorted(row["value"] for row in kept.collect()) == ["1"] * 50 + ["2"] * 300
+        assert kept.columns == ["value", "file_path"]
+        assert files.read_lines(spark, f"{tmp_path}/long.txt", 5, total_bytes=total_bytes).count() == 245
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    assert files.read_lines(spark, str(path), 200, total_bytes=total_bytes).count() == 50
+    assert files.read_lines(spark, str(tmp_path), 200, total_bytes=total_bytes).count() == 350

@@ -75,6 +75,34 @@ def test_a_long_chain_with_short_cuts(spark, levels):
     assert {row["node"]: row["depth"] for row in expanded.collect()} == walk(pairs, name(0))[0]
 
 
+@pytest.mark.parametrize("levels", [1, 4])
+def test_many_roots_equal_a_walk_from_each(spark, levels):
+    pairs = random_edges(5)
+    starts = [name(i) for i in range(0, 60, 4)] + ["unknown"]
+    roots = spark.createDataFrame([(r, 1) for r in [*starts, starts[0], None]], "root string, node int")
+    edges = frame(spark, [*pairs, pairs[0], (None, "a"), ("b", None)])
+    expanded = lineage.expanded_tables_of_roots(edges, roots, levels)
+    walks = {root: walk(pairs, root) for root in starts}
+    assert rows(expanded) == sorted(((r, n, d) for r in starts for n, d in walks[r][0].items()), key=repr)
+    upstream = lineage.upstream_tables_of_roots(edges, expanded)
+    assert rows(upstream) == sorted(((r, t) for r in starts for t in walks[r][1]), key=repr)
+
+
+def test_no_roots(spark):
+    edges, roots = frame(spark, [("a", "b")]), spark.createDataFrame([], "root string")
+    assert rows(lineage.expanded_tables_of_roots(edges, roots)) == []
+    empty = lineage.expanded_tables_of_roots(frame(spark, []), spark.createDataFrame([("a",)], "root string"))
+    assert rows(empty) == [("a", "a", 0)]
+
+
+def test_a_table_that_all_roots_reach(spark):
+    """Its pairs are half of all pairs, and have one key in the join with the edges."""
+    pairs = [(f"r{i}", "hub") for i in range(3_000)] + [("hub", "x"), ("x", "y")]
+    roots = spark.range(3_000).selectExpr("concat('r', id) AS root")
+    expanded = lineage.expanded_tables_of_roots(frame(spark, pairs), roots)
+    assert expanded.groupBy("depth").count().sort("depth").collect() == [(d, 3_000) for d in range(4)]
+
+
 def test_edges_are_joined_where_they_lie(spark):
     with lineage.bucketed_edges(frame(spark, random_edges(1))) as edges:
         other = spark.createDataFrame([("a",)], "child string").hint("merge")
