@@ -13,8 +13,10 @@ def frame(spark, turns):
 
 
 def plain(turns):
-    chats = {}
-    for conv, turn, role, text in set(turns):
+    chats, alone = {}, [t for t in turns if t[0] is None]
+    for i, (_, turn, role, text) in enumerate(alone):
+        chats[("without id", i)] = [(turn is not None, turn or 0, role or "", text or "")]
+    for conv, turn, role, text in set(turns) - set(alone):
         chats.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
     chats = {c: tuple(t[2:] for t in sorted(ts)) for c, ts in chats.items()}
     result = []
@@ -22,7 +24,7 @@ def plain(turns):
         holders = [c for c, ts in chats.items() if ts == turns_of]
         if any(len(ts) > len(turns_of) and ts[: len(turns_of)] == turns_of for ts in chats.values()):
             continue
-        named = [c for c in holders if c is not None]
+        named = [c for c in holders if not isinstance(c, tuple)]
         text = "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns_of)
         result.append((min(named) if named else None, len(turns_of), len(holders), text))
     return sorted(result, key=repr)
@@ -71,6 +73,18 @@ def test_odd_rows(spark):
     assert rows(C.format_chats(frame(spark, turns))) == plain(collapsed)
 
 
+def test_rows_without_an_id_continue_nothing(spark):
+    turns = [*talk(1, "a"), *talk(None, "a", "b"), *talk(None, "a"), *talk(2, "c", "d"), *talk(None, "c")]
+    got = rows(C.format_chats(frame(spark, turns)))
+    assert got == plain(turns)
+    assert [r[:3] for r in got] == [(1, 1, 3), (2, 2, 1), (None, 1, 1)]
+
+
+def test_many_rows_without_an_id_make_no_window(spark):
+    turns = spark.range(20_000).selectExpr("cast(NULL AS long) AS conv_id", "id AS turn", "'user' AS role", "'same' AS text")
+    assert [tuple(r)[:3] for r in C.format_chats(turns).collect()] == [(None, 1, 20_000)]
+
+
 def test_many_copies(spark):
     turns = [t for conv in range(400) for t in talk(conv, "same", "turns")[: 1 + conv % 2]]
     assert rows(C.format_chats(frame(spark, turns)))[0][:3] == (1, 2, 200)
