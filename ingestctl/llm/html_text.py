@@ -2,10 +2,11 @@
 
 Each page becomes a tree of its elements. An element's density is its characters per tag,
 adjusted for characters and tags in links; the element whose children's densities add up
-highest heads the main text. Elements beside it join if they are at least as dense as the
-thinnest element between it and the body, and an element that is marked up as the article
-takes the place of a part of it. Elements that say they are something else (menus, forms,
-adverts, comments and the like) are left out before densities are taken.
+highest heads the main text. Elements beside the path from it to the body join if they are at
+least as dense as the thinnest element of that path, the body included. An element marked up as
+the article then takes the place of a part of it. Elements that say they are something else
+(menus, forms, adverts, comments and the like) are left out before densities are taken; inside
+an article, a name that says so only in part needs links or form controls as a second sign.
 """
 
 from __future__ import annotations
@@ -55,6 +56,16 @@ MARKS = frozenset(
 ARTICLE = frozenset(["article", "main"])
 #: The marks that count on an article element itself.
 ON_ARTICLE = frozenset("comment comments reply replies ad ads advert sponsored promo related".split())
+#: Words that say nothing beside a mark: a name of marks and these alone is a mark as a whole.
+NEUTRAL = frozenset(
+    "area article articles bar block body bottom box button buttons center col column container content group inner item "
+    "items left link links list main outer panel post posts right row section slot stories text top unit wrap wrapper".split()
+)
+#: Marks that count anywhere, whatever else a name says.
+EVERYWHERE = ON_ARTICLE - {"related"}
+CONTROLS = frozenset("form input select textarea button label".split())
+#: The share of an element's characters in links from which a partial mark inside an article counts.
+LINKED = 1 / 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -81,31 +92,60 @@ class Page:
     parts: list[tuple[int, str | None]] = field(default_factory=list)
 
 
-def _is_marked(tag: str, attributes: str) -> bool:
+def _mark(tag: str, attributes: str) -> int:
+    """0: no mark, 1: a name that is one only in part, 2: a whole one."""
     marks = ON_ARTICLE if tag == "article" else MARKS
+    found = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and not marks.isdisjoint(_MARK.findall(value)):
-            return True
-    return False
+            return 2
+        if name in ("class", "id", "role"):
+            for one in value.split():
+                words = set(_MARK.findall(one))
+                if not marks.isdisjoint(words):
+                    found = max(found, 2 if words <= marks | NEUTRAL or not words.isdisjoint(EVERYWHERE) else 1)
+    return found
+
+
+def _linked_or_forms(page: Page) -> list[bool]:
+    """Which elements hold form controls, or many of their characters in links."""
+    n = len(page.tags)
+    chars, links, controls, in_link = [0] * n, [0] * n, [tag in CONTROLS for tag in page.tags], [False] * n
+    for i in range(1, n):
+        in_link[i] = page.tags[i] == "a" or in_link[page.parents[i]]
+    for i, text in page.parts:
+        size = len("".join(text.split())) if text else 0
+        chars[i] += size
+        links[i] += size * in_link[i]
+    for i in range(n - 1, 0, -1):
+        up = page.parents[i]
+        chars[up] += chars[i]
+        links[up] += links[i]
+        controls[up] |= controls[i]
+    return [controls[i] or links[i] > LINKED * chars[i] for i in range(n)]
 
 
 def _left_out(page: Page) -> list[bool]:
     """Which elements cannot hold main text: by kind, or by a mark unless an article lies inside."""
     n = len(page.tags)
-    marked = [bool(a) and page.tags[i] not in ("html", "body", "main") and _is_marked(page.tags[i], a) for i, a in enumerate(page.attributes)]
+    marks = [_mark(page.tags[i], a) if a and page.tags[i] not in ("html", "body", "main") else 0 for i, a in enumerate(page.attributes)]
     articles, inside = [0] * (n + 1), [False] * n  # articles: how many begin before an element
     for i, tag in enumerate(page.tags):
-        articles[i + 1] = articles[i] + (tag in ARTICLE and not marked[i])
+        articles[i + 1] = articles[i] + (tag in ARTICLE and not marks[i])
         inside[i] = tag in ARTICLE or i > 0 and inside[page.parents[i]]
+    in_article = [False] * n
+    for i in range(1, n):
+        up = page.parents[i]
+        in_article[i] = in_article[up] or page.tags[up] == "article"
+    second = _linked_or_forms(page) if any(m == 1 and a for m, a in zip(marks, in_article)) else None
     out = [False] * n
     for i in range(1, n):
         kind = page.tags[i] in LEFT_OUT or page.tags[i] == "header" and not inside[i]
         wraps = articles[page.last[i] + 1] > articles[i + 1]
-        out[i] = out[page.parents[i]] or kind or marked[i] and not wraps
+        marked = marks[i] == 2 or marks[i] == 1 and (not in_article[i] or second[i])
+        out[i] = out[page.parents[i]] or kind or marked and not wraps
     return out
 
 
@@ -213,29 +253,53 @@ def _path(page: Page, i: int) -> list[int]:
     return found
 
 
-def heads(page: Page) -> list[int]:
-    """The elements that together hold the main text, in page order."""
-    density = densities(page)
+def density_sums(page: Page, density: list[float]) -> list[float]:
+    """For each element, the sum of its children's densities."""
     total = [0.0] * len(density)
     for i in range(1, len(density)):
         total[page.parents[i]] += density[i]
-    own_text = {i for i, text in page.parts if text and not page.out[i] and not text.isspace()}
-    if not own_text:
+    return total
+
+
+def dense_parts(page: Page) -> list[int]:
+    """The element of the largest density sum, and those beside its path to the body that reach the path's threshold."""
+    density = densities(page)
+    total = density_sums(page, density)
+    if not any(text and not page.out[i] and not text.isspace() for i, text in page.parts):
         return []
     best = max(range(len(total)), key=lambda i: (total[i], density[i], -i))
     path = _path(page, best)
-    marked = [i for i in path if page.tags[i] in ARTICLE]
-    if marked:
-        return [marked[0] if page.tags[marked[0]] == "article" else marked[-1]]
-    threshold = min([density[i] for i in path[:-1]] or [0.0])
+    threshold = min(density[i] for i in path)
+    on_path = set(path)
+    above = on_path - {best}
     beside = [
         i
         for i in range(1, len(density))
-        if page.parents[i] in path[1:] and i not in path and not page.out[i] and density[i] >= threshold and density[i] > 0
+        if page.parents[i] in above and i not in on_path and not page.out[i] and density[i] >= threshold and density[i] > 0
     ]
     return sorted([best, *beside])
 
 
+def _outermost_article(page: Page) -> list[int]:
+    """For each element, the outermost article around it or, outside articles, the outermost main element; -1: none."""
+    n = len(page.tags)
+    article, main, first = [-1] * n, [-1] * n, [-1] * n
+    for i in range(n):
+        up = page.parents[i]
+        article[i] = article[up] if i and article[up] >= 0 else i if page.tags[i] == "article" else -1
+        main[i] = main[up] if i and main[up] >= 0 else i if page.tags[i] == "main" else -1
+        if article[i] == i and main[i] >= 0:
+            first[main[i]] = i
+    # a main element that has articles says by them which of its parts are the article
+    return [article[i] if article[i] >= 0 else main[i] if main[i] >= 0 and first[main[i]] < 0 else -1 for i in range(n)]
+
+
+def heads(page: Page) -> list[int]:
+    """The elements that together hold the main text, in page order: the dense parts, widened to the articles around them."""
+    around = _outermost_article(page)
+    return sorted({around[i] if around[i] >= 0 else i for i in dense_parts(page)})
+
+
 def main_text(source: str) -> str:
     """The main text: one line per block, white space inside a block being one space; empty if there is none."""
     page = parse(source)
