@@ -4,7 +4,9 @@ Texts are cut into tokens, each tagged as the beginning of a secret, its inside
 The tags' scores come from the token's shape, the neighbouring words and the kind of file, and
 from which tag follows which. The field is trained on what the patterns find in a bounded
 sample, with the words around a secret hidden in some copies and the looks of particular kinds
-in others, so that what secrets have in common counts by itself. Most tokens are outside by more than any change of tag could gain; between those, the
+in others, so that what secrets have in common counts by itself. As the patterns know few
+alphabets, copies of the same places hold made-up secrets of others, and made-up names, numbers
+and links that merely look alike and are no secrets. Most tokens are outside by more than any change of tag could gain; between those, the
 best tags are found by the Viterbi algorithm, which is the same as finding them over the whole
 text.
 """
@@ -13,7 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import string
+import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +46,8 @@ WITH_SECRET, WITHOUT, WINDOWS_PER_TEXT = 300, 100, 4
 KEPT_WORDS = 200_000
 #: Tokens on either side of the middle of a training window.
 REACH = 10
+#: The same for copies with something made up in the middle.
+NARROW = 4
 EPOCHS, RATE, L2 = 3, 0.2, 1e-4
 #: The score of an inside tag without a beginning before it.
 NEVER = -12.0
@@ -47,6 +55,8 @@ NEVER = -12.0
 _TOKEN = re.compile(r"\w+(?:[+/.\-]+\w+)*|[^\w\s]")
 #: Where a token turns from one kind of character to another, but for a capital at its start.
 _TURN = re.compile(r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])|(?<=.)[A-Z](?=[a-z])")
+#: Parts of a token that look like words in a name.
+_WORDLIKE = re.compile(r"[A-Z]?[a-z]{2,}")
 _PATTERNS = {
     "assign": re.compile(ASSIGN, re.ASCII | re.IGNORECASE),
     "access": re.compile(f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", re.ASCII),
@@ -69,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def _shape(token: str) -> str:
-    kinds = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:64])
+    kinds = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token)
     return re.sub(r"(.)\1+", r"\1+", kinds)
 
 
@@ -103,6 +113,7 @@ def own_key(token: str) -> tuple:
         size >= 12 and 2 <= digits < size,
         min(3, token.count(".")),
         _case(token),
+        4 * sum(map(len, _WORDLIKE.findall(token))) // size,
     )
 
 
@@ -297,15 +308,97 @@ class Tagger:
 
 
 def all_spans(text: str, tagger: Tagger) -> list[tuple[int, int, str]]:
-    """Base spans, and the tagger's that touch none of them: (start, end, kind) by start, then kind as listed."""
+    """Base spans, and the tagger's that reach beyond them: (start, end, kind) by start, then kind as listed.
+
+    A span of the tagger takes in the signs + / = - that touch it, which belong to many encodings.
+    """
     base = [s[:3] for s in base_spans(text)]
-    ends = sorted((s[0], s[1]) for s in base)
-    more = [(a, b, "crf") for a, b in tagger.spans(text) if all(b <= x or y <= a for x, y in ends)]
+    covered: list[list[int]] = []
+    for start, end, _ in base:
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    starts = [start for start, _ in covered]
+    more = []
+    for start, end in tagger.spans(text):
+        i = bisect_right(starts, start) - 1
+        if i >= 0 and end <= covered[i][1]:
+            continue
+        while start and text[start - 1] in "+/-":
+            start -= 1
+        while end < len(text) and text[end] in "+/=-":
+            end += 1
+        more.append((start, end, "crf"))
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+_SMALL, _LARGE, _DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
+#: What may stand before a made-up secret, beside what stood there.
+LEADS = ([], [], ["password", "is"], ["token", ":"], ["key", "="], ["use", "the", "secret"], ["login", "with"], ["Bearer"])
+
+
+def _mixed(rng: random.Random, alphabets: tuple[str, ...], size: int) -> str:
+    """Signs of all alphabets, each at least once, in any order but with a letter or digit first."""
+    signs = [rng.choice(a) for a in alphabets] + rng.choices("".join(alphabets), k=max(0, size - len(alphabets)))
+    rng.shuffle(signs)
+    first = next(i for i, c in enumerate(signs) if c.isalnum())
+    signs[0], signs[first] = signs[first], signs[0]
+    return "".join(signs)
+
+
+def made_up_secret(rng: random.Random) -> str:
+    """A secret of an alphabet that the patterns do not know: keys with and without a prefix, encoded bytes, passwords."""
+    kind, size = rng.randrange(6), rng.randint(16, 44)
+    if kind == 0:
+        prefix = "".join(_mixed(rng, (_SMALL,), rng.randint(2, 6)) + rng.choice("_-.") for _ in range(rng.randint(1, 2)))
+        return prefix + _mixed(rng, (_SMALL, _LARGE, _DIGITS), size)
+    if kind == 1:
+        return _mixed(rng, (_SMALL, _LARGE, _DIGITS), size)
+    if kind == 2:
+        return _mixed(rng, (_SMALL, _LARGE, _DIGITS, "+/"), size) + "=" * rng.randrange(3)
+    if kind == 3:
+        return _mixed(rng, (_SMALL, _LARGE, _DIGITS, "-_"), size)
+    if kind == 4:
+        return _mixed(rng, (_LARGE, _DIGITS), size) if rng.random() < 0.5 else _mixed(rng, (_SMALL, _DIGITS), size)
+    word = _mixed(rng, (_SMALL,), rng.randint(3, 7)) if rng.random() < 0.5 else ""
+    return word + _mixed(rng, (_SMALL, _LARGE, _DIGITS), rng.randint(8, 12))
+
+
+def look_alike(rng: random.Random, words: list[str]) -> str:
+    """A name, number or link made of ``words`` that is no secret."""
+    some = [rng.choice(words) for _ in range(rng.randint(2, 4))]
+    number = str(rng.randint(0, 10 ** rng.randint(1, 6)))
+    kind = rng.randrange(11)
+    if kind == 0:
+        return some[0] + "".join(w.title() for w in some[1:]) + (number[:2] if rng.random() < 0.3 else "")
+    if kind == 1:
+        return "".join(w.title() for w in some) + (number[:2] if rng.random() < 0.5 else "")
+    if kind == 2:
+        return "_".join([*some, number])
+    if kind == 3:
+        return f"www.{some[0]}.com/{'-'.join(some)}/{number}"
+    if kind == 4:
+        return f"{'-'.join(some)}-{rng.randint(1990, 2030)}.{rng.choice(['html', 'pdf', 'png', 'csv', 'mp4'])}"
+    if kind == 5:
+        return "-".join("".join(rng.choices("0123456789abcdef", k=n)) for n in (8, 4, 4, 4, 12))
+    if kind == 6:
+        return "".join(rng.choices("0123456789abcdef", k=rng.randint(6, 10)))
+    if kind == 7:
+        return f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}:{number[:2]}"
+    if kind == 8:
+        return f"v{rng.randint(0, 9)}.{rng.randint(0, 30)}.{number[:2]}-{rng.choice(['beta', 'rc', 'alpha'])}{rng.randint(0, 9)}"
+    if kind == 9:
+        return f"{_mixed(rng, (_LARGE,), rng.randint(1, 4))}{rng.choice(['', '-'])}{number}{rng.choice(['', 'X', '-B'])}"
+    return "".join(w.upper() for w in some[:2]) + rng.choice(["", number])
+
+
 def training_windows(text: str) -> list[tuple[list[str], list[int], list[int]]]:
-    """Short runs of tokens around secrets and around other tokens with digits: (tokens, tags, file features)."""
+    """Short runs of tokens around secrets and around other tokens with digits: (tokens, tags, file features).
+
+    Copies follow in which something made up takes the middle's place: a secret anywhere, a
+    look-alike where no secret was. What is made up depends on the text alone.
+    """
     places = [m.span() for m in _TOKEN.finditer(text)]
     if not places:
         return []
@@ -327,9 +420,26 @@ def training_windows(text: str) -> list[tuple[list[str], list[int], list[int]]]:
     middles = middles[: WINDOWS_PER_TEXT // 2] + others[: WINDOWS_PER_TEXT // 2] + [len(places) // 2]
     file = [value for _, value in file_features(text)]
     windows = []
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
     for middle in middles[:WINDOWS_PER_TEXT]:
         a, b = max(0, middle - REACH), middle + REACH + 1
-        windows.append(([text[x:y] for x, y in places[a:b]], tags[a:b], file))
+        tokens = [text[x:y] for x, y in places[a:b]]
+        windows.append((tokens, tags[a:b], file))
+        first, last = middle, middle + 1
+        while last < len(tags) and tags[last] == INSIDE:
+            last += 1
+        before, after = slice(max(0, first - NARROW), first), slice(last, last + NARROW)
+        left, right = ([text[x:y] for x, y in places[s]] for s in (before, after))
+        words = [t.lower() for t in tokens if t.isalpha() and 1 < len(t) < 12] or ["item"]
+        made = [(made_up_secret(rng), rng.choice(LEADS), [BEGIN, INSIDE])]
+        if tags[middle] == OUTSIDE:
+            made += [(look_alike(rng, words), [], [OUTSIDE, OUTSIDE]) for _ in range(2)]
+        for new, lead, (begin, inside) in made:
+            parts = _TOKEN.findall(new)
+            new_tags = [begin] + [inside] * (len(parts) - 1)
+            windows.append(
+                (left + lead + parts + right, tags[before] + [OUTSIDE] * len(lead) + new_tags + tags[after], file)
+            )
     return windows
 
 
@@ -422,9 +532,15 @@ def masked_column(text: Column, model: Model) -> Column:
     return masked(text)
 
 
-def mask_secrets(docs: DataFrame, text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
-    """All rows of ``docs`` with their secrets masked; the length is brought up to date where something was masked."""
-    model = fit(docs, text_column)
+def mask_secrets(
+    docs: DataFrame, text_column: str = "text", length_column: str = "n_chars", model: Model | None = None
+) -> DataFrame:
+    """All rows of ``docs`` with their secrets masked; the length is brought up to date where something was masked.
+
+    Null and empty texts and their lengths stay as they are; repeated rows come out as often as
+    they go in, an empty table gives an empty result, and other columns are kept.
+    """
+    model = model or fit(docs, text_column)
     own = docs.select(F.struct("*").alias("whole"), masked_column(whole_text(text_column), model).alias("masked"))
     old = {name: F.col("whole")[name] for name in docs.columns}
     changed = F.col("masked") != F.coalesce(old[text_column].cast("string"), F.lit(""))
