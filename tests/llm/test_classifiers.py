@@ -119,3 +119,83 @@ def test_counterfactual_term_frees_neutral_mentions(monkeypatch):
 def test_counterfactual_swaps_within_a_kind():
     assert T.counterfactual({"a", "woman"}) == {"a", "man"}
     assert T.counterfactual({"a", "plain", "text"}) is None
+
+
+def test_swaps_are_of_one_mention_in_one_sentence():
+    def changed(gone, new):
+        return {tuple(sorted(set(T.word_features(a)) - set(T.word_features(b)))) for a, b in ((gone, new), (new, gone))}
+
+    real, made_up = T.swaps("A woman and a man met. Frauen kamen!")
+    assert [share for *_, share in real] == pytest.approx([1 / 3] * 3)
+    told = [{gone, new} for gone, new, _ in real]
+    assert changed("frauen", "männer") in told
+    # beside the man, the woman's swap takes only what is hers, and brings nothing
+    assert {(), tuple(sorted(set(T.word_features("woman")) - set(T.word_features("man"))))} in told
+    assert len(made_up) == 1
+    for text in ("nothing here", "", "..."):
+        real, made_up = T.swaps(text)
+        assert real == [] and len(made_up) == 1 and made_up == T.swaps(text)[1]
+    again, _ = T.swaps("Muslims came. Muslims came. Jews came.")
+    assert sorted(share for *_, share in again) == pytest.approx([1 / 3, 2 / 3])
+
+
+def test_every_language_has_terms():
+    for word in ("muslims", "muslime", "musulmans", "musulmanes", "frau", "femme", "mujer", "woman"):
+        assert T.FOLLOWING[word] != word
+
+
+def test_swaps_of_sentences_close_the_gap_between_groups(monkeypatch):
+    """With the penalty, neutral sentences about a group that insults often name score like those about another."""
+    toxic = [f"Good day. Those muslims are vermin {i}. Bye." for i in range(60)]
+    neutral = [f"Good day. Those people are fine {i}. Bye." for i in range(50)] + ["Jews met today."] * 10
+    texts, marks = toxic + neutral, [1] * 60 + [0] * 60
+    monkeypatch.setattr(T, "L1", 0.1)
+    features = [(T.text_features(set(T.WORD.findall(t.lower()))), None) for t in texts]
+
+    def gap(strength):
+        monkeypatch.setattr(T, "COUNTERFACTUAL", strength)
+        scorer = T.Scorer(T.train(features, marks, [sum(T.swaps(t), []) for t in texts]))
+        assert scorer.log_odds("they are vermin") > scorer.log_odds("they are fine")
+        return abs(scorer.log_odds("muslims opened a school") - scorer.log_odds("christians opened a school"))
+
+    assert gap(2.0) < gap(0.0) / 2
+
+
+@pytest.mark.parametrize("strength", [0.0, 2.0])
+def test_training_goes_down_the_stated_loss(strength, monkeypatch):
+    """Without its L1 and L2 terms, one step equals the gradient of log loss plus half the squared change, by differences."""
+    monkeypatch.setattr(T, "COUNTERFACTUAL", strength)
+    step = {}
+
+    class Spy(T._Ftrl):
+        def weights(self, at):
+            return np.linspace(-0.5, 0.7, len(self.z))[at]
+
+        def step(self, at, gradient, weights):
+            for i in at:
+                step[int(i)] = step.get(int(i), 0.0) + float(gradient)
+
+    monkeypatch.setattr(T, "_Ftrl", Spy)
+    monkeypatch.setattr(T, "EPOCHS", 1)
+    monkeypatch.setattr(T, "LEAST_TEXTS", 1)
+    own = [np.array([1, 2, 3], np.uint32), np.array([2, 4, 5], np.uint32)]
+    swapped = [[((1, 3), (4,), 0.5), ((2,), (5, 9), 0.5)], []]
+    marks = [1, 0]
+    T.train([(o, None) for o in own], marks, swapped)
+
+    def loss(w):
+        total = 0.0
+        for o, mark in zip(own, marks):
+            z = w[[i - 1 for i in o]].sum() + w[5]
+            total += np.log1p(np.exp(-z if mark else z))
+        for gone, new, share in swapped[0]:
+            change = sum(w[i - 1] for i in gone if i < 6) - sum(w[i - 1] for i in new if i < 6)
+            total += strength * share * change**2 / 2
+        return total
+
+    at = np.linspace(-0.5, 0.7, 6)
+    for i in range(6):
+        up, down = at.copy(), at.copy()
+        up[i] += 1e-6
+        down[i] -= 1e-6
+        assert step.get(i, 0.0) == pytest.approx((loss(up) - loss(down)) / 2e-6, abs=1e-5)
