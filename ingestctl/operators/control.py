@@ -8,7 +8,7 @@ from __future__ import annotations
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,7 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 
+_ENDED = f"status IN ('{COMPLETED}', '{FAILED}')"
 _FIRST_WRITTEN = ["proj_id", "dept_id", "parent_job_id", "workflow_id", "run_url"]
 
 
@@ -61,54 +62,73 @@ def require_open_batch(batches: DataFrame) -> int:
     return batch_id
 
 
+def event_order() -> Column:
+    """Where an event stands among those of its run: by ``seq``, then time, then status, a start before an end.
+
+    Events that still tie are alike in all that the fold reads.
+    """
+    rank = F.when(F.col("status") == IN_PROGRESS, 0).when(F.col("status") == FAILED, 1).when(F.col("status") == COMPLETED, 2)
+    return F.struct("seq", "ts", F.coalesce(rank, F.lit(3)).alias("rank"), "status", "error_message", *_FIRST_WRITTEN)
+
+
+def _deciding_seqs(events: DataFrame) -> DataFrame:
+    """(RUN_KEY, wanted_seq): at most five sequence numbers of each run, at which the events lie that its status depends on.
+
+    They are of the first, the last, and the last that had an error message, ended the run, or
+    started it. Numbers alone are folded: such aggregates stay in a hash map and combine before
+    the shuffle, so a long run costs no task more than any other.
+    """
+    counting = [
+        F.min("seq").alias("opened"),
+        F.max("seq").alias("latest"),
+        F.expr("max(seq) FILTER (WHERE error_message <> '')").alias("failing"),
+        F.expr(f"max(seq) FILTER (WHERE {_ENDED})").alias("ending"),
+        F.expr(f"max(seq) FILTER (WHERE status = '{IN_PROGRESS}')").alias("starting"),
+    ]
+    names = ["opened", "latest", "failing", "ending", "starting"]
+    wanted = F.explode(F.array_distinct(F.array_compact(F.array(*names)))).alias("wanted_seq")
+    return materialise(events.groupBy(*RUN_KEY).agg(*counting).select(*RUN_KEY, wanted), "deciding")
+
+
+def compact_events(events: DataFrame) -> DataFrame:
+    """The events that the current status depends on: those at the first and last sequence numbers of each run, and at
+    the last that had an error message, ended the run, or started it; of events at one number, all.
+
+    ``status_view`` gives the same for these as for all. Each event is a small file of its own
+    until the table is rewritten as this frame.
+    """
+    wanted = _deciding_seqs(events).toDF(*[f"run_{i}" for i in range(len(RUN_KEY))], "wanted_seq")
+    same = events["seq"] == wanted["wanted_seq"]
+    for i, key in enumerate(RUN_KEY):
+        same = same & events[key].eqNullSafe(wanted[f"run_{i}"])
+    return events.join(wanted, same, "left_semi")
+
+
 def status_view(events: DataFrame) -> DataFrame:
-    """Current status per (batch_id, job_id, run_id) from events ordered by ``seq``.
+    """Current status per (batch_id, job_id, run_id) from events in their order (``event_order``).
 
     The first event opens the run: it gives the start time, whatever its status, and the
     descriptive columns. Each later event sets the status; IN_PROGRESS sets the start time,
     COMPLETED and FAILED the end time; a non-empty error message replaces the former one.
 
-    Numbers and times are folded first: such aggregates stay in a hash map and combine before
-    the shuffle, so a long run costs no task more than any other. The texts of the few events
-    that count are then looked up by run and ``seq``; the folded table has been written, so
-    its true size decides whether it is broadcast, and with ``seq`` in the key a shuffle of a
-    long run's events spreads them evenly.
+    The few events that count are found by number first and looked up by run and ``seq``; the
+    numbers have been written, so their true size decides whether they are broadcast, and with
+    ``seq`` in the key a shuffle of a long run's events spreads them evenly.
     """
-    ended = f"status IN ('{COMPLETED}', '{FAILED}')"
-    folded = materialise(
-        events.groupBy(*RUN_KEY).agg(
-            F.min("seq").alias("first_seq"),
-            F.max("seq").alias("last_seq"),
-            F.expr("max(seq) FILTER (WHERE error_message <> '')").alias("error_seq"),
-            F.expr(f"max(seq) FILTER (WHERE {ended})").alias("ended_seq"),
-            F.expr("min_by(ts, seq)").alias("opened"),
-            F.expr(f"max_by(ts, seq) FILTER (WHERE status = '{IN_PROGRESS}')").alias("restarted"),
-            F.expr(f"max_by(ts, seq) FILTER (WHERE {ended})").alias("ended"),
-        ),
-        "runs",
-    )
-    runs = folded.select(
-        *[F.col(key).alias(f"run_{i}") for i, key in enumerate(RUN_KEY)],
-        F.coalesce("restarted", "opened").alias("start_time"),
-        F.when(F.col("ended_seq") > F.col("first_seq"), F.col("ended")).alias("end_time"),
-        F.explode(F.array_distinct(F.array_compact(F.array("first_seq", "last_seq", "error_seq")))).alias(
-            "wanted_seq"
-        ),
-    )
-    same_event = events["seq"] == runs["wanted_seq"]
-    for i, key in enumerate(RUN_KEY):
-        same_event = same_event & events[key].eqNullSafe(runs[f"run_{i}"])
-    told = events.join(runs, same_event).groupBy(*RUN_KEY, "start_time", "end_time").agg(
-        F.max_by("status", "seq").alias("status"),
-        F.expr("max_by(error_message, seq) FILTER (WHERE error_message <> '')").alias("error_message"),
-        F.min_by(F.struct(*_FIRST_WRITTEN), "seq").alias("first"),
+    ordered = compact_events(events).withColumn("event_order", event_order())
+    told = ordered.groupBy(*RUN_KEY).agg(
+        F.max_by("status", "event_order").alias("status"),
+        F.expr("max_by(error_message, event_order) FILTER (WHERE error_message <> '')").alias("error_message"),
+        F.expr(f"max_by(ts, event_order) FILTER (WHERE status = '{IN_PROGRESS}')").alias("restarted"),
+        F.min("event_order").alias("first"),
+        F.expr(f"max(event_order) FILTER (WHERE {_ENDED})").alias("ended"),
     )
     return told.select(
         *RUN_KEY,
         *[F.col("first")[name].alias(name) for name in _FIRST_WRITTEN],
         "status",
-        "start_time",
-        "end_time",
+        F.coalesce("restarted", F.col("first")["ts"]).alias("start_time"),
+        F.when(F.col("ended") > F.col("first"), F.col("ended")["ts"]).alias("end_time"),
         F.coalesce("error_message", F.lit("")).alias("error_message"),
     )
 
@@ -150,6 +170,13 @@ def parent_jobs(jobs: DataFrame, parameters: DataFrame) -> DataFrame:
     return jobs.join(materialise(first, "parents"), key, "left")
 
 
+def _last_seq(events: DataFrame, batch_id: int, job_id: str, run_id: str) -> int | None:
+    """The largest ``seq`` of a run; reads the files of its batch alone where the table is partitioned by batch."""
+    mine = events.where(F.col("batch_id").eqNullSafe(F.lit(batch_id)))
+    mine = mine.where(F.col("job_id").eqNullSafe(F.lit(job_id)) & F.col("run_id").eqNullSafe(F.lit(run_id)))
+    return mine.agg(F.max("seq").alias("last")).first()["last"]
+
+
 def record_event(
     spark: SparkSession,
     table: str,
@@ -167,12 +194,17 @@ def record_event(
     seq: int | None = None,
     ts: datetime | None = None,
 ) -> None:
-    """Append one status event; ``seq`` and ``ts`` default to the clock.
+    """Append one status event; ``ts`` defaults to the clock, ``seq`` to the clock or, if the run has a later
+    event already, to one more than that event's.
 
-    The fold goes by ``seq`` alone: drivers whose clocks differ should give their own.
+    So a clock that is behind, or is turned back, cannot put an event before those it followed.
     """
+    known = table_exists(spark, table)
+    if seq is None:
+        last = _last_seq(spark.table(table), batch_id, job_id, run_id) if known else None
+        seq = max(time.time_ns(), 0 if last is None else last + 1)
     row = (
-        time.time_ns() if seq is None else seq,
+        seq,
         ts or datetime.now(timezone.utc),
         batch_id,
         proj_id,
@@ -186,32 +218,5 @@ def record_event(
         run_url,
     )
     writer = small_frame(spark, [row], EVENT_SCHEMA).write.mode("append")
-    columns = partition_columns(spark, table) if table_exists(spark, table) else ["batch_id"]
+    columns = partition_columns(spark, table) if known else ["batch_id"]
     (writer.partitionBy(*columns) if columns else writer).saveAsTable(table)
-
-
-def compact_events(events: DataFrame) -> DataFrame:
-    """The events that the current status depends on, at most five of each run: the first, the last, and the
-    last that had an error message, ended the run, or started it.
-
-    ``status_view`` gives the same for these as for all. Each event is a small file of its own
-    until the table is rewritten as this frame.
-    """
-    counting = [
-        F.min("seq").alias("opened"),
-        F.max("seq").alias("latest"),
-        F.expr("max(seq) FILTER (WHERE error_message <> '')").alias("failing"),
-        F.expr(f"max(seq) FILTER (WHERE status IN ('{COMPLETED}', '{FAILED}'))").alias("ending"),
-        F.expr(f"max(seq) FILTER (WHERE status = '{IN_PROGRESS}')").alias("starting"),
-    ]
-    names = ["opened", "latest", "failing", "ending", "starting"]
-    folded = materialise(
-        events.groupBy(*RUN_KEY)
-        .agg(*counting)
-        .select(*RUN_KEY, F.explode(F.array_distinct(F.array_compact(F.array(*names)))).alias("seq")),
-        "counting",
-    ).toDF(*[f"run_{i}" for i in range(len(RUN_KEY))], "wanted_seq")
-    same = events["seq"] == folded["wanted_seq"]
-    for i, key in enumerate(RUN_KEY):
-        same = same & events[key].eqNullSafe(folded[f"run_{i}"])
-    return events.join(folded, same, "left_semi")

@@ -158,3 +158,46 @@ def test_events_are_partitioned_by_batch(spark, database):
     for batch in (1, 2):
         control.record_event(spark, f"{database}.ev", batch_id=batch, job_id="j", run_id="r", status="IN_PROGRESS")
     assert spark.sql(f"SHOW PARTITIONS {database}.ev").count() == 2
+
+
+def test_events_at_one_number_have_an_order(spark):
+    """By time, then a start before an end; the same however the rows are dealt, and after compaction."""
+    at = datetime(2024, 1, 1)
+
+    def event(run, seq, second, status, message="", workflow="w"):
+        return (seq, at + timedelta(seconds=second), 1, "p", "d", "j", None, status, message, workflow, run, "u")
+
+    events = [
+        event("a", 5, 0, "IN_PROGRESS"), event("a", 5, 3, "COMPLETED"),
+        event("b", 5, 1, "COMPLETED"), event("b", 5, 1, "IN_PROGRESS"),
+        event("c", 5, 2, "FAILED", "e1"), event("c", 5, 1, "IN_PROGRESS", workflow="v"), event("c", 5, 2, "FAILED", "e2"),
+        event("d", 5, 0, "COMPLETED"), event("d", 5, 0, "COMPLETED"),
+    ]
+    expected = [
+        ("a", "COMPLETED", at, at + timedelta(seconds=3), "", "w"),
+        ("b", "COMPLETED", at + timedelta(seconds=1), at + timedelta(seconds=1), "", "w"),
+        ("c", "FAILED", at + timedelta(seconds=1), at + timedelta(seconds=2), "e2", "v"),
+        ("d", "COMPLETED", at, None, "", "w"),
+    ]
+    for seed in range(3):
+        random.Random(seed).shuffle(events)
+        frame = spark.createDataFrame(events, control.EVENT_SCHEMA).repartition(3)
+        for one in (frame, control.compact_events(frame)):
+            view = control.status_view(one)
+            got = view.select("run_id", "status", "start_time", "end_time", "error_message", "workflow_id").orderBy("run_id")
+            assert [tuple(r) for r in got.collect()] == expected
+
+
+def test_a_clock_that_is_behind_cannot_reopen_a_run(spark, database, monkeypatch):
+    table = f"{database}.skewed_events"
+    clock = iter([5_000, 4_000, 3_000, 9_000, 1_000])
+    monkeypatch.setattr(control.time, "time_ns", lambda: next(clock))
+    for run, status in (("r", "IN_PROGRESS"), ("r", "COMPLETED"), ("other", "IN_PROGRESS"), ("r", "IN_PROGRESS"), ("r", "FAILED")):
+        control.record_event(spark, table, batch_id=1, job_id="j", run_id=run, status=status)
+    held = spark.table(table).orderBy("seq").select("run_id", "seq", "status").collect()
+    assert [tuple(r) for r in held] == [
+        ("other", 3_000, "IN_PROGRESS"), ("r", 5_000, "IN_PROGRESS"), ("r", 5_001, "COMPLETED"), ("r", 9_000, "IN_PROGRESS"),
+        ("r", 9_001, "FAILED"),
+    ]
+    status = {r["run_id"]: r["status"] for r in control.status_view(spark.table(table)).collect()}
+    assert status == {"r": "FAILED", "other": "IN_PROGRESS"}
