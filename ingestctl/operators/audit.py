@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ingestctl.operators.sinks import WriteCounts
 from ingestctl.scratch import small_frame
-from ingestctl.sources.tables import table_exists
+from ingestctl.sources.tables import partition_columns, table_exists
 from ingestctl.spec import IngestSpec
 
 _one_append_at_a_time = Lock()
@@ -112,7 +112,7 @@ def record_once(spark: SparkSession, table: str, ledger_table: str, load_id: str
         paths = {r["file_path"] for r in held.select("file_path").collect()}
         files = [file for file in files if file["file_path"] not in paths]
     if files:
-        append_rows(ledger_rows(spark, table, files, load_id=load_id, **row), ledger_table)
+        append_ledger(ledger_rows(spark, table, files, load_id=load_id, **row), ledger_table)
 
 
 def load_is_unfinished(spark: SparkSession, ledger_table: str, table: str) -> bool:
@@ -136,6 +136,15 @@ def append_rows(rows: DataFrame, table: str) -> None:
         rows.write.mode("append").saveAsTable(table)
 
 
+def append_ledger(rows: DataFrame, ledger_table: str) -> None:
+    """Append to the ledger, which a new one is partitioned by table for: a load reads the history of its own tables alone."""
+    with _one_append_at_a_time:
+        spark = rows.sparkSession
+        columns = partition_columns(spark, ledger_table) if table_exists(spark, ledger_table) else ["table_name"]
+        writer = rows.write.mode("append")
+        (writer.partitionBy(*columns) if columns else writer).saveAsTable(ledger_table)
+
+
 def unprocessed_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:
     """Listed files that the ledger does not have in this version."""
     return listing.join(ledger.select(*LEDGER_KEY), LEDGER_KEY, "left_anti")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ingestctl.operators import publish
 from ingestctl.operators.audit import (
+    append_ledger,
     append_rows,
     audit_row,
     ledger_rows,
@@ -214,7 +215,7 @@ def _steps(
         yield counts, n_ragged
     if unmarked:
         mark = ledger_rows(spark, target, [], run.get("run_id"), load_id=load_id, load_finished=True)
-        append_rows(mark, spec.ledger_table)
+        append_ledger(mark, spec.ledger_table)
 
 
 def _complete(spark: SparkSession, spec: IngestSpec, table: str) -> list[publish.Manifest]:

@@ -260,3 +260,35 @@ def test_many_partition_values_make_few_files(spark, database, tmp_path):
     run(spark, entity(database, tmp_path, Partition_Column="b"))
     files = spark.table(f"{database}.e").inputFiles()
     assert len(files) <= 20
+
+
+def test_a_load_reads_the_ledger_of_its_own_tables_alone(spark, database, tmp_path):
+    """And a file that comes late, older than all that were loaded, is loaded."""
+    from ingestctl.operators import audit
+    from ingestctl.sources.files import discover_files
+
+    config = entity(database, tmp_path)
+    put(tmp_path, "new.txt", "h\n1|x\n", 1_700_000_000)
+    assert run(spark, config)["e"]["status"] == "SUCCESS"
+    ledger = f"{database}.ingestion_audit_files"
+    other = audit.ledger_rows(spark, "another.table", spark.table(ledger).collect(), "r")
+    audit.append_ledger(other, ledger)
+    own = f"`{database}`.`e`"
+    assert {r["table_name"] for r in spark.table(ledger).collect()} == {own, "another.table"}
+    listing = discover_files(spark, str(tmp_path), "*.txt")
+    pending = audit.unprocessed_for(spark, listing, ledger, [own])
+    assert pending.collect() == []
+    physical = pending._jdf.queryExecution().executedPlan().toString()
+    assert any("PartitionFilters: [" in line and "table_name" in line.split("PartitionFilters: [")[1].split("]")[0] for line in physical.splitlines())
+    put(tmp_path, "late.txt", "h\n2|y\n", 1_600_000_000)
+    assert run(spark, config)["e"]["n_files"] == 1
+    assert sorted(r["a"] for r in spark.table(f"{database}.e").collect()) == ["1", "2"]
+
+
+def test_a_ledger_without_partitions_goes_on(spark, database, tmp_path):
+    from ingestctl.operators import audit
+
+    spark.createDataFrame([], audit.LEDGER_SCHEMA).write.saveAsTable(f"{database}.ingestion_audit_files")
+    put(tmp_path, "a.txt", "h\n1|x\n")
+    config = entity(database, tmp_path)
+    assert run(spark, config)["e"]["status"] == "SUCCESS" and run(spark, config)["e"]["status"] == "NO_FILES"
