@@ -5,6 +5,10 @@ a trie. One inserted letter raises one count by one, a deleted one lowers one, a
 does both or neither. So a depth-first search that may spend one surplus and one deficit on its
 way down reaches every word one edit away; the words of the leaves it ends in are verified.
 
+Of two near words whose counts differ, one has the larger count in the first group that tells
+them apart. A search that spends its surplus before its deficit is only the other word's, so it
+finds such a pair once, for both words; words with the same counts find each other.
+
 Nodes with many words are inner nodes; below them lie subtries of a bounded size, each built in
 the task it belongs to. A word goes once to the subtrie it lies in, and as a question to all
 that its search reaches from the inner nodes. Only the inner nodes are known everywhere: there
@@ -170,8 +174,11 @@ class Trie:
                 child = inner
             node, level = child, level + 1
 
-    def reached(self, counts: tuple[int, ...], surplus: int, deficit: int) -> list[Leaf]:
-        """The leaves within one surplus and one deficit, of which those given have been spent above this trie."""
+    def reached(self, counts: tuple[int, ...], surplus: int, deficit: int, ordered: bool = False) -> list[Leaf]:
+        """The leaves within one surplus and one deficit, of which those given have been spent above this trie.
+
+        With ``ordered``, the deficit is spent after the surplus only.
+        """
         leaves = []
         if self.level == len(counts):
             return list(self.root.values())
@@ -179,7 +186,7 @@ class Trie:
         while stack:
             node, level, surplus, deficit = stack.pop()
             if isinstance(node, Leaf):
-                if level == len(counts) or _within(node.counts, counts, level, surplus, deficit):
+                if level == len(counts) or _within(node.counts, counts, level, surplus, deficit, ordered):
                     leaves.append(node)
                 continue
             count, level = counts[level], level + 1
@@ -187,16 +194,20 @@ class Trie:
                 stack.append((child, level, surplus, deficit))
             if not surplus and (child := node.get(count + 1)) is not None:
                 stack.append((child, level, 1, deficit))
-            if not deficit and (child := node.get(count - 1)) is not None:
+            if not deficit and (surplus or not ordered) and (child := node.get(count - 1)) is not None:
                 stack.append((child, level, surplus, 1))
         return leaves
 
 
-def _within(theirs: tuple[int, ...], own: tuple[int, ...], level: int, surplus: int, deficit: int) -> bool:
+def _within(
+    theirs: tuple[int, ...], own: tuple[int, ...], level: int, surplus: int, deficit: int, ordered: bool = False
+) -> bool:
     for a, b in zip(theirs[level:], own[level:]):
         if a > b:
             surplus += a - b
         elif a < b:
+            if ordered and not surplus:
+                return False
             deficit += b - a
     return surplus <= 1 and deficit <= 1
 
@@ -206,7 +217,10 @@ def _parse(path: str) -> tuple[int, ...]:
 
 
 def _subtries(path: str, inner: dict[str, int], subtrie_words: int) -> list[tuple[str, int, int]]:
-    """(root, surplus, deficit spent) of every subtrie that a word's search reaches; parts of a large leaf have numbers."""
+    """(root, surplus, deficit spent) of every subtrie that a word's search reaches, the surplus spent first.
+
+    Parts of a large leaf have numbers.
+    """
     counts = path.split(",")
     found = []
     stack = [("", 0, 0, 0)]
@@ -221,7 +235,7 @@ def _subtries(path: str, inner: dict[str, int], subtrie_words: int) -> list[tupl
             stack.append((f"{before}{count}", level + 1, surplus, deficit))
             if not surplus:
                 stack.append((f"{before}{count + 1}", level + 1, 1, deficit))
-            if not deficit and count:
+            if surplus and not deficit and count:
                 stack.append((f"{before}{count - 1}", level + 1, surplus, 1))
     return found
 
@@ -264,24 +278,42 @@ def near_words(words: DataFrame, subtrie_words: int = SUBTRIE_WORDS, words_per_t
             yield _batch(rows, ROUTED)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, trie, last, leaves = None, None, None, []
+        root, trie, last, counts, leaves = None, None, None, (), []
+        answers: dict[str, list] = {}  # of the subtrie's own words: n_near, form_n, form
         for batch in batches:
             rows = []
             for at, asks, path, surplus, deficit, word, n in zip(*(column.to_pylist() for column in batch.columns)):
                 if at != root:
+                    rows += [(own, *answer) for own, answer in answers.items()]
                     level = 0 if at == "" else at.split("#")[0].count(",") + 1
-                    root, trie, last = at, Trie(level), None
+                    root, trie, last, answers = at, Trie(level), None, {}
                 if not asks:
                     trie.add(_parse(path), word, n)
                     continue
                 if last != (path, surplus, deficit):
-                    last, leaves = (path, surplus, deficit), trie.reached(_parse(path), surplus, deficit)
-                near = [entry for leaf in leaves for entry in leaf.near(word)]
+                    last, counts = (path, surplus, deficit), _parse(path)
+                    leaves = trie.reached(counts, surplus, deficit, ordered=True)
+                near = []
+                for leaf in leaves:
+                    found = leaf.near(word)
+                    near += found
+                    if leaf.counts == counts:  # those ask themselves
+                        continue
+                    for own, _ in found:
+                        answer = answers.get(own)
+                        if answer is None:
+                            answers[own] = [1, n, word]
+                            continue
+                        answer[0] += 1
+                        if (-n, word) < (-answer[1], answer[2]):
+                            answer[1:] = n, word
                 if near:
                     form, form_n = min(near, key=lambda entry: (-entry[1], entry[0]))
                     rows.append((word, len(near), form_n, form))
             if rows:
                 yield _batch(rows, FOUND)
+        if answers:
+            yield _batch([(own, *answer) for own, answer in answers.items()], FOUND)
 
     ROUTED, FOUND = _arrow(_ROUTED), _arrow(_FOUND)
     tasks = max(1, -(-words.count() // words_per_task))

@@ -126,3 +126,25 @@ def test_trie(words, level):
             trie.add(counts(v), v, 1)
         near = {v for leaf in trie.reached(counts(word), 0, 0) for v, _ in leaf.near(word)}
         assert near == {v for v in same if one_edit(word, v)}
+
+
+@pytest.mark.parametrize("subtrie_words", [20, 2])
+def test_a_pair_is_asked_for_once(subtrie_words):
+    """Words whose counts differ are reached by one of the two, those with the same counts by both."""
+    counts = {w: [0] * S.LEVELS for w in WORDS}
+    for word, found in counts.items():
+        for c in word:
+            found[ord(c) % S.GROUPS] += 1
+    paths = {w: ",".join(map(str, found)) for w, found in counts.items()}
+    sizes = Counter(",".join(p.split(",")[:depth]) if depth else "" for p in paths.values() for depth in range(S.LEVELS + 1))
+    inner = {node: n for node, n in sizes.items() if n > subtrie_words}
+    homes = {w: S._home(paths[w], w, inner, subtrie_words) for w in WORDS}
+    reached = {w: {root for root, *_ in S._subtries(paths[w], inner, subtrie_words)} for w in WORDS}
+    for a in WORDS:
+        for b in WORDS:
+            if one_edit(a, b):
+                trie = S.Trie()
+                trie.add(tuple(counts[b]), b, 1)
+                asks = bool(trie.reached(tuple(counts[a]), 0, 0, ordered=True))
+                assert asks == (counts[a] <= counts[b])
+                assert homes[b] in reached[a] or not asks
