@@ -101,13 +101,13 @@ def train(
     rng = np.random.default_rng(7)
     vectors = rng.uniform(-1 / dimension, 1 / dimension, (BUCKETS, dimension)).astype(np.float32)
     layer, bias = np.zeros((2, dimension), dtype=np.float32), np.zeros(2, dtype=np.float32)
-    shares = [(c / max(1, c.sum())).astype(np.float32) for _, c in features]
     steps, done = epochs * len(labels), 0
     for _ in range(epochs):
         for i in rng.permutation(len(labels)):
             step = rate * (1 - done / steps) * min(4.0, class_weight[labels[i]])
             done += 1
-            ids, share = features[i][0], shares[i]
+            ids, counts = features[i]
+            share = (counts / max(1, counts.sum())).astype(np.float32)
             mean = share @ vectors[ids]
             logits = layer @ mean + bias
             odds = np.exp(logits - logits.max())
@@ -176,10 +176,8 @@ def fit(docs: DataFrame, chosen: Sample, id_column: str = "doc_id", text_column:
         .toPandas()
         .sort_values(["doc_id", "ids"])
     )
-    features = [
-        (np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.int64))
-        for i, c in zip(rows["ids"], rows["counts"])
-    ]
+    # as they came: 6 bytes a feature
+    features = [(np.frombuffer(i, "<u2"), np.frombuffer(c, "<u4")) for i, c in zip(rows["ids"], rows["counts"])]
     return train(features, rows["label"].tolist(), (chosen.weight(0), chosen.weight(1)))
 
 

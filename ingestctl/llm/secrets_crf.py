@@ -21,7 +21,7 @@ import string
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -186,18 +186,26 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(windows: list[tuple[list[list[tuple]], list[int]]]) -> Model:
-    """Gradient ascent on the log likelihood of the tags of each window (forward-backward)."""
-    kinds = sorted({f for features, _ in windows for own in features for f in own}, key=repr)
-    index = {f: i for i, f in enumerate(kinds)}
-    placed = [([np.array([index[f] for f in own]) for own in features], np.array(tags)) for features, tags in windows]
+def train(windows: Iterable[tuple[list[list[tuple]], list[int]]]) -> Model:
+    """Gradient ascent on the log likelihood of the tags of each window (forward-backward).
+
+    Windows are taken one by one and kept as numbers alone, as their features are many times as large.
+    """
+    seen: dict[tuple, int] = {}
+    placed = []
+    for features, tags in windows:
+        found = [seen.setdefault(f, len(seen)) for own in features for f in own]
+        ends = np.cumsum([len(own) for own in features])[:-1]
+        placed.append((np.array(found, dtype=np.int32), ends.astype(np.int32), np.array(tags, dtype=np.int8)))
+    index = {f: i for i, f in enumerate(sorted(seen, key=repr))}
+    place = np.fromiter((index[f] for f in seen), np.int32, len(seen))
     weights, follow = np.zeros((len(index), 3)), np.zeros((3, 3))
     follow[OUTSIDE, INSIDE] = NEVER
     rng, step_sum = np.random.default_rng(7), np.full(len(index), 1e-3)
     for _ in range(EPOCHS):
         for w in rng.permutation(len(placed)):
-            features, tags = placed[w]
-            n = len(tags)
+            found, ends, tags = placed[w]
+            features, n = np.split(place[found], ends), len(tags)
             scores = np.array([weights[f].sum(axis=0) for f in features])
             forward, backward = scores.copy(), np.zeros((n, 3))
             forward[0, INSIDE] += NEVER
@@ -471,12 +479,14 @@ def fit(docs: DataFrame, text_column: str = "text", with_secret: int = WITH_SECR
     )
     rows = sampled.distinct().toPandas()
     rows["words"] = rows["tokens"].map("\x00".join)
-    windows = []
-    for row in rows.sort_values(["order", "words"]).itertuples():
-        for hide in HIDE:
+
+    def windows() -> Iterator[tuple[list[list[tuple]], list[int]]]:
+        for row in rows.sort_values(["order", "words"]).itertuples():
             file = [(name, int(value)) for name, value in zip(FILE_FEATURES, row.file)]
-            windows.append((window_features(list(row.tokens), file, hide), [int(t) for t in row.tags]))
-    return train(windows)
+            for hide in HIDE:
+                yield window_features(list(row.tokens), file, hide), [int(t) for t in row.tags]
+
+    return train(windows())
 
 
 def _written(spans: list[tuple[int, int, str]]) -> str:

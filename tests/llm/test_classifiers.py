@@ -1,5 +1,6 @@
 """Quality and toxicity: held-out accuracy, fixed cases, and what the counterfactual term does."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -199,3 +200,17 @@ def test_training_goes_down_the_stated_loss(strength, monkeypatch):
         up[i] += 1e-6
         down[i] -= 1e-6
         assert step.get(i, 0.0) == pytest.approx((loss(up) - loss(down)) / 2e-6, abs=1e-5)
+
+
+def test_quality_training_takes_features_as_they_came():
+    """Six bytes a feature are enough for the driver: no wider copy of all documents is made."""
+    rng = np.random.default_rng(1)
+    features = [(np.sort(rng.choice(Q.BUCKETS, 20_000, replace=False)).astype("<u2"), rng.integers(1, 9, 20_000).astype("<u4")) for _ in range(400)]
+    labels = [i % 2 for i in range(400)]
+    wide = [(i.astype(np.int64), c.astype(np.int64)) for i, c in features[:40]]
+    assert np.array_equal(Q.train(features[:40], labels[:40], (1.0, 1.0), epochs=1).weights, Q.train(wide, labels[:40], (1.0, 1.0), epochs=1).weights)
+    tracemalloc.start()
+    Q.train(features, labels, (1.0, 1.0), epochs=1)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 24e6  # the shares of all documents at once take 32 MB more

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -208,3 +209,22 @@ def test_masking_with_the_fitted_field(spark):
     assert not any(plain_base(text or "") for _, text, _ in got)
     assert all(n == len(text) for i, text, n in got if text and S.MASK in text)
     assert rows(S.mask_secrets(documents(spark, []))) == []
+
+
+def test_training_keeps_windows_as_numbers():
+    """Windows come one by one, so that the driver never holds the features of all of them as objects."""
+    words = [f"word{i}" for i in range(40)]
+
+    def windows(times):
+        for i in range(times):
+            tokens = [words[(i * j) % 40] for j in range(1, 21)]
+            yield S.window_features(tokens, [("file signs", i % 3)]), [S.OUTSIDE] * 19 + [S.BEGIN]
+
+    few = S.train(windows(30))
+    assert few.index == S.train(list(windows(30))).index
+    assert np.array_equal(few.weights, S.train(list(windows(30))).weights) and few.weights.any()
+    tracemalloc.start()
+    S.train(windows(1_000))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 12e6  # as objects they take 30 MB
