@@ -124,11 +124,18 @@ def upstream_tables(edges: DataFrame, expanded: DataFrame) -> DataFrame:
 
 
 def upstream_tables_of_roots(edges: DataFrame, expanded: DataFrame) -> DataFrame:
-    """(root, table_name): the distinct upstream tables of each root, itself only where a cycle leads back to it."""
-    reached = edges.select("child", F.col("parent").alias("table_name")).join(
-        expanded.select("root", F.col("node").alias("child")), "child"
-    )
-    return reached.select("root", "table_name").distinct()
+    """(root, table_name): the distinct upstream tables of each root, itself only where a cycle leads back to it.
+
+    ``expanded`` is what ``expanded_tables_of_roots`` found over these edges.
+    """
+    # A table that was found below depth 0 is upstream by that; only a way back to the root is still to be looked for.
+    roots = expanded.where("depth = 0").select(F.col("root").alias("parent"))
+    back = edges.select("child", "parent")
+    back = back.join(roots, "parent", "left_semi").unionByName(back.where("parent IS NULL"))
+    returns = expanded.select("root", F.col("node").alias("child")).join(materialise(back.distinct(), "back"), "child")
+    returns = returns.where("parent IS NULL OR parent = root").select("root", F.col("parent").alias("table_name"))
+    found = expanded.where("depth > 0").select("root", F.col("node").alias("table_name"))
+    return found.unionByName(returns.distinct())
 
 
 def lineage_tables(edges: DataFrame, expanded: DataFrame) -> DataFrame:

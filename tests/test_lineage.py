@@ -160,3 +160,14 @@ def test_a_run_listed_twice_gives_its_table_once(spark):
 def test_latest_runs_are_folded_in_a_hash_map(spark):
     history = spark.createDataFrame([("t", 1, "a"), ("t", 9, "b"), ("t", 9, "c"), ("u", None, "d")], "table_name string, version int, run_id string")
     assert rows(lineage.latest_runs(history)) == [("t", "c")]
+
+
+def test_upstreams_of_roots_are_what_was_found(spark):
+    """All pairs are read as they were found; only a way back to the root is joined with the edges."""
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", None), ("d", "c"), ("d", "c"), ("e", "e")]
+    roots = spark.createDataFrame([("a",), ("d",), ("e",), ("z",)], "root string")
+    edges = frame(spark, pairs)
+    upstream = lineage.upstream_tables_of_roots(edges, lineage.expanded_tables_of_roots(edges, roots))
+    assert upstream._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    above = {("a", t) for t in ("a", "b", "c", None)} | {("d", t) for t in ("a", "b", "c", None)} | {("e", "e")}
+    assert rows(upstream) == sorted(above, key=repr)
