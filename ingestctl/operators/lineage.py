@@ -161,12 +161,16 @@ def node_details(edges: DataFrame, expanded: DataFrame) -> DataFrame:
     )
 
 
-def latest_runs(history: DataFrame) -> DataFrame:
+def latest_runs(history: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """The run that wrote the highest version of each table; of runs with the same version the largest id.
 
     The versions are folded in a hash map, and the few texts that count are looked up afterwards.
+    ``tables`` (table_name) limits the tables: the folded rows, one a table, are held against it, not the history.
     """
-    newest = materialise(history.groupBy("table_name").agg(F.max("version").alias("version")), "newest")
+    newest = history.groupBy("table_name").agg(F.max("version").alias("version"))
+    if tables is not None:
+        newest = newest.join(tables, "table_name", "left_semi")
+    newest = materialise(newest, "newest")
     return history.join(newest, ["table_name", "version"]).groupBy("table_name").agg(F.max("run_id").alias("run_id"))
 
 
@@ -182,10 +186,12 @@ def table_jobs(tables: DataFrame, history: DataFrame, runs: DataFrame) -> DataFr
 
     ``tables`` is a written table with each name once.
     """
-    relevant = history.join(tables, "table_name", "left_semi")
-    written = tables.join(latest_runs(relevant), "table_name", "left")
+    written = materialise(tables.join(latest_runs(history, tables), "table_name", "left"), "written")
     # tables without a run would all meet in one task
-    known = written.where(F.col("run_id").isNotNull()).join(run_jobs(runs), "run_id", "left")
+    known = written.where(F.col("run_id").isNotNull())
+    # of all runs only those that some table was last written by are grouped
+    asked = materialise(known.select("run_id").distinct(), "asked")
+    known = known.join(run_jobs(runs.join(asked, "run_id", "left_semi")), "run_id", "left")
     unknown = written.where(F.col("run_id").isNull()).withColumn("esp_job_id", F.lit(None).cast("string"))
     columns = ["table_name", "esp_job_id"]
     return known.select(columns).unionByName(unknown.select(columns))

@@ -171,3 +171,13 @@ def test_upstreams_of_roots_are_what_was_found(spark):
     assert upstream._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
     above = {("a", t) for t in ("a", "b", "c", None)} | {("d", t) for t in ("a", "b", "c", None)} | {("e", "e")}
     assert rows(upstream) == sorted(above, key=repr)
+
+
+def test_only_runs_that_count_are_grouped(spark):
+    tables = spark.createDataFrame([("t",), ("u",)], "table_name string")
+    history = spark.createDataFrame([("t", 2, "r1"), ("x", 3, "r2")], "table_name string, version int, run_id string")
+    schema = "run_id string, tasks array<struct<notebook_task: struct<base_parameters: map<string,string>>>>, job_parameters map<string,string>"
+    runs = spark.createDataFrame([(r, [], {"esp_job_id": "j"}) for r in ("r1", "r2", "r3")] * 2, schema)
+    found = lineage.table_jobs(tables, history, runs)
+    assert "LeftSemi, (run_id" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found) == [("t", "j"), ("u", None)]
